@@ -90,8 +90,8 @@ def syllables(text: Column) -> Column:
     at least one for each word."""
     low = F.lower(text)
     groups = count_matches(low, "[aeiouy]+")
-    silent = count_matches(low, r"[aeiouy][^aeiouy\s]+e[^\p{L}\s]*(?!\S)")
-    without_vowel = count_matches(low, r"(?<!\S)[^aeiouy\s]+(?!\S)")
+    silent = count_matches(low, r"(?U)[aeiouy][^aeiouy\s]+e[^\p{L}\s]*(?!\S)")
+    without_vowel = count_matches(low, r"(?U)(?<!\S)[^aeiouy\s]+(?!\S)")
     return groups - silent + without_vowel
 
 
@@ -102,7 +102,7 @@ def syllable_per_word(text: Column) -> Column:
 def flesch_readability(text: Column) -> Column:
     """Reading ease on the estimated syllables; null without words."""
     n = word_count(text)
-    sentences = F.greatest(F.lit(1), count_matches(text, r"[.!?]+(?!\S)"))
+    sentences = F.greatest(F.lit(1), count_matches(text, r"(?U)[.!?]+(?!\S)"))
     score = 206.835 - 1.015 * (n / sentences) - 84.6 * (syllables(text) / n)
     return F.when(n > 0, score)
 
