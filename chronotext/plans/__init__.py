@@ -1 +1,8 @@
 """Registered queries over the given tables, each beside its SQL check."""
+
+
+def load():
+    """(queries, SQL checks) of all query modules."""
+    from chronotext.plans import registry, text_queries  # noqa: F401
+
+    return registry.QUERIES, registry.ORACLES

@@ -79,7 +79,7 @@ def read_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     raw = spark.read.text(path, wholetext=True)
     top = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "body"))
     words = top.filter(~F.col("key").isin("neologisms", "neologism_periods")).select(
-        F.col("key").alias("lang"), F.explode(F.from_json("body", "array<string>")).alias("word")
+        F.col("key").alias("lang"), F.explode(F.array_distinct(F.from_json("body", "array<string>"))).alias("word")
     )
     terms = (
         top.filter("key = 'neologisms'")

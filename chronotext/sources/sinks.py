@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_features(features: DataFrame, path: str, split_col: str = "split") -> None:
@@ -15,10 +14,18 @@ def write_features(features: DataFrame, path: str, split_col: str = "split") ->
 
 
 def write_text_files(corpus: DataFrame, path: str) -> None:
-    """A folder per document holding one text file."""
-    corpus.select("file_name", F.col("text").alias("value")).write.mode("overwrite").partitionBy(
-        "file_name"
-    ).text(path)
+    """One text file per document, named by its key."""
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store.create_dir(root, recursive=True)
+        for row in rows:
+            with store.open_output_stream(f"{root}/{row.file_name}") as out:
+                out.write(row.text.encode("utf-8"))
+
+    corpus.select("file_name", "text").foreachPartition(write)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
