@@ -27,6 +27,10 @@ DIGIT = (
     r"\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}"
     r"\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]"
 )
+# An ASCII character settles on the first branch; only others reach the long class.
+DIGIT = rf"[0-9]|(?=[^\x00-\x7F]){DIGIT}"
+# The 32 ASCII punctuation characters.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 COMPOUND = rf"(?<!{WORD_CHAR})[a-zA-Z]+(?:[-'][a-zA-Z]+)*(?!{WORD_CHAR})"
 
@@ -48,23 +52,26 @@ def word_count(text: Column) -> Column:
     return count_matches(text, NOT_SPACE + "+")
 
 
-def avg_word_length(text: Column) -> Column:
-    return ratio(count_matches(text, NOT_SPACE), word_count(text))
+def avg_word_length(tokens: Column) -> Column:
+    return ratio(F.length(F.array_join(tokens, "")), F.size(tokens))
 
 
 def lexical_richness(tokens: Column) -> Column:
     return ratio(F.size(F.array_distinct(tokens)), F.size(tokens))
 
 
-def avg_sentence_length(text: Column) -> Column:
-    """Mean words per piece between '. ' marks; empty pieces count."""
+def avg_sentence_length(text: Column, n_words: Column) -> Column:
+    """Mean words per piece between '. ' marks; empty pieces count. Splitting there
+    loses only the words that are a single full stop."""
     without = F.length(F.replace(text, F.lit(". "), F.lit("")))
     pieces = (F.length(text) - without) / 2 + 1
-    return word_count(F.replace(text, F.lit(". "), F.lit(" "))) / pieces
+    lone = count_matches(text, rf"\.(?<!{NOT_SPACE[4:]}\.) ")
+    return (n_words - lone) / pieces
 
 
 def punctuation_density(text: Column) -> Column:
-    return ratio(count_matches(text, r"\p{Punct}"), F.length(text))
+    others = F.length(F.translate(text, PUNCTUATION, ""))
+    return ratio(F.length(text) - others, F.length(text))
 
 
 def digit_ratio(text: Column) -> Column:
@@ -95,16 +102,15 @@ def syllables(text: Column) -> Column:
     return groups - silent + without_vowel
 
 
-def syllable_per_word(text: Column) -> Column:
-    return ratio(syllables(text), word_count(text))
+def syllable_per_word(n_syllables: Column, n_words: Column) -> Column:
+    return ratio(n_syllables, n_words)
 
 
-def flesch_readability(text: Column) -> Column:
+def flesch_readability(text: Column, n_syllables: Column, n_words: Column) -> Column:
     """Reading ease on the estimated syllables; null without words."""
-    n = word_count(text)
     sentences = F.greatest(F.lit(1), count_matches(text, r"(?U)[.!?]+(?!\S)"))
-    score = 206.835 - 1.015 * (n / sentences) - 84.6 * (syllables(text) / n)
-    return F.when(n > 0, score)
+    score = 206.835 - 1.015 * (n_words / sentences) - 84.6 * (n_syllables / n_words)
+    return F.when(n_words > 0, score)
 
 
 def target_hits(tokens: Column, targets: Iterable[str]) -> Column:
@@ -149,33 +155,52 @@ def word_gap_columns(
 
 
 def compound_words(text: Column) -> Column:
-    """Distinct ASCII words, hyphen and apostrophe compounds kept whole."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(COMPOUND), F.lit(0)))
+    """ASCII words of a text, hyphen and apostrophe compounds kept whole."""
+    return F.regexp_extract_all(text, F.lit(COMPOUND), F.lit(0))
 
 
-def _phrase_pattern(terms: list[str]) -> str:
-    alternatives = "|".join(r"(?U:\s+)".join(map(re.escape, t.split(" "))) for t in terms)
-    return rf"(?iu)(?<!{WORD_CHAR})(?:{alternatives})(?!{WORD_CHAR})"
+def folded(text: Column) -> Column:
+    """Lower case with the long s as s: what a case-blind match compares."""
+    return F.translate(F.lower(text), "\u017f", "s")
 
 
-def contains_terms(text: Column, found: Column, terms: list[str]) -> Column:
+def contains_phrase(text: Column, low: Column, phrase: str) -> Column:
+    """A phrase in any case, with any white space between its words. The plain search
+    for its words settles nearly every text before the pattern is tried."""
+    parts = phrase.split(" ")
+    pattern = r"(?U:\s+)".join(map(re.escape, parts))
+    hit = F.rlike(text, F.lit(rf"(?iu)(?<!{WORD_CHAR}){pattern}(?!{WORD_CHAR})"))
+    for part in sorted(set(parts), key=len):
+        hit = F.contains(low, F.lit(part)) & hit
+    return hit
+
+
+def listed_words(text: Column, terms: dict[str, list[str]]) -> Column:
+    """The compound words of a text that any period lists."""
+    every = sorted({t for listed in terms.values() for t in listed if " " not in t})
+    return F.array_distinct(F.filter(compound_words(text), lambda w: w.isin(every)))
+
+
+def contains_terms(text: Column, low: Column, found: Column, terms: list[str]) -> Column:
     """Whether a text holds one of the terms: single words as members of the
-    compound-word set, phrases in any case with any white space between."""
+    compound-word set, phrases as such."""
     single = [t for t in terms if " " not in t]
-    phrases = [t for t in terms if " " in t]
     hit = F.lit(False)
     if single:
         hit = hit | F.arrays_overlap(found, F.array(*[F.lit(t) for t in single]))
-    if phrases:
-        hit = hit | F.rlike(text, F.lit(_phrase_pattern(phrases)))
+    for phrase in (t for t in terms if " " in t):
+        hit = hit | contains_phrase(text, low, phrase)
     return hit
 
 
 def neologism_columns(
-    text: Column, found: Column, terms: dict[str, list[str]] | None = None
+    text: Column, low: Column, found: Column, terms: dict[str, list[str]] | None = None
 ) -> list[Column]:
+    """Period flags; `low` is the folded text and `found` its listed words."""
     terms = terms or NEOLOGISMS
-    return [contains_terms(text, found, t).alias(f"contains_{p}_words") for p, t in terms.items()]
+    return [
+        contains_terms(text, low, found, t).alias(f"contains_{p}_words") for p, t in terms.items()
+    ]
 
 
 def neologism_aggregates() -> list[Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronotext.functions import text as X
 from chronotext.functions.vocabulary import NEOLOGISMS, TARGET_WORDS
 from chronotext.operators import ngrams
+from chronotext.session import text_partitions
 
 
 def lowercase(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -29,25 +30,29 @@ def lexical_features(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Lexical, readability, word-gap and vocabulary columns: a narrow pass."""
-    text, tokens = F.col("text"), F.col("_words")
-    keep = keep or []
+    text, tokens, n = F.col("text"), F.col("_words"), F.size("_words")
+    keep, terms = keep or [], terms or NEOLOGISMS
     prepared = (
         corpus.select(id_col, *keep, "text")
         .withColumn("_words", X.words(text))
-        .withColumn("_hits", X.target_hits(tokens, TARGET_WORDS[language]))
-        .withColumn("_compounds", X.compound_words(text))
+        .withColumns({
+            "_hits": X.target_hits(tokens, TARGET_WORDS[language]),
+            "_found": X.listed_words(text, terms),
+            "_low": X.folded(text),
+            "_syllables": X.syllables(text),
+        })
     )
-    flags = X.neologism_columns(text, F.col("_compounds"), terms or NEOLOGISMS)
+    flags = X.neologism_columns(text, F.col("_low"), F.col("_found"), terms)
     columns = [
-        X.avg_word_length(text).alias("Avg_Word_Length"),
+        X.avg_word_length(tokens).alias("Avg_Word_Length"),
         X.lexical_richness(tokens).alias("Lexical_Richness"),
-        X.avg_sentence_length(text).alias("Avg_Sentence_Length"),
+        X.avg_sentence_length(text, n).alias("Avg_Sentence_Length"),
         X.punctuation_density(text).alias("Punctuation_Density"),
-        X.syllable_per_word(text).alias("Syllable_Per_Word"),
+        X.syllable_per_word(F.col("_syllables"), n).alias("Syllable_Per_Word"),
         X.digit_ratio(text).alias("Digit_Ratio"),
     ]
     if language == "english":
-        columns.append(X.flesch_readability(text).alias("Flesch_Readability"))
+        columns.append(X.flesch_readability(text, F.col("_syllables"), n).alias("Flesch_Readability"))
     if X.stop_words(language):
         columns.append(X.stopword_ratio(tokens, language).alias("Stopword_Ratio"))
     columns += X.word_gap_columns(F.col("_hits"), language, gap)
@@ -90,7 +95,7 @@ def documented_extras(corpus: DataFrame, id_col: str = "file_name") -> DataFrame
     text = F.col("text")
     counted = (
         corpus.select(id_col, "text", X.words(text).alias("_words"))
-        .repartition(id_col)
+        .repartition(text_partitions(corpus), id_col)
         .select(id_col, "text", F.size("_words").alias("_n"), F.explode_outer("_words").alias("_w"))
         .groupBy(id_col, "_n", "_w")
         .agg(F.count("_w").alias("_c"))
@@ -104,7 +109,7 @@ def documented_extras(corpus: DataFrame, id_col: str = "file_name") -> DataFrame
         id_col,
         X.uppercase_ratio(text).alias("Uppercase_Ratio"),
         X.special_character_ratio(text).alias("Special_Character_Ratio"),
-    ).repartition(id_col)
+    ).repartition(text_partitions(corpus), id_col)
     entropy = ngrams.self_code(corpus, 1, id_col).select(id_col, "entropy")
     n = F.col("_n")
     return (
@@ -133,7 +138,7 @@ def feature_row(
     """The wide feature row: every part is laid out on the same document key, so
     the joins below reuse one exchange of the text."""
     orders = sorted({1, order})
-    placed = corpus.select(id_col, "text").repartition(id_col)
+    placed = corpus.select(id_col, "text").repartition(text_partitions(corpus), id_col)
     code = ngrams.self_code(corpus, order, id_col)
     parts = [
         lexical_features(placed, language, gap, terms, id_col),

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.operators.ordering import hash_rank
-from chronotext.session import at_most, materialize
+from chronotext.session import at_most, materialize, text_partitions
 
 SPAN = 16_384
 
@@ -45,7 +45,7 @@ def raw_grams(
     spans = (
         texts.select(id_col, F.concat(F.col("text"), F.lit(tail)).alias("_t"))
         .filter(F.length("_t") > len(tail))
-        .repartition(id_col)
+        .repartition(text_partitions(texts), id_col)
         .withColumn(
             "_from", F.explode(F.sequence(F.lit(0), F.length("_t") - len(tail) - 1, F.lit(SPAN)))
         )
@@ -362,7 +362,7 @@ def joint_code(
     longest = raw_grams(texts, order, id_col, tail=opening, head=False)
     firsts = texts.select(
         id_col, F.left(F.concat("text", F.lit(opening)), F.lit(order)).alias("_first")
-    ).repartition(id_col)
+    ).repartition(text_partitions(texts), id_col)
     keys = [id_col, "_first"]
     g = F.left(F.col("gram"), F.col("level") + 1)
     levels = (

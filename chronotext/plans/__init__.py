@@ -3,6 +3,6 @@
 
 def load():
     """(queries, SQL checks) of all query modules."""
-    from chronotext.plans import registry, text_queries  # noqa: F401
+    from chronotext.plans import model_queries, ngram_queries, registry, text_queries  # noqa: F401
 
     return registry.QUERIES, registry.ORACLES

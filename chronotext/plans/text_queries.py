@@ -474,14 +474,19 @@ def _register_feature(key: str, column: str, expression) -> None:
         return rounded(V.corpus(spark, sf_dir).select("file_name", expression(F.col("text")).alias(column)))
 
 
-_register_feature("avg_word_length", "Avg_Word_Length", X.avg_word_length)
+def _n(text):
+    return F.size(X.words(text))
+
+
+_register_feature("avg_word_length", "Avg_Word_Length", lambda t: X.avg_word_length(X.words(t)))
 _register_feature("lexical_richness", "Lexical_Richness", lambda t: X.lexical_richness(X.words(t)))
-_register_feature("avg_sentence_length", "Avg_Sentence_Length", X.avg_sentence_length)
+_register_feature("avg_sentence_length", "Avg_Sentence_Length", lambda t: X.avg_sentence_length(t, _n(t)))
 _register_feature("punctuation_density", "Punctuation_Density", X.punctuation_density)
 _register_feature("digit_ratio", "Digit_Ratio", X.digit_ratio)
 _register_feature("stopword_ratio", "Stopword_Ratio", lambda t: X.stopword_ratio(X.words(t)))
-_register_feature("syllable_per_word", "Syllable_Per_Word", X.syllable_per_word)
-_register_feature("flesch_readability", "Flesch_Readability", X.flesch_readability)
+_register_feature("syllable_per_word", "Syllable_Per_Word", lambda t: X.syllable_per_word(X.syllables(t), _n(t)))
+_register_feature("flesch_readability", "Flesch_Readability",
+                  lambda t: X.flesch_readability(t, X.syllables(t), _n(t)))
 
 
 def _gap_query(kind: str):
@@ -510,8 +515,11 @@ def target_words_by_lang(spark, sf_dir):
 
 @query("neologism_flags", f"SELECT file_name, {', '.join(NEOLOGISM_FEATURES[:8])} FROM flags", ("flags",))
 def neologism_flags(spark, sf_dir):
-    docs = V.corpus(spark, sf_dir).select("file_name", "text", X.compound_words(F.col("text")).alias("_found"))
-    return docs.select("file_name", *X.neologism_columns(F.col("text"), F.col("_found"), V.terms()))
+    text = F.col("text")
+    docs = V.corpus(spark, sf_dir).select(
+        "file_name", "text", X.folded(text).alias("_low"), X.listed_words(text, V.terms()).alias("_found")
+    )
+    return docs.select("file_name", *X.neologism_columns(text, F.col("_low"), F.col("_found"), V.terms()))
 
 
 @query("neologism_aggregates", f"""

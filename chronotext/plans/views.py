@@ -23,7 +23,11 @@ SEED = 42
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents, spread out where the files split into fewer pieces than there
+    are cores (a single small file); a large table is read as it lies."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def corpus(spark: SparkSession, sf_dir: str, lowercase: bool = True) -> DataFrame:

@@ -40,3 +40,12 @@ def materialize(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table has no more than the given number of rows."""
     return df.limit(rows + 1).count() <= rows
+
+
+def text_partitions(df: DataFrame) -> int:
+    """Partitions for text about to be taken apart.
+
+    A byte of text becomes tens of bytes of grams, so the number is fixed: sizing the
+    partitions by the bytes of the shuffle would join far too many of them.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
