@@ -3,6 +3,8 @@
 
 def load():
     """(queries, SQL checks) of all query modules."""
-    from chronotext.plans import model_queries, ngram_queries, registry, text_queries  # noqa: F401
+    from chronotext.plans import (  # noqa: F401
+        explore_queries, model_queries, ngram_queries, registry, result_queries, text_queries,
+    )
 
     return registry.QUERIES, registry.ORACLES

@@ -120,7 +120,7 @@ def draw(seed: str) -> str:
 cte("drawn", f"""
 SELECT p.time_scale, p.dataset, file_name, y, ys[({draw(f"'{V.SEED}'")} % len(ys)) + 1] AS y_hat
 FROM pred p JOIN present USING (time_scale, dataset) WHERE feature_subset = 'main'""", ("pred", "present"))
-cte("both", """
+cte("all_pred", """
 SELECT feature_subset, time_scale, dataset, model, file_name, y, y_hat FROM pred
 UNION ALL SELECT s.feature_subset, time_scale, dataset, 'random', file_name, y, y_hat FROM drawn
 CROSS JOIN (SELECT DISTINCT feature_subset FROM subsets) s""", ("pred", "drawn", "subsets"))
@@ -165,7 +165,7 @@ FROM (SELECT {k}, pos, neg, sum(neg) OVER (PARTITION BY {k} ORDER BY score) - ne
 
 
 PLACE = ["feature_subset", "time_scale", "dataset"]
-metric_ctes("m", "both", KEYS, ("both",))
+metric_ctes("m", "all_pred", KEYS, ("all_pred",))
 cte("class_hist", """
 SELECT feature_subset, time_scale, dataset, c, p AS score, sum((y = c)::INTEGER)::DOUBLE AS pos,
   sum((y <> c)::INTEGER)::DOUBLE AS neg FROM probs GROUP BY ALL""", ("probs",))
@@ -279,8 +279,8 @@ SELECT feature_subset, time_scale, dataset, 'gnb' AS model, file_name, y, thresh
   sum(CASE WHEN c >= threshold THEN p ELSE 0 END) > sum(CASE WHEN c < threshold THEN p ELSE 0 END) AS newer
 FROM top_classes JOIN grid USING (time_scale, dataset) WHERE time_scale = 'decades' GROUP BY ALL
 UNION ALL SELECT feature_subset, time_scale, dataset, model, file_name, y, threshold, y_hat >= threshold
-FROM both JOIN grid USING (time_scale, dataset) WHERE time_scale = 'centuries' OR model = 'random'""",
-    ("top_classes", "grid", "both"))
+FROM all_pred JOIN grid USING (time_scale, dataset) WHERE time_scale = 'centuries' OR model = 'random'""",
+    ("top_classes", "grid", "all_pred"))
 cte("votes01", """
 SELECT feature_subset, time_scale, dataset, model, threshold, (y >= threshold)::INTEGER AS y, newer::INTEGER AS y_hat FROM votes""",
     ("votes",))
@@ -291,8 +291,8 @@ SELECT feature_subset, time_scale, dataset, 'gnb' AS model, file_name, threshold
   round(sum(CASE WHEN c >= threshold THEN p ELSE 0 END), {DIGITS}) AS score
 FROM probs JOIN grid USING (time_scale, dataset) GROUP BY feature_subset, time_scale, dataset, file_name, threshold
 UNION ALL SELECT feature_subset, time_scale, dataset, model, file_name, threshold, (y >= threshold)::INTEGER,
-  (y_hat >= threshold)::INTEGER::DOUBLE FROM both JOIN grid USING (time_scale, dataset) WHERE model = 'random'""",
-    ("probs", "grid", "both"))
+  (y_hat >= threshold)::INTEGER::DOUBLE FROM all_pred JOIN grid USING (time_scale, dataset) WHERE model = 'random'""",
+    ("probs", "grid", "all_pred"))
 cte("bhist", f"""
 SELECT {', '.join(BKEYS)}, score, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM bscore GROUP BY ALL""", ("bscore",))
 cte("bareas", areas_sql("bhist", BKEYS), ("bhist",))
