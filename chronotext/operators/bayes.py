@@ -19,20 +19,19 @@ VARIANCE_FLOOR = 1e-9
 def feature_moments(
     train: DataFrame, features: list[str], y: str = "y", keys: list[str] | None = None
 ) -> DataFrame:
-    """(keys, y, n, pos, feature, mean, var): moments per class and feature."""
+    """(keys, y, n, pos, feature, mean, var): moments per class and feature, counted
+    on (feature, value) pairs so that the aggregate stays three columns wide."""
     keys = keys or []
-    wide = train.groupBy(*keys, y).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[
-            F.struct(
-                F.lit(i).alias("pos"), F.lit(f).alias("feature"),
-                F.avg(F.col(f"`{f}`").cast("double")).alias("mean"),
-                F.var_pop(F.col(f"`{f}`").cast("double")).alias("var"),
-            )
-            for i, f in enumerate(features)
-        ]).alias("_m"),
+    pairs = F.posexplode(feature_array(features)).alias("pos", "_v")
+    names = F.array(*[F.lit(f) for f in features])
+    return (
+        train.select(*keys, F.col(y).alias("y"), pairs)
+        .groupBy(*keys, "y", "pos")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.var_pop("_v").alias("var")
+        )
+        .withColumn("feature", F.get(names, F.col("pos")))
     )
-    return wide.select(*keys, F.col(y).alias("y"), "n", F.inline("_m"))
 
 
 def gnb_fit(moments: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +15,10 @@ from chronotext.operators.ordering import hash_rank
 
 
 def rank_by(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """Add `rank`, largest first, ties by feature name. For tables of features."""
+    """Add `rank`, largest first, ties (to nine digits) by name. For tables of features."""
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     return df.withColumn(
-        "rank", F.row_number().over(over.orderBy(F.desc(value), "feature")).cast("bigint")
+        "rank", F.row_number().over(over.orderBy(F.round(value, 9).desc(), "feature")).cast("bigint")
     )
 
 
@@ -114,42 +116,56 @@ def shapley_additive(
     )
 
 
-def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature_1, feature_2, correlation) for each unordered pair, in one aggregate."""
-    pairs = F.array(*[
-        F.struct(
-            F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-            F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias("correlation"),
-        )
-        for a, b in combinations(features, 2)
-    ])
-    return df.agg(pairs.alias("_p")).select(F.inline("_p"))
-
-
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Both directions of each pair and the diagonal."""
-    pairs = correlation_pairs(df, features)
-    both = F.array(
-        F.struct("feature_1", "feature_2", "correlation"),
-        F.struct(F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"), "correlation"),
+    """(feature_1, feature_2, correlation) for all ordered pairs, rows with a missing
+    value left out pair by pair.
+
+    Each task sums the products of its centred rows into features-squared numbers; the
+    matrix is the sum over tasks.
+    """
+    size = len(features)
+    x = [F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    means = df.agg(*[F.avg(c) for c in x]).first()  # one number per feature
+    centre = np.array([0.0 if m is None else m for m in means])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, q, p = (np.zeros((size, size)) for _ in range(4))
+        for rows in batches:
+            v = rows.to_numpy(dtype=float) - centre
+            known = ~np.isnan(v)
+            v = np.where(known, v, 0.0)
+            m = known.astype(float)
+            n += m.T @ m
+            s += v.T @ m
+            q += (v * v).T @ m
+            p += v.T @ v
+        i, j = np.indices((size, size))
+        yield pd.DataFrame({
+            "i": i.ravel(), "j": j.ravel(), "n": n.ravel(), "sa": s.ravel(), "sb": s.T.ravel(),
+            "qa": q.ravel(), "qb": q.T.ravel(), "p": p.ravel(),
+        })
+
+    schema = "i int, j int, n double, sa double, sb double, qa double, qb double, p double"
+    total = df.select(*x).mapInPandas(products, schema).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")]
+    )
+    n = F.col("n")
+    va, vb = n * F.col("qa") - F.col("sa") ** 2, n * F.col("qb") - F.col("sb") ** 2
+    value = (n * F.col("p") - F.col("sa") * F.col("sb")) / (F.sqrt(va) * F.sqrt(vb))
+    names = F.array(*[F.lit(f) for f in features])
+    return total.select(
+        F.get(names, F.col("i")).alias("feature_1"), F.get(names, F.col("j")).alias("feature_2"),
+        F.when((va > 0) & (vb > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+        .alias("correlation"), "i", "j",
     )
-    own = df.agg(F.array(*[
-        F.struct(
-            F.lit(f).alias("feature_1"), F.lit(f).alias("feature_2"),
-            F.when(F.var_pop(F.col(f"`{f}`").cast("double")) > 0, 1.0).alias("correlation"),
-        )
-        for f in features
-    ]).alias("_p")).select(F.inline("_p"))
-    return pairs.select(F.inline(both)).unionByName(own)
 
 
 def top_correlations(df: DataFrame, features: list[str], top: int = 20) -> DataFrame:
     """The strongest pairs by absolute value, ranked."""
-    found = correlation_pairs(df, features).filter("correlation IS NOT NULL AND NOT isnan(correlation)")
-    strongest = found.withColumn("abs_correlation", F.abs("correlation")).orderBy(
-        F.desc("abs_correlation"), "feature_1", "feature_2"
-    ).limit(top)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("abs_correlation"), "feature_1", "feature_2")
+    found = correlation_matrix(df, features).filter("i < j AND correlation IS NOT NULL").drop("i", "j")
+    by = [F.round("abs_correlation", 9).desc(), "feature_1", "feature_2"]
+    strongest = found.withColumn("abs_correlation", F.abs("correlation")).orderBy(*by).limit(top)
+    order = Window.partitionBy(F.lit(0)).orderBy(*by)
     return strongest.withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 

@@ -139,13 +139,15 @@ def feature_row(
     the joins below reuse one exchange of the text."""
     orders = sorted({1, order})
     placed = corpus.select(id_col, "text").repartition(text_partitions(corpus), id_col)
-    code = ngrams.self_code(corpus, order, id_col)
+    code = ngrams.document_code(corpus, order, id_col, model, alphabet_size)
+    bits = "bits_{}" if model is None else "ref_bits_{}"
+    columns = [
+        ngrams.nrc_column(F.col(bits.format(k)), F.col("chars"), k, alphabet_size) for k in orders
+    ]
     parts = [
         lexical_features(placed, language, gap, terms, id_col),
-        ngrams.self_features(code, orders, id_col).drop("chars", *[f"bits_{k}" for k in orders]),
+        code.select(id_col, *ngrams.self_columns(orders), *columns),
     ]
-    for k in orders:
-        parts.append(ngrams.nrc(corpus, model, k, alphabet_size, id_col))
-        if use_ncd and model is not None:
-            parts.append(ngrams.ncd(corpus, model, k, id_col))
+    if use_ncd and model is not None:
+        parts += [ngrams.ncd(corpus, model, k, id_col) for k in orders]
     return reduce(lambda a, b: a.join(b, id_col), parts)

@@ -104,23 +104,37 @@ def n_log_n(n: Column) -> Column:
 
 def context_totals(levels: DataFrame, keys: list[str]) -> DataFrame:
     """Per context: T occurrences, D distinct symbols, Q = sum of n log2 n, and the
-    count of the opening gram where the text starts in this context."""
-    return levels.groupBy(
-        *keys, "level", F.left(F.col("g"), F.col("level")).alias("ctx")
-    ).agg(
+    count of the opening gram where the text starts in this context. With a `cost`
+    per gram also R, the bits of all symbols, and O, those of the opening one."""
+    columns = [
         F.sum("n").alias("T"), F.count(F.lit(1)).alias("D"), F.sum(n_log_n(F.col("n"))).alias("Q"),
         F.max(F.when(F.col("head"), F.col("n"))).alias("opening"),
-    )
+    ]
+    if "cost" in levels.columns:
+        columns += [
+            F.sum(F.col("n") * F.col("cost")).alias("R"),
+            F.sum(F.when(F.col("head"), F.col("cost"))).alias("O"),
+        ]
+    return levels.groupBy(
+        *keys, "level", F.left(F.col("g"), F.col("level")).alias("ctx")
+    ).agg(*columns)
 
 
-def self_code(texts: DataFrame, order: int, id_col: str = "file_name") -> DataFrame:
-    """Code lengths of each text under its own model.
+def document_code(
+    texts: DataFrame, order: int, id_col: str = "file_name",
+    model: ReferenceModel | None = None, alphabet_size: int | None = None,
+) -> DataFrame:
+    """Code lengths of each text in one pass over its grams.
 
-    Columns: chars, entropy (bits per character over single characters) and
-    bits_1 .. bits_order. In its own model a text never meets an unseen symbol, so
-    a context costs T log2(T + D) - Q as a whole.
+    Columns: chars, entropy (bits per character over single characters),
+    bits_1 .. bits_order under the text's own model and, with a reference model,
+    ref_bits_1 .. ref_bits_order under that one. In its own model a text never meets
+    an unseen symbol, so a context costs T log2(T + D) - Q as a whole.
     """
-    totals = context_totals(gram_levels(raw_grams(texts, order, id_col), order, [id_col]), [id_col])
+    levels = gram_levels(raw_grams(texts, order, id_col), order, [id_col])
+    if model is not None:
+        levels = priced_levels(levels, model, order, alphabet_size)
+    totals = context_totals(levels, [id_col])
     level, T, D, Q = F.col("level"), F.col("T"), F.col("D"), F.col("Q")
 
     def bits(k: int) -> Column:
@@ -131,15 +145,26 @@ def self_code(texts: DataFrame, order: int, id_col: str = "file_name") -> DataFr
         )
         return (F.coalesce(body, F.lit(0.0)) + opening).alias(f"bits_{k}")
 
+    def ref_bits(k: int) -> Column:
+        return F.sum(
+            F.when(level == k, F.col("R")).when(level < k, F.coalesce("O", F.lit(0.0)))
+        ).alias(f"ref_bits_{k}")
+
+    orders = range(1, order + 1)
     return totals.groupBy(id_col).agg(
         F.max(F.when(level == 0, T)).alias("chars"),
         F.max(F.when(level == 0, F.log2(T) - Q / T)).alias("entropy"),
-        *[bits(k) for k in range(1, order + 1)],
+        *[bits(k) for k in orders],
+        *([ref_bits(k) for k in orders] if model is not None else []),
     )
 
 
-def self_features(code: DataFrame, orders: list[int], id_col: str = "file_name") -> DataFrame:
-    """Compression ratio and entropy ratio columns from self code lengths."""
+def self_code(texts: DataFrame, order: int, id_col: str = "file_name") -> DataFrame:
+    return document_code(texts, order, id_col)
+
+
+def self_columns(orders: list[int]) -> list[Column]:
+    """Entropy, compression ratio and entropy ratio from code lengths."""
     columns = [F.col("entropy").alias("Shannon_Entropy")]
     for k in orders:
         rate = F.col(f"bits_{k}") / F.col("chars")
@@ -148,7 +173,7 @@ def self_features(code: DataFrame, orders: list[int], id_col: str = "file_name")
             F.when(F.col("entropy") > 0, rate / F.col("entropy")).otherwise(F.lit(0.0))
             .alias(f"Entropy_Ratio_Order_{k}"),
         ]
-    return code.select(id_col, "chars", *[f"bits_{k}" for k in orders], *columns)
+    return columns
 
 
 def alphabet(texts: DataFrame, lowercase: bool = True) -> DataFrame:
@@ -314,40 +339,45 @@ def price_grams(grams: DataFrame, model: ReferenceModel, order: int, alphabet_si
     return priced.select(*grams.columns, cost.alias("cost"))
 
 
-def reference_code(
-    texts: DataFrame, model: ReferenceModel, order: int, alphabet_size: int,
-    id_col: str = "file_name",
+def priced_levels(
+    levels: DataFrame, model: ReferenceModel, order: int, alphabet_size: int
 ) -> DataFrame:
-    """(id, chars, bits): code length of each text under the reference model."""
-    grams = raw_grams(texts, order, id_col)
+    """Gram levels with the cost of each gram under the reference model."""
+    named = levels.withColumnRenamed("g", "gram")
     if model.small:
-        priced = price_grams(grams, model, order, alphabet_size)
+        priced = price_grams(named, model, order, alphabet_size)
     else:
         # Large alphabets: price each distinct gram once, then join back.
         costs = materialize(
-            price_grams(grams.select("gram").distinct(), model, order, alphabet_size)
+            price_grams(named.select("gram").distinct(), model, order, alphabet_size)
         )
-        priced = grams.join(F.broadcast(costs) if at_most(costs) else costs, "gram")
-    return priced.groupBy(id_col).agg(
-        F.sum("n").alias("chars"), F.sum(F.col("n") * F.col("cost")).alias("bits")
-    )
+        priced = named.join(F.broadcast(costs) if at_most(costs) else costs, "gram")
+    return priced.withColumnRenamed("gram", "g")
+
+
+def reference_code(
+    texts: DataFrame, model: ReferenceModel, order: int, alphabet_size: int,
+    id_col: str = "file_name",
+) -> DataFrame:
+    """(id, chars, bits): code length of each text under the reference model."""
+    code = document_code(texts, order, id_col, model, alphabet_size)
+    return code.select(id_col, "chars", F.col(f"ref_bits_{order}").alias("bits"))
+
+
+def nrc_column(bits: Column, chars: Column, order: int, alphabet_size: int) -> Column:
+    """Bits over L log2 A."""
+    most = chars * F.log2(F.lit(float(alphabet_size)))
+    return F.when(most > 0, bits / most).alias(f"NRC_Order_{order}")
 
 
 def nrc(
     texts: DataFrame, model: ReferenceModel | None, order: int, alphabet_size: int,
     id_col: str = "file_name",
 ) -> DataFrame:
-    """Bits under the reference model over L log2 A; the text's own model without one."""
-    if model is None:
-        code = self_code(texts, order, id_col).select(
-            id_col, "chars", F.col(f"bits_{order}").alias("bits")
-        )
-    else:
-        code = reference_code(texts, model, order, alphabet_size, id_col)
-    most = F.col("chars") * F.log2(F.lit(float(alphabet_size)))
-    return code.select(
-        id_col, F.when(most > 0, F.col("bits") / most).alias(f"NRC_Order_{order}")
-    )
+    """NRC under the reference model, or the text's own model without one."""
+    code = document_code(texts, order, id_col, model, alphabet_size)
+    bits = F.col(f"bits_{order}" if model is None else f"ref_bits_{order}")
+    return code.select(id_col, nrc_column(bits, F.col("chars"), order, alphabet_size))
 
 
 def joint_code(

@@ -152,7 +152,7 @@ def permutation_importance(spark, sf_dir):
 
 @query("shapley_additive", """
 SELECT c AS class, feature, round(a, 6) + 0.0 AS mean_abs_shap, round(m, 6) + 0.0 AS mean_shap,
-  row_number() OVER (PARTITION BY c ORDER BY a DESC, feature) AS rank
+  row_number() OVER (PARTITION BY c ORDER BY round(a, 9) DESC, feature) AS rank
 FROM (SELECT t.c, t.feature, avg(abs(term - mu)) AS a, avg(term - mu) AS m FROM main_terms t
   JOIN (SELECT p.y AS c, feature, avg(-0.5::DOUBLE * (x - mean) * (x - mean) / var) AS mu
     FROM feat JOIN main_params p USING (feature) WHERE split = 'train' GROUP BY p.y, feature) USING (c, feature)
@@ -173,12 +173,12 @@ SELECT feature_1, feature_2, round(c, 6) + 0.0 AS correlation FROM (
   SELECT * FROM pairs UNION ALL SELECT feature_2, feature_1, c FROM pairs
   UNION ALL SELECT f, f, 1 FROM (VALUES {', '.join(f"('{f}')" for f in FEATURES)}) v(f))""", ("pairs",))
 def correlation_matrix(spark, sf_dir):
-    return rounded(I.correlation_matrix(V.model_table(spark, sf_dir), FEATURES))
+    return rounded(I.correlation_matrix(V.model_table(spark, sf_dir), FEATURES).drop("i", "j"))
 
 
 @query("top_correlations", """
 SELECT feature_1, feature_2, round(c, 6) + 0.0 AS correlation, round(abs(c), 6) + 0.0 AS abs_correlation,
-  row_number() OVER (ORDER BY abs(c) DESC, feature_1, feature_2) AS rank
+  row_number() OVER (ORDER BY round(abs(c), 9) DESC, feature_1, feature_2) AS rank
 FROM pairs WHERE c IS NOT NULL AND NOT isnan(c) QUALIFY rank <= 20""", ("pairs",))
 def top_correlations(spark, sf_dir):
     return rounded(I.top_correlations(V.model_table(spark, sf_dir), FEATURES))

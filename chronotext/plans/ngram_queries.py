@@ -157,7 +157,7 @@ def char_ngrams(spark, sf_dir):
 
 
 def self_table(spark, sf_dir):
-    return ngrams.self_features(ngrams.self_code(V.corpus(spark, sf_dir), ORDER), [1, ORDER])
+    return ngrams.self_code(V.corpus(spark, sf_dir), ORDER).select("file_name", *ngrams.self_columns([1, ORDER]))
 
 
 @query("shannon_entropy", 'SELECT file_name, round(h, 6) + 0.0 AS "Shannon_Entropy" FROM entropy', ("entropy",))
