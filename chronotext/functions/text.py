@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.ml.feature import StopWordsRemover
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def digit_ratio(text: Column) -> Column:
 def stop_words(language: str) -> list[str]:
     try:
         return sorted(set(StopWordsRemover.loadDefaultStopWords(language)))
-    except Exception:  # no list for this language
+    except IllegalArgumentException:  # no list for this language
         return []
 
 

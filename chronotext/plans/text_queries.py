@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import zipfile
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +48,17 @@ SELECT file_name, w, count(*) AS n, avg(d) AS mean_gap, median(d) AS median_gap
   SELECT file_name, w, p - lag(p) OVER (PARTITION BY file_name, w ORDER BY p) AS d FROM tokpos)
 GROUP BY file_name, w""", ("tokpos",))
 
-STOP = quoted(X.stop_words("english"))
+
+
+def packaged_stop_words(language: str) -> list[str]:
+    """The list Spark ships, read from its jar: SQL text is built without a session."""
+    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
+    with zipfile.ZipFile(jar) as z:
+        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
+    return sorted(set(raw.split()))
+
+
+STOP = quoted(packaged_stop_words("english"))
 SYLLABLES = r"""list_sum(list_transform(words, lambda w: greatest(1,
     len(regexp_extract_all(w, '[aeiouy]+'))
     - CASE WHEN regexp_matches(w, '[aeiouy][^aeiouy\s]+e[^\p{L}\s]*$') THEN 1 ELSE 0 END)))"""

@@ -19,7 +19,10 @@ def read_text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> D
         .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
     )
-    return drop_empty(files.withColumn("text", F.replace("text", F.lit("�"), F.lit(""))))
+    repaired = F.replace(F.make_valid_utf8("text"), F.lit("\ufffd"), F.lit(""))
+    return drop_empty(
+        files.withColumn("text", F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(repaired))
+    )
 
 
 def read_corpus(spark: SparkSession, path: str, id_col: str, text_col: str = "text") -> DataFrame:
