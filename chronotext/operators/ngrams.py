@@ -216,15 +216,19 @@ def concatenated(texts: DataFrame, order: int, seed: int = 42, id_col: str = "fi
 class ReferenceModel:
     """Counts of a reference text at each context length.
 
-    grams: (level, g, n); contexts: (level, ctx, T, D, Q, X), where X is the count
-    that the symbols of ctx have after the next shorter context. Both are written
-    out once. `opening` holds the first characters and `bits` the self code length
-    per order: a handful of scalars.
+    grams: (level, g, n); costs: (g, bits), the bits of a symbol after its context;
+    contexts: (level, ctx, T, D, Q, X), where X is the count that the symbols of ctx
+    have after the next shorter context. All are written out once. `opening` holds the
+    first characters, `bits` the self code length per order, `length` and `distinct`
+    the characters and distinct characters: a handful of scalars.
     """
 
     order: int
     grams: DataFrame
+    costs: DataFrame
     contexts: DataFrame
+    length: int
+    distinct: int
     opening: str
     bits: dict[int, float]
     body: dict[int, float]
@@ -280,8 +284,14 @@ def reference_model(
     )
     contexts = materialize(totals.join(below, ["level", "ctx"], "left"))
     level, T, D, Q = F.col("level"), F.col("T"), F.col("D"), F.col("Q")
+    costs = materialize(
+        grams.select("level", "g", "n", F.left(F.col("g"), level).alias("ctx"))
+        .join(contexts.select("level", "ctx", "T", "D"), ["level", "ctx"])
+        .select("g", (F.log2(T + D) - F.log2("n")).alias("bits"))
+    )
     orders = range(1, order + 1)
     sums = contexts.agg(
+        F.max(F.when(level == 0, T)).alias("length"), F.max(F.when(level == 0, D)).alias("distinct"),
         *[F.coalesce(F.sum(F.when(level == k, T * F.log2(T + D) - Q)), F.lit(0.0)).alias(f"b{k}")
           for k in orders],
         *[F.coalesce(F.sum(F.when((level < k) & F.col("opening").isNotNull(),
@@ -292,7 +302,10 @@ def reference_model(
     return ReferenceModel(
         order,
         grams.select("level", "g", "n"),
+        costs,
         contexts.select("level", "ctx", "T", "D", "Q", "X"),
+        sums["length"] or 0,
+        sums["distinct"] or 0,
         opening,
         {k: sums[f"b{k}"] + sums[f"o{k}"] for k in orders},
         {k: sums[f"b{k}"] for k in orders},
@@ -302,41 +315,49 @@ def reference_model(
 def price_grams(grams: DataFrame, model: ReferenceModel, order: int, alphabet_size: int) -> DataFrame:
     """Add `cost`, the bits of each gram's symbol under the reference model.
 
+    A gram the reference holds has its cost in the model. Only for the others does the
+    chain of shorter contexts matter; their lookups get null keys for all other rows.
     From the longest context down: an unseen context falls at no cost, a seen one
     without the symbol pays for the escape, unless nothing is left after exclusion.
     """
     size = F.length("gram")
-    priced = grams
-    for j in range(order, -1, -1):
-        g = model.grams.filter(F.col("level") == j).select(
-            F.col("g").alias(f"_g{j}"), F.col("n").alias(f"_N{j}")
-        )
+    costs = model.costs.select(F.col("g").alias("gram"), F.col("bits").alias("_bits"))
+    priced = grams.join(model.lookup(costs), "gram", "left")
+    unseen = F.col("_bits").isNull()
+    for j in range(order, 0, -1):
+        if j < order:
+            g = model.grams.filter(F.col("level") == j).select(
+                F.col("g").alias(f"_g{j}"), F.col("n").alias(f"_N{j}")
+            )
+            key = F.when(unseen & (size > j + 1), F.right(F.col("gram"), F.lit(j + 1)))
+            priced = priced.withColumn(f"_g{j}", key).join(model.lookup(g), f"_g{j}", "left")
         c = model.contexts.filter(F.col("level") == j).select(
             F.col("ctx").alias(f"_c{j}"), F.col("T").alias(f"_T{j}"), F.col("D").alias(f"_D{j}"),
             F.col("X").alias(f"_X{j}"),
         )
-        priced = priced.withColumn(
-            f"_g{j}", F.when(size > j, F.right(F.col("gram"), F.lit(j + 1)))
-        ).withColumn(f"_c{j}", F.left(F.col(f"_g{j}"), F.lit(j)))
-        priced = priced.join(model.lookup(g), f"_g{j}", "left").join(
-            model.lookup(c), f"_c{j}", "left"
-        )
-    cost = None
+        key = F.when(unseen & (size > j), F.left(F.right(F.col("gram"), F.lit(j + 1)), F.lit(j)))
+        priced = priced.withColumn(f"_c{j}", key).join(model.lookup(c), f"_c{j}", "left")
+    single = model.grams.filter("level = 0").select(F.col("g").alias("_g0"), F.col("n").alias("_N0"))
+    key = F.when(unseen & (size > 1), F.right(F.col("gram"), F.lit(1)))
+    priced = priced.withColumn("_g0", key).join(model.lookup(single), "_g0", "left")
+
+    nothing = F.lit(None).cast("bigint")
+    cost = F.log2(F.lit(float(max(1, alphabet_size - model.distinct))))
     for j in range(0, order + 1):
-        T, D = F.col(f"_T{j}"), F.col(f"_D{j}")
+        N = F.col(f"_N{j}") if j < order else nothing
+        if j:
+            T, D, seen = F.col(f"_T{j}"), F.col(f"_D{j}"), F.col(f"_T{j}").isNotNull()
+        else:
+            T, D, seen = F.lit(model.length), F.lit(model.distinct), F.lit(model.length > 0)
         if j < order:  # what the next longer context has already excluded
             T = T - F.coalesce(F.col(f"_X{j + 1}"), F.lit(0))
             D = D - F.coalesce(F.col(f"_D{j + 1}"), F.lit(0))
-        if j == 0:
-            lower = F.log2(F.greatest(F.lit(1), F.lit(alphabet_size) - F.coalesce(F.col("_D0"), F.lit(0))))
-        else:
-            lower = cost
         cost = (
-            F.when(F.col(f"_N{j}").isNotNull(), F.log2(T + D) - F.log2(F.col(f"_N{j}")))
-            .when(F.col(f"_T{j}").isNull() | (D <= 0), lower)
-            .otherwise(F.log2(T + D) - F.log2(D) + lower)
+            F.when(N.isNotNull(), F.log2(T + D) - F.log2(N))
+            .when(seen & (D > 0), F.log2(T + D) - F.log2(D) + cost)
+            .otherwise(cost)
         )
-    return priced.select(*grams.columns, cost.alias("cost"))
+    return priced.select(*grams.columns, F.coalesce("_bits", cost).alias("cost"))
 
 
 def priced_levels(

@@ -15,6 +15,7 @@ from chronotext.functions.vocabulary import (
     DISTANCE_FEATURES, LEXICAL_FEATURES, NEOLOGISM_FEATURES, READABILITY_FEATURES,
 )
 from chronotext.plans.registry import cte, stored
+from chronotext.session import tune
 
 LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 SPLITS = ["train", "validation", "test", "gutenberg"]
@@ -25,6 +26,7 @@ SEED = 42
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, spread out where the files split into fewer pieces than there
     are cores (a single small file); a large table is read as it lies."""
+    tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cores = spark.sparkContext.defaultParallelism
     return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
