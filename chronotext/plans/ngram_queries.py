@@ -216,7 +216,7 @@ FULL_ROW = (
     LEXICAL_FEATURES + READABILITY_FEATURES + DISTANCE_FEATURES + NEOLOGISM_FEATURES + COMPRESSION_FEATURES
 )
 cte("feature_row", """
-SELECT r.*, round(c.bits_1 / (c.chars * log2(alpha.a)), 9) AS "NRC_Order_1", round(c.bits_2 / (c.chars * log2(alpha.a)), 9) AS "NRC_Order_2",
+SELECT r.*, c.bits_1 / (c.chars * log2(alpha.a)) AS "NRC_Order_1", c.bits_2 / (c.chars * log2(alpha.a)) AS "NRC_Order_2",
   s.bits_1 / s.chars / 8 AS "Compression_Ratio_Order_1", s.bits_2 / s.chars / 8 AS "Compression_Ratio_Order_2",
   CASE WHEN h > 1e-12 THEN s.bits_1 / s.chars / h ELSE 0 END AS "Entropy_Ratio_Order_1",
   CASE WHEN h > 1e-12 THEN s.bits_2 / s.chars / h ELSE 0 END AS "Entropy_Ratio_Order_2", h AS "Shannon_Entropy"
