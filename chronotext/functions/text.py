@@ -9,13 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronotext.functions.vocabulary import (
-    HISTORICAL_PERIODS, MODERN_PERIODS, NEOLOGISMS, TARGET_WORDS,
+    ENGLISH_STOP_WORDS, HISTORICAL_PERIODS, MODERN_PERIODS, NEOLOGISMS, TARGET_WORDS,
 )
 
 # Unicode white space plus the four separator controls that also end a word.
@@ -80,6 +78,12 @@ def digit_ratio(text: Column) -> Column:
 
 
 def stop_words(language: str) -> list[str]:
+    """The English list is a fixed value; other lists are the ones Spark ML ships."""
+    if language == "english":
+        return sorted(ENGLISH_STOP_WORDS)
+    from pyspark.errors import IllegalArgumentException
+    from pyspark.ml.feature import StopWordsRemover
+
     try:
         return sorted(set(StopWordsRemover.loadDefaultStopWords(language)))
     except IllegalArgumentException:  # no list for this language

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +14,15 @@ BROADCAST_ROWS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can see, named by spark.checkpoint.dir.
 
-    A local temporary folder is used only where the setting is absent (tests).
+    Where that is absent, a folder below the warehouse, which the executors share too.
+    A local warehouse is refused on a cluster: each executor would see its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="chronotext-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+        local = folder.startswith(("file:", "/"))
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
