@@ -20,6 +20,17 @@ MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
 
+def find_package(spark) -> None:
+    """Let Python workers find this package where the driver does. A cluster without a shared
+    folder gets it with --py-files, as any Spark job does."""
+    import os
+    from pathlib import Path
+
+    root, held = str(Path(__file__).parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held]))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> U64(30))) * U64(MIX_1)
@@ -134,3 +145,34 @@ def record(arrays: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
         [a if isinstance(a, pa.Array) else pa.array(a, type=f.type) for f, a in ((f, arrays[f.name]) for f in schema)],
         schema=schema,
     )
+
+
+def sum_parts(rows, count, size: int, width: int = 4096) -> np.ndarray:
+    """The sum over all tasks of an integer array of fixed size.
+
+    `count(batches)` yields each task's array in parts of `width`. Parts are summed where they
+    meet, as a stream, so a task holds one array however many tasks there are."""
+
+    def emit(batches):
+        parts = [(i, p.astype("<i8").tobytes()) for i, p in enumerate(count(batches)) if p.any()]
+        for some in (parts[i: i + 64] for i in range(0, len(parts), 64)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())],
+                names=["part", "counts"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                own = np.frombuffer(counts.as_py(), dtype="<i8")
+                totals[i] = totals[i] + own if i in totals else own
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())],
+            names=["part", "counts"])
+
+    fields = "part int, counts binary"
+    summed = rows.mapInArrow(emit, fields).repartition("part").mapInArrow(add, fields)
+    out = np.zeros(size, dtype=np.int64)
+    for row in summed.collect():  # size / width rows
+        out[row["part"] * width: (row["part"] + 1) * width] = np.frombuffer(row["counts"], dtype="<i8")
+    return out

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import best_fit, chat, token_counts, url_rules
+from chronotext.llm.common import find_package
+from chronotext.llm import (
+    best_fit, chat, language_id, nb_svm, quality_rules, token_counts, url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +19,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            find_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -107,6 +116,85 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+# --- 6: quality rules -----------------------------------------------------------------
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+@query("op6_quality_rules", rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS nth, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+wins AS (
+  SELECT nth, i, list_slice(ws, i, i + 7) AS g
+  FROM (SELECT nth, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
+twice AS (SELECT nth, i FROM wins QUALIFY count(*) OVER (PARTITION BY nth, g) > 1),
+rep AS (SELECT nth, count(DISTINCT p) AS n FROM (SELECT nth, i + unnest(range(0, 8)) AS p FROM twice) GROUP BY nth),
+raw AS (SELECT nth, source, unnest(string_split(text, chr(10))) AS line FROM d),
+worded AS (
+  SELECT nth, source, line, regexp_extract_all(line, '{_WORD}') AS lw FROM raw WHERE regexp_matches(line, '{_WORD}')),
+dup AS (SELECT nth, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY nth),
+keyed AS (
+  SELECT nth, source, substr(md5(translate(array_to_string(lw, ' '), {_AZ})), 1, 16) AS k, sum(len(lw)) AS n
+  FROM worded GROUP BY ALL),
+least AS (SELECT nth, list_sort(list(k))[1:2] AS two FROM keyed GROUP BY nth),
+ctx AS (
+  SELECT source, k, CASE WHEN two[1] <> k THEN two[1] ELSE coalesce(two[2], '') END AS c FROM keyed JOIN least USING (nth)),
+freq AS (SELECT source, k, count(DISTINCT c) AS in_docs FROM ctx GROUP BY source, k),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+bad AS (
+  SELECT f.source, f.k FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
+  WHERE in_docs > 20 AND in_docs * 100 > docs),
+gone AS (
+  SELECT nth, sum(n) AS n FROM keyed JOIN bad ON keyed.k = bad.k AND keyed.source IS NOT DISTINCT FROM bad.source GROUP BY nth),
+base AS (
+  SELECT nth, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN dup USING (nth) LEFT JOIN rep USING (nth) LEFT JOIN gone USING (nth)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (n_words - removed_words) * 100 >= n_words * 30 AS kept, removed_words
+FROM judged""")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).select(
+        F.col("doc").alias("doc_id"), *quality_rules.BASE, "base_failed", "kept", "removed_words"
+    )
+
+
+# --- 7: quality classifier ------------------------------------------------------------
+
+QUALITY_LIMIT = 0.3
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return nb_svm.fit(docs, nb_svm.known_labels(labels))
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return nb_svm.score(docs, quality_model(spark, docs, sf_dir)).select(
+        "doc_id", nb_svm.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_LIMIT).cast("int").alias("predicted"),
+    )
+
+
+# --- 8: language ID -------------------------------------------------------------------
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = nb_svm.held_out(F.col("doc_id"), 3, 1)
+    model = language_id.train(docs.filter(~held))
+    return language_id.identify(docs, model).select(
+        "doc_id", nb_svm.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected"
+    )
+
+
 # --- 9: best-fit packing --------------------------------------------------------------
 
 @query("op9_best_fit_packing")
