@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronotext.llm.common import find_package
 from chronotext.llm import (
-    best_fit, chat, language_id, nb_svm, quality_rules, token_counts, url_rules,
+    best_fit, chat, decontaminate, language_id, nb_svm, quality_rules, token_counts, url_rules,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,35 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+# --- 10: benchmark decontamination ----------------------------------------------------
+
+_BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query("op10_benchmark_decontamination", rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS nth, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_BENCH_WORD}') AS ws
+  FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_BENCH_WORD}') AS ws FROM benchmark),
+w AS (
+  SELECT DISTINCT item_id, list_slice(ws, s, s + least(len(ws), 10) - 1) AS win
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS s FROM b WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT len(win) AS k FROM w),
+spots AS (
+  SELECT nth, s, k, list_slice(ws, s, s + k - 1) AS win
+  FROM (SELECT nth, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, lens WHERE len(ws) >= k)),
+hits AS (SELECT nth, s, k, win FROM spots SEMI JOIN w USING (win)),
+cover AS (SELECT nth, count(DISTINCT p) AS n FROM (SELECT nth, s + unnest(range(0, k)) AS p FROM hits) GROUP BY nth),
+items AS (SELECT DISTINCT nth, CAST(item_id AS VARCHAR) AS item FROM hits JOIN w USING (win)),
+named AS (SELECT nth, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM items GROUP BY nth)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(cover.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (nth) LEFT JOIN named USING (nth)""")
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
