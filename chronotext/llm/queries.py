@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronotext.llm.common import find_package
 from chronotext.llm import (
-    best_fit, chat, decontaminate, language_id, nb_svm, quality_rules, token_counts, url_rules,
+    best_fit, chat, decontaminate, jaccard_join, language_id, nb_svm, quality_rules, token_counts, url_rules,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer's file."""
     import public_tokenizers
@@ -116,12 +120,28 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-# --- 6: quality rules -----------------------------------------------------------------
+# --- 5: n-gram Jaccard join -----------------------------------------------------------
 
-_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-_WORD = r"[^\x20\x09-\x0D]+"
+@query("op5_ngram_jaccard_join", rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + least(len(ws), 5) - 1), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id""")
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
 
 
+# --- 6: quality rules -----------------------------------------------------------------
+
 @query("op6_quality_rules", rf"""
 WITH d AS (
   SELECT row_number() OVER () AS nth, doc_id, source, coalesce(text, '') AS text,
