@@ -104,11 +104,11 @@ def batch_of(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def profile(docs: DataFrame, kind: str) -> DataFrame:
-    """doc, n, node of each row (node null for an empty set), and parts of the sketch."""
+    """doc, version, n, node of each row (node null for an empty set), and parts of the sketch."""
 
     def count(batches):
         sets, seen, sketch = Sets(), Seen(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        names = ["doc", "n", "node", "part", "counts"]
+        names = ["doc", "version", "n", "node", "part", "counts"]
         for batch in batches:
             n, nodes, waiting, size = [], [], [], 0
             for s in sets(batch, "text"):
@@ -124,16 +124,16 @@ def profile(docs: DataFrame, kind: str) -> DataFrame:
             if waiting:
                 sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield batch_of(names, batch.column("doc"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *none)
+            yield batch_of(names, batch.column("doc"), batch.column("version"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *none)
         parts = [(i, p) for i, p in enumerate(sketch.reshape(-1, PART)) if p.any()]
         packed = pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for _, p in parts], pa.binary())
         none = pa.nulls(len(parts), pa.int64())
-        yield batch_of(names, none.cast(types["doc"]), none, none, pa.array([i for i, _ in parts], pa.int32()), packed)
+        yield batch_of(names, none.cast(types["doc"]), none, none, none, pa.array([i for i, _ in parts], pa.int32()), packed)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = {"doc": to_arrow_type(docs.schema["doc"].dataType)}
-    return docs.mapInArrow(count, f"doc {kind}, n bigint, node bigint, part int, counts binary")
+    return docs.mapInArrow(count, f"doc {kind}, version bigint, n bigint, node bigint, part int, counts binary")
 
 
 def frequency_levels(profiled: DataFrame) -> np.ndarray:
@@ -418,14 +418,14 @@ def labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:
-    """doc, n_shingles and component_id (the smallest id reachable by links) of each row."""
+    """doc, version (hash of the text), n_shingles and component_id (the smallest id reachable by links) of each row."""
     share = Fraction(str(threshold))
     top, bottom = share.numerator, share.denominator
-    docs = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     kind = docs.schema["doc"].dataType.simpleString()
     profiled = materialize(profile(docs, kind))
     lists = materialize(shared_postings(postings(docs, frequency_levels(profiled), top, bottom)))
-    rows = profiled.filter("part IS NULL").select("doc", "n", "node")
+    rows = profiled.filter("part IS NULL").select("doc", "version", "n", "node")
     sets = set_table(docs, rows, lists.select("node").distinct())
     links = labels = None
     for _ in range(ROUNDS):
@@ -443,6 +443,23 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = named.join(least, "comp").select("node", "component_id")
     return rows.join(named, "node", "left").select(
-        F.col("doc").alias(doc), F.col("n").alias("n_shingles"),
+        F.col("doc").alias(doc), "version", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:
+    """One document of each component, all columns: that of the smallest id. Documents without
+    words are in no group and stay. An id that several rows have stays once for each text."""
+    found = near_duplicates(docs, doc, text, threshold)
+    gone = found.filter(~F.col(doc).eqNullSafe(F.col("component_id"))).select(
+        F.col(doc).alias("__doc"), F.col("version").alias("__version")).distinct()
+    left = docs.join(
+        gone, F.col(doc).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__version")), "left_anti")
+    repeated = found.groupBy(doc).count().filter(F.col("count") > 1).select(F.col(doc).alias("__doc"))
+    repeated = materialize(repeated)
+    if repeated.isEmpty():
+        return left
+    again = F.col(doc).eqNullSafe(F.col("__doc"))
+    return left.join(repeated, again, "left_anti").unionByName(
+        left.join(repeated, again, "left_semi").dropDuplicates([doc, text]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronotext.llm.common import find_package
 from chronotext.llm import (
-    best_fit, chat, decontaminate, jaccard_join, language_id, nb_svm, quality_rules, token_counts, url_rules,
+    best_fit, chat, decontaminate, jaccard_join, language_id, nb_svm, quality_rules, token_counts, url_rules, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+# --- 2: WARC derivatives --------------------------------------------------------------
+
+CRAWLED = "2024-01-01T00:00:00Z"  # the pages table holds no dates
+
+
+@query("op2_warc_derivatives")
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.derive(warc.responses(pages, CRAWLED), keep=("page_id",))
+
+
 # --- 3: chat formatting ---------------------------------------------------------------
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -137,7 +148,7 @@ m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id""")
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+    return jaccard_join.near_duplicates(documents(spark, sf_dir)).drop("version")
 
 
 # --- 6: quality rules -----------------------------------------------------------------
