@@ -6,12 +6,15 @@ beside a slice stay small; one text longer than that is a slice of its own.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from chronotext.session import at_most
+
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
 # Odd constants of the hash functions.
@@ -154,7 +157,7 @@ def sum_parts(rows, count, size: int, width: int = 4096) -> np.ndarray:
     meet, as a stream, so a task holds one array however many tasks there are."""
 
     def emit(batches):
-        parts = [(i, p.astype("<i8").tobytes()) for i, p in enumerate(count(batches)) if p.any()]
+        parts = [(i, zlib.compress(p.astype("<i8").tobytes(), 1)) for i, p in enumerate(count(batches)) if p.any()]
         for some in (parts[i: i + 64] for i in range(0, len(parts), 64)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())],
@@ -164,7 +167,7 @@ def sum_parts(rows, count, size: int, width: int = 4096) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                own = np.frombuffer(counts.as_py(), dtype="<i8")
+                own = np.frombuffer(zlib.decompress(counts.as_py()), dtype="<i8")
                 totals[i] = totals[i] + own if i in totals else own
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())],
@@ -176,3 +179,14 @@ def sum_parts(rows, count, size: int, width: int = 4096) -> np.ndarray:
     for row in summed.collect():  # size / width rows
         out[row["part"] * width: (row["part"] + 1) * width] = np.frombuffer(row["counts"], dtype="<i8")
     return out
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df, rows: int = BROADCAST_ROWS):
+    """Marked for broadcast where a count proves it has at most `rows` short rows; else it is
+    left to a join by shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if at_most(df, rows) else df

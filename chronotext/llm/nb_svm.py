@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import (
-    U64, ascii_space, lower_ascii, mix, slices, span_hashes, sum_parts, table, word_spans,
+    U64, ascii_space, lower_ascii, mix, sized, slices, span_hashes, sum_parts, table, word_spans,
 )
 
 BITS = 18
@@ -132,8 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 
     `labels` has one row (doc, label 0 or 1) for each text to learn from."""
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    ratios = log_count_ratios(texts.join(labels.toDF("doc", "label"), "doc"), "text", "label")
-    known = labels.toDF("doc", "label").withColumn("spread", F.xxhash64("doc", F.lit(17)))
+    labels = labels.toDF("doc", "label")
+    ratios = log_count_ratios(texts.join(sized(labels), "doc"), "text", "label")
+    known = labels.withColumn("spread", F.xxhash64("doc", F.lit(17)))
     chosen = [known.filter(F.col("label") == y).orderBy("spread", "doc").limit(sample) for y in (0, 1)]
     # At most 2 * sample rows.
     chosen = texts.join(F.broadcast(chosen[0].union(chosen[1]).drop("spread")), "doc")
