@@ -436,7 +436,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
         labels = materialize(components(links))
     found = verified(different_components(labelled(lists, labels), top, bottom), sets, top, bottom)
     if not found.isEmpty():
-        labels = materialize(components(links.union(found)))
+        labels = materialize(components(found if links is None else links.union(found)))
     ids = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"))
     named = labelled(ids, labels)
     # Only components of several nodes need another shuffle to find their least id.

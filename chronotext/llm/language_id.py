@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import MIX_2, U64, mix
+from chronotext.llm.common import MIX_2, U64, mix, sized
 from chronotext.session import materialize
 
 ORDER = 4
@@ -156,7 +156,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
         cut = few.select("lang", F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
                          .otherwise(0.5).alias("d"))
         sums = own.groupBy("lang", "h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        own = own.join(sums, ["lang", "h"]).join(cut, "lang")
+        own = own.join(sums, ["lang", "h"]).join(sized(cut), "lang")  # a row for each language
         grams_k = own.groupBy("lang", F.lit(k).alias("kind"), F.col("g").alias("hash")).agg(
             F.max((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
         contexts = own.groupBy("lang", F.lit(-k).alias("kind"), F.col("h").alias("hash")).agg(

@@ -55,8 +55,9 @@ class Indicators:
             words = span_hashes(own, starts, ends)
             pairs = mix(words[:-1] * U64(3) + words[1:])
             back = np.zeros(len(words), dtype=U64)
-            for k in range(BACK, 0, -1):
-                back[k:][words[k:] == words[:-k]] = k
+            place = np.arange(len(words)) - np.repeat(rows[:-1], np.diff(rows))
+            for k in range(BACK, 0, -1):  # the nearest is set last
+                back[k:][(words[k:] == words[:-k]) & (place[k:] >= k)] = k
             refs = mix(back[:-1] * U64(BACK + 1) + back[1:] + U64(77))
             short = [(x >> U64(64 - BITS)).astype(np.int64) for x in (words, pairs, refs)]
             for row in range(j - i):
@@ -175,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 
     # One task fits at most 2 * sample rows.
     model = sampled.repartition(1).sortWithinPartitions("doc").mapInArrow(train, "model binary").collect()
-    model = np.frombuffer(model[0]["model"])
-    return np.concatenate([model, ratios])
+    if not model:  # nothing is labelled
+        return np.concatenate([np.zeros(size + 3), ratios])
+    return np.concatenate([np.frombuffer(model[0]["model"]), ratios])
 
 
 def score(docs: DataFrame, model: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
