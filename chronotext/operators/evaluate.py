@@ -17,14 +17,16 @@ def cells(pred: DataFrame, keys: list[str]) -> DataFrame:
     return pred.groupBy(*keys, "y", "y_hat").agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(pred: DataFrame, keys: list[str], n_classes: int) -> DataFrame:
-    """All class pairs of every group, zero where nothing fell."""
+def confusion_matrix(pred: DataFrame, keys: list[str], class_keys: list[str]) -> DataFrame:
+    """All class pairs of every group, zero where nothing fell.
+
+    `class_keys` are the keys that fix the set of classes (a time scale); the classes are all
+    that occur as truth or prediction there."""
     counted = cells(pred, keys)
-    every = F.sequence(F.lit(0), F.lit(n_classes - 1))
-    grid = (
-        counted.select(*keys).distinct().withColumn("y", F.explode(every))
-        .withColumn("y_hat", F.explode(every))
-    )
+    classes = counted.groupBy(*class_keys).agg(F.collect_set("y").alias("_t"), F.collect_set("y_hat").alias("_p"))
+    classes = classes.select(*class_keys, F.array_union("_t", "_p").alias("_classes"))  # one entry a class
+    groups = counted.select(*keys).distinct().join(classes, class_keys)
+    grid = groups.withColumn("y", F.explode("_classes")).withColumn("y_hat", F.explode("_classes")).drop("_classes")
     return grid.join(counted, [*keys, "y", "y_hat"], "left").select(
         *keys, "y", "y_hat", F.coalesce("n", F.lit(0)).alias("n")
     )

@@ -233,7 +233,7 @@ def tomek_removed(spark, sf_dir):
 @query("smote")
 def smote(spark, sf_dir):
     made = neighbours.smote(points(spark, sf_dir))
-    return made.select("id", "label", "synthetic", F.round(F.get("vec", F.lit(0)), 6).alias("v0"))
+    return made.select("id", "label", "synthetic", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
 
 
 # --- Spark ML ---------------------------------------------------------------------------------

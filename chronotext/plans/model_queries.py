@@ -192,10 +192,6 @@ def rr(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns)
 
 
-MAIN = "time_scale, dataset"
-WHERE_MAIN = "WHERE feature_subset = 'main' AND model = 'gnb'"
-
-
 # --- E: naive Bayes, baseline ------------------------------------------------------
 
 
@@ -207,14 +203,13 @@ def gnb_fit(spark, sf_dir):
 
 
 @query("gnb_score", f"""
-SELECT file_name, time_scale, dataset, any_value(probs.y) AS y, max(y_hat) AS y_hat,
+SELECT feature_subset, file_name, time_scale, dataset, any_value(probs.y) AS y, max(y_hat) AS y_hat,
   round(max(p), 6) + 0.0 AS p_max, round(max(CASE WHEN c = probs.y THEN p END), 6) + 0.0 AS p_true
-FROM probs JOIN pred USING (feature_subset, time_scale, dataset, file_name) WHERE feature_subset = 'main'
-GROUP BY file_name, time_scale, dataset""", ("probs", "pred"))
+FROM probs JOIN pred USING (feature_subset, time_scale, dataset, file_name)
+GROUP BY feature_subset, file_name, time_scale, dataset""", ("probs", "pred"))
 def gnb_score(spark, sf_dir):
-    pred = main_predictions(spark, sf_dir)
-    return rounded(pred.select(
-        "file_name", "time_scale", "dataset", "y", "y_hat", F.array_max("probs").alias("p_max"),
+    return rounded(predictions(spark, sf_dir).select(
+        "feature_subset", "file_name", "time_scale", "dataset", "y", "y_hat", F.array_max("probs").alias("p_max"),
         F.get("probs", F.col("y")).alias("p_true"),
     ))
 
@@ -229,40 +224,42 @@ def random_baseline(spark, sf_dir):
 BY = ["time_scale", "dataset"]
 
 
+cte("seen_classes", "SELECT time_scale, y FROM pred UNION SELECT time_scale, y_hat FROM pred", ("pred",))
+
+
 @query("confusion_matrix", f"""
-SELECT g.dataset, g.y, g.y_hat, coalesce(n, 0) AS n FROM (
-  SELECT dataset, a.y, b.y AS y_hat FROM (SELECT DISTINCT dataset FROM pred)
-  CROSS JOIN (SELECT DISTINCT y FROM pred WHERE time_scale = 'decades') a
-  CROSS JOIN (SELECT DISTINCT y FROM pred WHERE time_scale = 'decades') b) g
-LEFT JOIN (SELECT * FROM m_cells {WHERE_MAIN} AND time_scale = 'decades') c USING (dataset, y, y_hat)""", ("m_cells", "pred"))
+SELECT g.feature_subset, g.time_scale, g.dataset, a.y, b.y AS y_hat, coalesce(n, 0) AS n
+FROM (SELECT DISTINCT feature_subset, time_scale, dataset FROM pred) g
+JOIN seen_classes a ON a.time_scale = g.time_scale JOIN seen_classes b ON b.time_scale = g.time_scale
+LEFT JOIN (SELECT * FROM m_cells WHERE model = 'gnb') c ON c.feature_subset = g.feature_subset
+  AND c.time_scale = g.time_scale AND c.dataset = g.dataset AND c.y = a.y AND c.y_hat = b.y""", ("m_cells", "pred", "seen_classes"))
 def confusion_matrix(spark, sf_dir):
-    pred = main_predictions(spark, sf_dir).filter("time_scale = 'decades'")
-    return rounded(evaluate.confusion_matrix(pred, ["dataset"], 20))
+    return rounded(evaluate.confusion_matrix(predictions(spark, sf_dir), PLACE, ["time_scale"]))
 
 
 def _register_metrics(key: str, columns: list[str], source: str, fn) -> None:
-    @query(key, f"SELECT {MAIN}, {rr(*columns)} FROM {source} {WHERE_MAIN}", (source,))
+    @query(key, f"SELECT {K}, {rr(*columns)} FROM {source} WHERE model = 'gnb'", (source,))
     def run(spark, sf_dir):
-        return rounded(fn(main_predictions(spark, sf_dir)).select(*BY, *columns))
+        return rounded(fn(predictions(spark, sf_dir)).select(*KEYS, *columns))
 
 
 PRF = [f"{m}_{a}" for a in ("macro", "weighted") for m in ("f1", "recall", "precision")]
-_register_metrics("accuracy", ["accuracy"], "m_acc", lambda p: evaluate.accuracy(evaluate.cells(p, BY), BY))
+_register_metrics("accuracy", ["accuracy"], "m_acc", lambda p: evaluate.accuracy(evaluate.cells(p, KEYS), KEYS))
 _register_metrics("precision_recall_f1", PRF, "m_prf",
-                  lambda p: evaluate.precision_recall_f1(evaluate.cells(p, BY), BY))
+                  lambda p: evaluate.precision_recall_f1(evaluate.cells(p, KEYS), KEYS))
 _register_metrics("ordinal_errors", ["rmse", "mae", "r2"], "m_ord",
-                  lambda p: evaluate.ordinal_errors(evaluate.cells(p, BY), BY))
-_register_metrics("auc_roc_ovr_macro", ["auc_roc"], "prob_areas", lambda p: evaluate.probability_areas(p, BY))
-_register_metrics("auprc_macro", ["auprc"], "prob_areas", lambda p: evaluate.probability_areas(p, BY))
+                  lambda p: evaluate.ordinal_errors(evaluate.cells(p, KEYS), KEYS))
+_register_metrics("auc_roc_ovr_macro", ["auc_roc"], "prob_areas", lambda p: evaluate.probability_areas(p, KEYS))
+_register_metrics("auprc_macro", ["auprc"], "prob_areas", lambda p: evaluate.probability_areas(p, KEYS))
 _register_metrics("topk_accuracy", [f"top{k}_accuracy" for k in KS], "topk",
-                  lambda p: evaluate.topk_accuracy(p, BY, KS))
-_register_metrics("evaluation_report", METRICS, "report", lambda p: evaluate.evaluation_report(p, BY, KS))
+                  lambda p: evaluate.topk_accuracy(p, KEYS, KS))
+_register_metrics("evaluation_report", METRICS, "report", lambda p: evaluate.evaluation_report(p, KEYS, KS))
 
 
 @query("prediction_distribution", f"""
-SELECT {MAIN}, y_hat, sum(n)::BIGINT AS n FROM m_cells {WHERE_MAIN} GROUP BY {MAIN}, y_hat""", ("m_cells",))
+SELECT {K}, y_hat, sum(n)::BIGINT AS n FROM m_cells WHERE model = 'gnb' GROUP BY {K}, y_hat""", ("m_cells",))
 def prediction_distribution(spark, sf_dir):
-    return rounded(evaluate.prediction_distribution(evaluate.cells(main_predictions(spark, sf_dir), BY), BY))
+    return rounded(evaluate.prediction_distribution(evaluate.cells(predictions(spark, sf_dir), KEYS), KEYS))
 
 
 # --- G: thresholds -------------------------------------------------------------------
@@ -306,39 +303,25 @@ SELECT {BK}, accuracy, CASE WHEN pp > 0 AND nn > 0 THEN auc END AS auc_roc, CASE
 FROM b_acc JOIN b_prf USING ({BK}) JOIN bareas USING ({BK}) JOIN bpct USING ({BK})""", ("b_acc", "b_prf", "bareas", "bpct"))
 
 
-def main_decades(spark, sf_dir) -> DataFrame:
-    return main_predictions(spark, sf_dir).filter("time_scale = 'decades'").drop("time_scale")
-
-
 @query("threshold_grid", "SELECT time_scale, dataset, threshold FROM grid", ("grid",))
 def threshold_grid(spark, sf_dir):
     grid = thresholds.threshold_grid(main_predictions(spark, sf_dir), BY)
     return rounded(grid.select(*BY, F.explode("thresholds").alias("threshold")))
 
 
-def _binary_confusion(spark, sf_dir, top_k: int) -> DataFrame:
-    pred = main_decades(spark, sf_dir)
-    grid = thresholds.threshold_grid(pred, ["dataset"])
-    counted = evaluate.cells(thresholds.latest_newer_class(pred, top_k), ["dataset"])
-    return rounded(thresholds.binary_cells(counted, grid, ["dataset"], ["dataset"]))
-
-
-@query("binary_argmax", """
-SELECT dataset, threshold, (y >= threshold)::INTEGER::BIGINT AS y, (y_hat >= threshold)::INTEGER::BIGINT AS y_hat, count(*) AS n
-FROM pred JOIN grid USING (time_scale, dataset) WHERE feature_subset = 'main' AND time_scale = 'decades' GROUP BY ALL""",
-       ("pred", "grid"))
+@query("binary_argmax", f"""
+SELECT {K}, threshold, (y >= threshold)::INTEGER::BIGINT AS y, (y_hat >= threshold)::INTEGER::BIGINT AS y_hat, count(*) AS n
+FROM all_pred JOIN grid USING (time_scale, dataset) GROUP BY ALL""", ("all_pred", "grid"))
 def binary_argmax(spark, sf_dir):
-    return _binary_confusion(spark, sf_dir, 1)
-
+    return rounded(_per_scale(spark, sf_dir, lambda pred, k: _cells_of(pred, 1)))
 
-VOTE_CELLS = """
-SELECT dataset, threshold, (y >= threshold)::INTEGER::BIGINT AS y, newer::INTEGER::BIGINT AS y_hat, count(*) AS n FROM votes
-WHERE feature_subset = 'main' AND time_scale = 'decades' AND model = 'gnb' GROUP BY ALL"""
 
-
-@query("binary_topk_vote", VOTE_CELLS, ("votes",))
+@query("binary_topk_vote", f"""
+SELECT {K}, threshold, (y >= threshold)::INTEGER::BIGINT AS y, newer::INTEGER::BIGINT AS y_hat, count(*) AS n FROM votes
+WHERE model = 'gnb' GROUP BY ALL""", ("votes",))
 def binary_topk_vote(spark, sf_dir):
-    return _binary_confusion(spark, sf_dir, TOP_K["decades"])
+    """The vote of the model; the baseline has no probabilities to vote with."""
+    return rounded(_per_scale(spark, sf_dir, lambda pred, k: _cells_of(pred.filter("model = 'gnb'"), k)))
 
 
 @query("binary_confusion", """
@@ -351,8 +334,7 @@ def _cells_of(pred: DataFrame, top_k: int) -> DataFrame:
     grid = thresholds.threshold_grid(pred, ["dataset"])
     has = F.col("probs").isNotNull()
     voted = thresholds.latest_newer_class(pred.filter(has), top_k).unionByName(pred.filter(~has))
-    keys = ["feature_subset", "time_scale", "dataset", "model"]
-    return thresholds.binary_cells(evaluate.cells(voted, keys), grid, keys, ["dataset"])
+    return thresholds.binary_cells(evaluate.cells(voted, KEYS), grid, KEYS, ["dataset"])
 
 
 def _per_scale(spark, sf_dir, fn) -> DataFrame:
@@ -362,30 +344,32 @@ def _per_scale(spark, sf_dir, fn) -> DataFrame:
     ])
 
 
-@query("binary_score", """
-SELECT file_name, dataset, threshold, y::BIGINT AS y, round(score, 6) + 0.0 AS score FROM bscore
-WHERE feature_subset = 'main' AND time_scale = 'decades' AND model = 'gnb'""", ("bscore",))
+@query("binary_score", f"""
+SELECT {K}, file_name, threshold, y::BIGINT AS y, round(score, 6) + 0.0 AS score FROM bscore""", ("bscore",))
 def binary_score(spark, sf_dir):
-    pred = main_decades(spark, sf_dir)
-    grid = thresholds.threshold_grid(pred, ["dataset"])
-    return rounded(thresholds.binary_scores(pred, grid, ["dataset"], ["dataset"], DIGITS, ["file_name"]))
+    def score(pred: DataFrame, k: int) -> DataFrame:
+        grid = thresholds.threshold_grid(pred, ["dataset"])
+        return thresholds.binary_scores(pred, grid, KEYS, ["dataset"], DIGITS, ["file_name"])
 
+    return rounded(_per_scale(spark, sf_dir, score))
 
-@query("pct_of_texts", """
-SELECT dataset, threshold, round(pct_of_texts, 6) + 0.0 AS pct_of_texts FROM bpct
-WHERE feature_subset = 'main' AND time_scale = 'decades' AND model = 'gnb'""", ("bpct",))
+
+@query("pct_of_texts", f"SELECT {K}, threshold, round(pct_of_texts, 6) + 0.0 AS pct_of_texts FROM bpct", ("bpct",))
 def pct_of_texts(spark, sf_dir):
-    pred = main_decades(spark, sf_dir)
-    grid = thresholds.threshold_grid(pred, ["dataset"])
-    return rounded(thresholds.pct_of_texts(evaluate.cells(pred, ["dataset"]), grid, ["dataset"], ["dataset"]))
+    def share(pred: DataFrame, k: int) -> DataFrame:
+        grid = thresholds.threshold_grid(pred, ["dataset"])
+        return thresholds.pct_of_texts(evaluate.cells(pred, KEYS), grid, KEYS, ["dataset"])
 
+    return rounded(_per_scale(spark, sf_dir, share))
 
-@query("binary_metrics", f"""
-SELECT dataset, threshold, {rr(*BMETRICS)} FROM binary_results
-WHERE feature_subset = 'main' AND time_scale = 'decades' AND model = 'gnb'""", ("binary_results",))
+
+@query("binary_metrics", f"SELECT {BK}, {rr(*BMETRICS)} FROM binary_results WHERE model = 'gnb'", ("binary_results",))
 def binary_metrics(spark, sf_dir):
-    sweep = thresholds.binary_sweep(main_decades(spark, sf_dir), ["dataset"], ["dataset"], 10, DIGITS)
-    return rounded(sweep.select("dataset", "threshold", *BMETRICS))
+    """The model's own metrics, computed from its predictions alone."""
+    def sweep(pred: DataFrame, k: int) -> DataFrame:
+        return thresholds.binary_sweep(pred.filter("model = 'gnb'"), KEYS, ["dataset"], k, DIGITS)
+
+    return rounded(_per_scale(spark, sf_dir, sweep).select(*BKEYS, *BMETRICS))
 
 
 def binary_results(spark, sf_dir) -> DataFrame:

@@ -18,8 +18,7 @@ RANDOM_METRICS = ["accuracy", *M.PRF, "rmse", "mae", "r2"]
 
 def seed_results(spark, sf_dir) -> DataFrame:
     """Long results of ten seeds. Naive Bayes draws nothing, so its runs agree; the
-    baseline draws anew with each seed. One seed is left out for one set, and the
-    baseline has no curve areas."""
+    baseline draws anew with each seed and has no curve areas."""
     def build():
         every = F.explode(F.array(*map(F.lit, SEEDS)))
         report = evaluate.evaluation_report(M.predictions(spark, sf_dir), KEYS, M.KS)
@@ -38,9 +37,7 @@ def seed_results(spark, sf_dir) -> DataFrame:
             "feature_subset", F.explode(F.array(*map(F.lit, M.SUBSETS)))
         )
         columns = ["feature_subset", "time_scale", "dataset", "model", "seed", "metric", "value"]
-        return model.select(columns).unionByName(random.select(columns)).filter(
-            "NOT (dataset = 'gutenberg' AND time_scale = 'centuries' AND seed > 42)"
-        )
+        return model.select(columns).unionByName(random.select(columns))
 
     return stored(spark, sf_dir, "seed_results", build)
 
@@ -66,8 +63,7 @@ SELECT feature_subset, time_scale, dataset, model, seed, metric, value FROM (
     SELECT time_scale, dataset, seed, {', '.join(f'{m}::DOUBLE AS {m}' for m in RANDOM_METRICS)}
     FROM sd_acc JOIN sd_prf USING (time_scale, dataset, seed) JOIN sd_ord USING (time_scale, dataset, seed))
     ON {', '.join(RANDOM_METRICS)} INTO NAME metric VALUE value) u
-  CROSS JOIN (SELECT DISTINCT feature_subset FROM subsets) s)
-WHERE NOT (dataset = 'gutenberg' AND time_scale = 'centuries' AND seed > 42)""",
+  CROSS JOIN (SELECT DISTINCT feature_subset FROM subsets) s)""",
     ("report", "seeds", "sd_acc", "sd_prf", "sd_ord", "subsets"))
 cte("seed_stats", """
 SELECT *, mean - 1.96::DOUBLE * sem AS ci_95_lower, mean + 1.96::DOUBLE * sem AS ci_95_upper,
@@ -85,9 +81,9 @@ PLACE = "feature_subset, time_scale, dataset"
 
 
 @query("seed_statistics", f"""
-SELECT {PLACE}, model, metric, "count", {STAT_SQL} FROM seed_stats WHERE feature_subset = 'main'""", ("seed_stats",))
+SELECT {PLACE}, model, metric, "count", {STAT_SQL} FROM seed_stats""", ("seed_stats",))
 def seed_statistics(spark, sf_dir):
-    return rounded(seeds.seed_statistics(seed_results(spark, sf_dir).filter("feature_subset = 'main'")))
+    return rounded(seeds.seed_statistics(seed_results(spark, sf_dir)))
 
 
 @query("seed_summary_all", f"""SELECT {PLACE}, model, metric, phase, "count", {STAT_SQL} FROM seed_stats""", ("seed_stats",))

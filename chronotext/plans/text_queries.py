@@ -188,12 +188,14 @@ def src_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SHOWN = ["Avg_Word_Length", "Flesch_Readability", "the", "of", "and", "contains_post_war_words"]
+NUMBERS = [*LEXICAL_FEATURES, *READABILITY_FEATURES, *V.DISTANCE_FEATURES, NEOLOGISM_FEATURES[-1]]
+FLAGS = NEOLOGISM_FEATURES[:-1]
+SHOWN = [*NUMBERS, *FLAGS]
 
 
 @query("src_features_nulls", f"""
-SELECT file_name, {', '.join(r6(c) for c in SHOWN[:-1])},
-  contains_post_war_words::INTEGER::DOUBLE AS contains_post_war_words FROM raw_features""", ("raw_features",))
+SELECT file_name, {', '.join(r6(c) for c in NUMBERS)},
+  {', '.join(f'{name(c)}::INTEGER::DOUBLE AS {name(c)}' for c in FLAGS)} FROM raw_features""", ("raw_features",))
 def src_features_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature CSV in which missing cells are written as None or left empty."""
     path = staging_path(spark, "features")
@@ -207,13 +209,13 @@ def src_features_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sink_features", f"""
-SELECT file_name, split, {', '.join(r6(c) for c in LEXICAL_FEATURES)} FROM raw_features""", ("raw_features",))
+SELECT file_name, split, {', '.join(r6(c) for c in NUMBERS)}, {', '.join(map(name, FLAGS))} FROM raw_features""", ("raw_features",))
 def sink_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "sink")
-    table = V.raw_features(spark, sf_dir).select("file_name", "split", *LEXICAL_FEATURES)
+    table = V.raw_features(spark, sf_dir).select("file_name", "split", *SHOWN)
     sinks.write_features(table, path)
     sinks.write_features(table.filter("split = 'test'"), path)  # a re-run replaces its split
-    return rounded(spark.read.parquet(path).select("file_name", "split", *LEXICAL_FEATURES))
+    return rounded(spark.read.parquet(path).select("file_name", "split", *SHOWN))
 
 
 @query("incremental_extract", f"""
@@ -394,21 +396,23 @@ for _subset in SUBSET_FEATURES:
 
 
 @query("common_features", f"""
-SELECT file_name, split, {', '.join(r6(c) for c in LEXICAL_FEATURES[:4])} FROM lexical WHERE split IN ('train', 'validation')""",
-       ("lexical",))
+SELECT file_name, split, {', '.join(r6(c) for c in NUMBERS)}, {', '.join(map(name, FLAGS))} FROM raw_features
+WHERE split IN ('train', 'validation')""", ("raw_features",))
 def common_features(spark, sf_dir):
+    """Each side lacks a column of its own and orders the others its own way."""
     raw = V.raw_features(spark, sf_dir)
-    train = raw.filter("split = 'train'").select("file_name", "split", *LEXICAL_FEATURES[:5])
-    valid = raw.filter("split = 'validation'").select("split", *LEXICAL_FEATURES[3::-1], "file_name", "the")
+    train = raw.filter("split = 'train'").select("file_name", "split", *SHOWN, F.lit(1).alias("only_train"))
+    valid = raw.filter("split = 'validation'").select(F.lit(1).alias("only_validation"), "split", *reversed(SHOWN), "file_name")
     names = prepare.common_features(train, valid)
     return rounded(prepare.union_splits(
         {"train": prepare.align(train, names), "validation": prepare.align(valid, names)}
     ))
 
 
-@query("drop_deprecated", f"SELECT file_name, {', '.join(r6(c) for c in LEXICAL_FEATURES)} FROM lexical", ("lexical",))
+@query("drop_deprecated", f"""
+SELECT file_name, {', '.join(r6(c) for c in NUMBERS)}, {', '.join(map(name, FLAGS))} FROM raw_features""", ("raw_features",))
 def drop_deprecated(spark, sf_dir):
-    table = V.raw_features(spark, sf_dir).select("file_name", *LEXICAL_FEATURES)
+    table = V.raw_features(spark, sf_dir).select("file_name", *SHOWN)
     return rounded(prepare.drop_deprecated(table.withColumns({c: F.lit(0.0) for c in DEPRECATED_FEATURES})))
 
 
