@@ -266,7 +266,7 @@ for _key, _learner in (("rf_fit_score", "random_forest"), ("gbt_ovr_fit_score",
 
 
 def grid_predictions(spark, sf_dir, subsets: list[str], targets: list[str], models: list[str], runs: list[int]) -> DataFrame:
-    table = prepare.impute_max(full_features(spark, sf_dir), V.DISTANCE_FEATURES + ["Flesch_Readability"])
+    table = stored(spark, sf_dir, "grid_table", lambda: V.imputed(full_features(spark, sf_dir)))
     flags = {c: F.col(c).cast("double") for c in V.NEOLOGISM_FEATURES}
     chosen = {s: [c for c in table.columns if c not in prepare.subset_drop_columns(s) and c != "split"] for s in subsets}
     return L.train_grid(table.withColumns(flags), chosen, {s: V.TARGETS[s] for s in targets}, models, runs)

@@ -50,8 +50,8 @@ def with_ctes(select: str, uses: tuple[str, ...]) -> str:
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A pipeline stage written once per session to the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A pipeline stage written once per session and state of the documents to the shared folder."""
+    key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), name)
     if key not in _STORED:
         path = staging_path(spark, name)
         build().write.parquet(path)
@@ -59,6 +59,14 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return spark.read.parquet(_STORED[key])
 
 
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the documents' files: an overwritten input is another one."""
+    jvm, folder = spark.sparkContext._jvm, f"{sf_dir}/documents.parquet"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return repr(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of digits, counts to bigint."""
     def column(f):

@@ -114,24 +114,36 @@ FROM lexical l LEFT JOIN gap_columns g USING (file_name) JOIN flags f USING (fil
     ("lexical", "gap_columns", "flags"))
 
 
-def imputed(column: str, default: str = "-1.0") -> str:
+def filled(column: str, where: str) -> str:
     c = name(column)
-    return (
-        f"coalesce(nullif({c}, 0), (SELECT max(nullif({c}, 0)) FROM raw_features "
-        f"WHERE split <> 'gutenberg'), {default})::DOUBLE AS {c}"
-    )
+    return f"coalesce(nullif({c}, 0), (SELECT max(nullif({c}, 0)) FROM raw_features WHERE {where}), -1.0)::DOUBLE"
+
+
+def imputed(column: str, everywhere: bool = True) -> str:
+    inside = filled(column, "split <> 'gutenberg'") if everywhere else name(column)
+    outside = filled(column, "split = 'gutenberg'")
+    return f"CASE split WHEN 'gutenberg' THEN {outside} ELSE {inside} END AS {name(column)}"
 
 
 cte("model_table", f"""
 SELECT file_name, split, year, decade, century,
   dense_rank() OVER (ORDER BY decade) - 1 AS y_decades,
   dense_rank() OVER (ORDER BY century) - 1 AS y_centuries,
-  {', '.join(map(name, LEXICAL_FEATURES))}, {imputed('Flesch_Readability')}, "Stopword_Ratio",
+  {', '.join(imputed(c, False) for c in LEXICAL_FEATURES)}, {imputed('Flesch_Readability')}, {imputed('Stopword_Ratio', False)},
   {', '.join(imputed(w) for w in DISTANCE_FEATURES)},
-  {', '.join(f'{name(c)}::DOUBLE AS {name(c)}' for c in NEOLOGISM_FEATURES)}
+  {', '.join(f'{name(c)}::DOUBLE AS {name(c)}' for c in NEOLOGISM_FEATURES[:-1])}, {imputed(NEOLOGISM_FEATURES[-1], False)}
 FROM raw_features""", ("raw_features",))
 
 
+@query("model_table", "SELECT file_name, split, year::BIGINT AS year, decade::BIGINT AS decade, century::BIGINT AS century, "
+       "y_decades, y_centuries, " + ", ".join(
+           f"round({name(c)}, 6) + 0.0 AS {name(c)}" for c in V.MODEL_FEATURES) + " FROM model_table", ("model_table",))
+def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all models are fitted on: cleaned features and the classes of both time scales."""
+    return rounded(V.model_table(spark, sf_dir).select(
+        "file_name", "split", "year", "decade", "century", "y_decades", "y_centuries", *V.MODEL_FEATURES))
+
+
 def r6(column: str) -> str:
     return f"round({name(column)}, 6) + 0.0 AS {name(column)}"
 

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronotext.operators import lexical, ngrams, prepare
 from chronotext.operators.prepare import class_index, label_encode
 from chronotext.functions.vocabulary import (
-    DISTANCE_FEATURES, LEXICAL_FEATURES, NEOLOGISM_FEATURES, READABILITY_FEATURES,
+    DISTANCE_FEATURES, LEXICAL_FEATURES, METADATA_COLUMNS, NEOLOGISM_FEATURES, READABILITY_FEATURES,
 )
-from chronotext.plans.registry import cte, stored
-from chronotext.session import tune
+from chronotext.plans.registry import cte, source_state, stored
 
 LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 SPLITS = ["train", "validation", "test", "gutenberg"]
@@ -26,7 +26,6 @@ SEED = 42
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, spread out where the files split into fewer pieces than there
     are cores (a single small file); a large table is read as it lies."""
-    tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cores = spark.sparkContext.defaultParallelism
     return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
@@ -80,7 +79,7 @@ _models: dict = {}
 
 def reference(spark: SparkSession, sf_dir: str, order: int = 2) -> ngrams.ReferenceModel:
     """The reference model of the training sample, fitted once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, order)
+    key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), order)
     if key not in _models:
         used = reference_ids(spark, sf_dir).select("file_name")
         texts = corpus(spark, sf_dir).join(used, "file_name", "left_semi")
@@ -94,7 +93,7 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alphabet_size(spark: SparkSession, sf_dir: str) -> int:
-    key = (spark.sparkContext.applicationId, sf_dir, "alphabet")
+    key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), "alphabet")
     if key not in _models:
         texts = corpus(spark, sf_dir).filter("split <> 'gutenberg'")
         _models[key] = ngrams.alphabet(texts).count()
@@ -138,13 +137,21 @@ def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "raw_features", build)
 
 
+def imputed(features: DataFrame) -> DataFrame:
+    """Missing values and zeros filled. The sets that share a source share the maxima of their word
+    columns (and of the one other column that can be null); the outside set has its own maxima,
+    on every number."""
+    periods = {*METADATA_COLUMNS}
+    numbers = [f.name for f in features.schema if isinstance(f.dataType, T.NumericType) and f.name not in periods]
+    inside, outside = (features.filter(f"split {op} 'gutenberg'") for op in ("<>", "="))
+    own = prepare.impute_max(inside, DISTANCE_FEATURES + ["Flesch_Readability"])
+    return own.unionByName(prepare.impute_max(outside, numbers).select(*own.columns))
+
+
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned features with the class indices of both time scales."""
     def build():
-        raw = raw_features(spark, sf_dir)
-        cleaned = prepare.impute_max(
-            raw, DISTANCE_FEATURES + ["Flesch_Readability"], raw.filter("split <> 'gutenberg'")
-        )
+        cleaned = imputed(raw_features(spark, sf_dir))
         train = cleaned.filter("split = 'train'")
         for scale, target in TARGETS.items():
             cleaned = label_encode(cleaned, class_index(train, target), target, f"y_{scale}")

@@ -51,11 +51,3 @@ def text_partitions(df: DataFrame) -> int:
     partitions by the bytes of the shuffle would join far too many of them.
     """
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def tune(spark: SparkSession) -> None:
-    """Run stages whose generated method is too long for the JIT (8000 bytes of code)
-    operator by operator; left interpreted as one method they take twice the time."""
-    limit = "spark.sql.codegen.hugeMethodLimit"
-    if int(spark.conf.get(limit)) == 65535:  # the default
-        spark.conf.set(limit, 8000)
