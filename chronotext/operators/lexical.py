@@ -110,7 +110,7 @@ def documented_extras(corpus: DataFrame, id_col: str = "file_name") -> DataFrame
         X.uppercase_ratio(text).alias("Uppercase_Ratio"),
         X.special_character_ratio(text).alias("Special_Character_Ratio"),
     ).repartition(text_partitions(corpus), id_col)
-    entropy = ngrams.self_code(corpus, 1, id_col).select(id_col, "entropy")
+    entropy = ngrams.character_entropy(corpus, id_col)
     n = F.col("_n")
     return (
         own.join(counted, id_col)

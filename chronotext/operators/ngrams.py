@@ -163,6 +163,21 @@ def self_code(texts: DataFrame, order: int, id_col: str = "file_name") -> DataFr
     return document_code(texts, order, id_col)
 
 
+def character_entropy(texts: DataFrame, id_col: str = "file_name") -> DataFrame:
+    """(id, entropy) in bits per character. Characters are counted where the text is read;
+    only tens of counts for each text are shuffled."""
+    spans = texts.select(id_col, F.col("text").alias("_t")).filter(F.length("_t") > 0).select(
+        id_col, F.explode(F.expr(
+            f"transform(sequence(0, length(_t) - 1, {SPAN}), p -> substring(_t, p + 1, {SPAN}))"
+        )).alias("_s")
+    )
+    counted = spans.select(id_col, F.explode(F.split("_s", "")).alias("_c")).groupBy(id_col, "_c").agg(
+        F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n")
+    return counted.groupBy(id_col).agg(
+        (F.log2(total) - F.sum(n_log_n(F.col("_n"))) / total).alias("entropy"))
+
+
 def self_columns(orders: list[int]) -> list[Column]:
     """Entropy, compression ratio and entropy ratio from code lengths."""
     columns = [F.col("entropy").alias("Shannon_Entropy")]

@@ -60,7 +60,7 @@ def mean_by_period(spark, sf_dir):
     from chronotext.operators import lexical, ngrams
 
     docs = V.corpus(spark, sf_dir)
-    code = ngrams.self_code(docs, 1).select("file_name", F.col("entropy").alias("Shannon_Entropy"))
+    code = ngrams.character_entropy(docs).withColumnRenamed("entropy", "Shannon_Entropy")
     rows = prepare.join_metadata(
         lexical.lexical_features(docs).join(code, "file_name"), V.metadata(spark, sf_dir)
     )
@@ -115,7 +115,7 @@ def main_model(spark, sf_dir, scale: str) -> tuple[DataFrame, DataFrame, DataFra
     return table.filter("split <> 'train'"), moments, bayes.gnb_pack(bayes.gnb_fit(moments))
 
 
-REPEATS = 5
+REPEATS = 10
 cte("perm_base", f"""
 SELECT file_name, row_number() OVER (ORDER BY md5('{V.SEED}/0:' || file_name), file_name) AS r
 FROM corpus WHERE split <> 'train'""", ("corpus",))
@@ -330,7 +330,7 @@ def importance_by_scale(spark, sf_dir):
     out = None
     for scale in V.TARGETS:
         rows, _, packed = main_model(spark, sf_dir, scale)
-        perm = I.permutation_importance(rows, FEATURES, packed, 3, V.SEED).select(
+        perm = I.permutation_importance(rows, FEATURES, packed, 5, V.SEED).select(
             F.lit("permutation").alias("kind"), "feature", F.col("importance_mean").alias("importance"), "rank"
         )
         train = _coded(spark, sf_dir, scale).filter("split = 'train'")

@@ -162,8 +162,8 @@ def self_table(spark, sf_dir):
 
 @query("shannon_entropy", 'SELECT file_name, round(h, 6) + 0.0 AS "Shannon_Entropy" FROM entropy', ("entropy",))
 def shannon_entropy(spark, sf_dir):
-    code = ngrams.self_code(V.corpus(spark, sf_dir), 1)
-    return rounded(code.select("file_name", F.col("entropy").alias("Shannon_Entropy")))
+    found = ngrams.character_entropy(V.corpus(spark, sf_dir))
+    return rounded(found.select("file_name", F.col("entropy").alias("Shannon_Entropy")))
 
 
 def _register_order(k: int) -> None:

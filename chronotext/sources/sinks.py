@@ -14,15 +14,21 @@ def write_features(features: DataFrame, path: str, split_col: str = "split") ->
 
 
 def write_text_files(corpus: DataFrame, path: str) -> None:
-    """One text file per document, named by its key."""
+    """One text file per document, named by its key with `/` and `%` percent-encoded.
+
+    A path without a scheme lies in the default file system, as for Spark's own writers."""
+    jvm, context = corpus.sparkSession._jvm, corpus.sparkSession.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    full = folder.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(folder).toString()
 
     def write(rows) -> None:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store, root = fs.FileSystem.from_uri(full.replace("file:/", "file:///", 1) if full.startswith("file:/") else full)
         store.create_dir(root, recursive=True)
         for row in rows:
-            with store.open_output_stream(f"{root}/{row.file_name}") as out:
+            name = row.file_name.replace("%", "%25").replace("/", "%2F")
+            with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(row.text.encode("utf-8"))
 
     corpus.select("file_name", "text").foreachPartition(write)
