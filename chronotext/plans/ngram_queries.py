@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.functions.vocabulary import (
@@ -10,7 +14,7 @@ from chronotext.functions.vocabulary import (
 )
 from chronotext.operators import lexical, ngrams, prepare
 from chronotext.plans import views as V
-from chronotext.plans.registry import cte, query, rounded, stored
+from chronotext.plans.registry import CTES, cte, query, rounded, stored
 from chronotext.plans.text_queries import name, r6
 
 ORDER = 2
@@ -149,6 +153,14 @@ SELECT file_name, round(greatest(0, least(1, (bits - least(x, y)) / greatest(x,
   FROM joint j JOIN selfcode s USING (file_name) WHERE k = {k})"""
 
 
+# The same for the sample of the validation set.
+_OF_SAMPLE = ["ref_ids", "reftext", "refchars", "refg", "refc", "refx", "proc", "price0", "price1", "cost", "refcode"]
+for _name in _OF_SAMPLE[1:]:
+    _renamed = re.compile(rf"\b({'|'.join(_OF_SAMPLE)})\b")
+    cte(f"{_name}_v", _renamed.sub(r"\1_v", CTES[_name][1]),
+        tuple(f"{u}_v" if u in _OF_SAMPLE else u for u in CTES[_name][0]))
+
+
 @query("char_ngrams", """
 SELECT file_name, left(g, 1) AS ctx, right(g, 1) AS sym, n FROM gramc WHERE j = 1
 UNION ALL SELECT file_name, '', g, 1 FROM gramc WHERE j = 0 AND first_at = 1""", ("gramc",))
@@ -198,13 +210,45 @@ for _k in (1, ORDER):
 @query("reference_model", """
 SELECT j AS level, left(g, j::BIGINT) AS ctx, right(g, 1) AS sym, n::BIGINT AS n FROM refg""", ("refg",))
 def reference_model(spark, sf_dir):
-    grams = V.reference(spark, sf_dir).grams
-    return grams.select(
+    return _model_grams(V.reference(spark, sf_dir))
+
+
+def _model_grams(model: ngrams.ReferenceModel) -> DataFrame:
+    return model.grams.select(
         F.col("level").cast("bigint").alias("level"), F.left(F.col("g"), F.col("level")).alias("ctx"),
         F.right(F.col("g"), F.lit(1)).alias("sym"), F.col("n"),
     )
 
 
+@query("reference_model_validation", """
+SELECT j AS level, left(g, j::BIGINT) AS ctx, right(g, 1) AS sym, n::BIGINT AS n FROM refg_v""", ("refg_v",))
+def reference_model_validation(spark, sf_dir):
+    return _model_grams(V.reference_validation(spark, sf_dir))
+
+
+@query("reference_sample_validation", "SELECT file_name, decade::BIGINT AS decade FROM ref_ids_v", ("ref_ids_v",))
+def reference_sample_validation(spark, sf_dir):
+    return rounded(V.validation_ids(spark, sf_dir))
+
+
+@query("nrc_by_split", " UNION ALL ".join(f"""
+SELECT file_name, split, {', '.join(f'round(bits_{k} / (chars * log2(alpha.a)), 6) + 0.0 AS "NRC_Order_{k}"' for k in (1, ORDER))}
+FROM {code} JOIN corpus USING (file_name) CROSS JOIN alpha WHERE split IN ({sets})""" for code, sets in (
+    ("refcode", "'train', 'validation'"), ("refcode_v", "'test', 'gutenberg'"))), ("refcode", "refcode_v", "corpus", "alpha"))
+def nrc_by_split(spark, sf_dir):
+    """Training and validation texts against the training sample, the others against the
+    sample of validation."""
+    docs, size = V.processed(spark, sf_dir), V.alphabet_size(spark, sf_dir)
+    parts = []
+    for model, sets in ((V.reference(spark, sf_dir), ("train", "validation")),
+                        (V.reference_validation(spark, sf_dir), ("test", "gutenberg"))):
+        own = docs.filter(F.col("split").isin(*sets))
+        code = ngrams.document_code(own, ORDER, model=model, alphabet_size=size)
+        rates = [ngrams.nrc_column(F.col(f"ref_bits_{k}"), F.col("chars"), k, size) for k in (1, ORDER)]
+        parts.append(code.select("file_name", *rates).join(own.select("file_name", "split"), "file_name"))
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 @query("nrc_self", """
 SELECT file_name, round(bits_2 / (chars * log2(alpha.a)), 6) + 0.0 AS "NRC_Order_2" FROM selfcode CROSS JOIN alpha""",
        ("selfcode", "alpha"))
@@ -238,6 +282,19 @@ def full_features(spark, sf_dir):
     return stored(spark, sf_dir, "full_features", build)
 
 
+@query("feature_row_ncd", "SELECT f.file_name, " + ", ".join(
+    f"f.{name(c)}" if c in NEOLOGISM_FEATURES[:-1] else f"round(f.{name(c)}, 6) + 0.0 AS {name(c)}" for c in FULL_ROW
+) + ", " + ", ".join(f'round(n{k}."NCD_Order_{k}", 6) + 0.0 AS "NCD_Order_{k}"' for k in (1, ORDER))
+       + " FROM feature_row f " + " ".join(f"JOIN ({ncd_sql(k)}) n{k} USING (file_name)" for k in (1, ORDER)),
+       ("feature_row", "joint", "selfcode", "refbits"))
+def feature_row_ncd(spark, sf_dir):
+    """The wide row with the distances to the reference text."""
+    return rounded(lexical.feature_row(
+        V.processed(spark, sf_dir), V.reference(spark, sf_dir), V.alphabet_size(spark, sf_dir), ORDER,
+        use_ncd=True, terms=V.terms(),
+    ).select("file_name", *FULL_ROW, *[f"NCD_Order_{k}" for k in (1, ORDER)]))
+
+
 @query("feature_row", "SELECT file_name, " + ", ".join(
     name(c) if c in NEOLOGISM_FEATURES[:-1] else r6(c) for c in FULL_ROW
 ) + " FROM feature_row", ("feature_row",))

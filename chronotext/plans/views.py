@@ -87,6 +87,33 @@ def reference(spark: SparkSession, sf_dir: str, order: int = 2) -> ngrams.Refere
     return _models[key]
 
 
+VALIDATION_SHARE = 0.5
+
+
+def validation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample that codes the test and outside sets: half of validation, by decade."""
+    texts = corpus(spark, sf_dir).filter("split = 'validation'")
+    return prepare.reference_sample_stratified(texts, VALIDATION_SHARE, SEED)
+
+
+cte("ref_ids_v", f"""
+SELECT file_name, decade FROM (
+  SELECT file_name, decade,
+    row_number() OVER (PARTITION BY decade ORDER BY md5('{SEED}:' || file_name), file_name) AS r,
+    count(*) OVER (PARTITION BY decade) AS n
+  FROM corpus WHERE split = 'validation')
+WHERE r <= greatest(1, floor(n * {VALIDATION_SHARE}))""", ("corpus",))
+
+
+def reference_validation(spark: SparkSession, sf_dir: str, order: int = 2) -> ngrams.ReferenceModel:
+    key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), "validation", order)
+    if key not in _models:
+        used = validation_ids(spark, sf_dir).select("file_name")
+        texts = corpus(spark, sf_dir).join(used, "file_name", "left_semi")
+        _models[key] = ngrams.reference_model(texts, order, SEED)
+    return _models[key]
+
+
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are not part of the reference."""
     return prepare.exclude_reference(corpus(spark, sf_dir), reference_ids(spark, sf_dir))
