@@ -345,13 +345,14 @@ def _per_scale(spark, sf_dir, fn) -> DataFrame:
 
 
 @query("binary_score", f"""
-SELECT {K}, file_name, threshold, y::BIGINT AS y, round(score, 6) + 0.0 AS score FROM bscore""", ("bscore",))
+SELECT {K}, file_name, threshold, y::BIGINT AS y, score + 0.0 AS score FROM bscore""", ("bscore",))
 def binary_score(spark, sf_dir):
     def score(pred: DataFrame, k: int) -> DataFrame:
         grid = thresholds.threshold_grid(pred, ["dataset"])
         return thresholds.binary_scores(pred, grid, KEYS, ["dataset"], DIGITS, ["file_name"])
 
-    return rounded(_per_scale(spark, sf_dir, score))
+    # Sums of numbers of DIGITS places: rounding them further would only make ties.
+    return rounded(_per_scale(spark, sf_dir, score), DIGITS)
 
 
 @query("pct_of_texts", f"SELECT {K}, threshold, round(pct_of_texts, 6) + 0.0 AS pct_of_texts FROM bpct", ("bpct",))
