@@ -13,9 +13,10 @@ decide the order and l, never whether a pair is found: any order gives the same
 Equal sets are one node from the start, so copies are never compared. Candidates are verified
 in two steps, so that a group of n near copies needs about n comparisons, not n * n:
   1. in every posting list, the node whose match comes first in its order leads; each node is
-     verified with the leader it meets most often; this is repeated on the components found;
-  2. in lists that still hold several components, all pairs of different components are
-     verified, block by block. Pairs within a component can't change it.
+     verified with the leader it meets most often. Lists expected to be very long are dealt in
+     parts with a leader each, whose components then meet the leader of the whole list;
+  2. in lists that still hold several components, all pairs of different components that match
+     often enough are verified. Pairs within a component can't change it.
 So components are those of all links, whichever step finds them.
 
 A node is the 64-bit hash of its set. Null and empty texts and texts without words have empty sets
@@ -34,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import (
-    BASE, U64, ascii_space, lower_ascii, mix, slices, span_hashes, table, window_hashes, word_spans,
+    BASE, U64, ascii_space, lower_ascii, mix, sized, slices, span_hashes, table, window_hashes, word_spans,
 )
-from chronotext.session import at_most, materialize
+from chronotext.session import materialize
 
 SHINGLE = 5
 SKETCH_BITS = 20
@@ -44,10 +45,10 @@ PART = 4096
 MATCHES = 6           # longest l
 VERIFY_COST = 8.0     # of a candidate, in postings
 LIST_LIMIT = 50_000   # estimated postings of a shingle beyond which its list is dealt in parts
-BLOCK = 512           # nodes of a block where different components are compared
-ROUNDS = 3            # of step 1
+BLOCK = 512           # nodes compared with others at once
 BROADCAST_ROWS = 500_000
 SEEN = 1_000_000
+PLACES = (1 << 28) - 1
 SPACE, FOLD = ascii_space(), lower_ascii()
 
 
@@ -160,15 +161,6 @@ def base_prefix(n, top: int, bottom: int):
     return n - -(-n * top // bottom) + 1
 
 
-def enough(n_a, n_b, wanted, top: int, bottom: int):
-    """Matches within both l-prefixes that a similar pair has at least. Beyond the prefix that
-    ends first there are ceil(t n) - l shingles, so more than l must match where the sizes ask
-    for a larger overlap than that."""
-    overlap = -(-(n_a + n_b) * top // (top + bottom))
-    beyond = -(-np.maximum(n_a, n_b) * top // bottom) - wanted
-    return np.maximum(wanted, overlap - beyond)
-
-
 def ordered_prefix(s: np.ndarray, levels: np.ndarray, typical: float, top: int, bottom: int):
     """(shingles of the prefix in order, their estimated lists, l) of one set."""
     n = len(s)
@@ -239,7 +231,9 @@ def runs(batches, key: list[str]):
 
 
 def shared_postings(found: DataFrame) -> DataFrame:
-    """Postings of tokens that more than one node has, each (token, node) once."""
+    """Postings of tokens that more than one node has, each (token, node) once, with the leader of
+    the list: the node whose match has the first place in its own order (lead, lead_n), and the
+    number of parts the list is dealt in."""
 
     def keep(batches):
         for own in runs(batches, ["token", "salt"]):
@@ -247,15 +241,20 @@ def shared_postings(found: DataFrame) -> DataFrame:
             new = np.ones(len(token), dtype=bool)  # rows are sorted by node within a list
             new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (key[1:] != key[:-1])
             token, salt, key, info = (own[c][new] for c in ("token", "salt", "node", "info"))
-            same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-            several = np.zeros(len(token), dtype=bool)
-            several[1:] |= same
-            several[:-1] |= same
-            several |= (salt >> 32) > 1
-            yield batch_of(["token", "node", "info"], token[several], key[several], info[several])
+            begins = np.ones(len(token), dtype=bool)
+            begins[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+            begins = np.flatnonzero(begins)
+            sizes = np.diff(np.append(begins, len(token)))
+            place = (info >> 4) & PLACES
+            first = np.lexsort((key, place, np.repeat(np.arange(len(sizes)), sizes)))[begins]
+            lead, parts = np.repeat(first, sizes), salt >> 32
+            several = (np.repeat(sizes, sizes) > 1) | (parts > 1)
+            yield batch_of(
+                ["token", "node", "info", "lead", "lead_n", "parts"], token[several], key[several], info[several],
+                key[lead][several], (info >> 32)[lead][several], parts[several])
 
     dealt = found.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-    return dealt.mapInArrow(keep, "token bigint, node bigint, info bigint")
+    return dealt.mapInArrow(keep, "token bigint, node bigint, info bigint, lead bigint, lead_n bigint, parts bigint")
 
 
 def n_of(info):
@@ -266,27 +265,120 @@ def near_sizes(a, b, top: int, bottom: int):
     return (F.least(a, b) * bottom) >= (F.greatest(a, b) * top)
 
 
-def leaders(lists: DataFrame, top: int, bottom: int) -> DataFrame:
-    """(a, b): each component's node with the leader it meets most often.
+def best_leader(met: DataFrame, top: int, bottom: int) -> DataFrame:
+    """(a, b): each component's node with the leader that it meets most often.
 
-    `lists` has token, node, info and comp. The leader of a list has the first place in its own order."""
-    place = F.shiftrightunsigned("info", 4).bitwiseAND(F.lit((1 << 28) - 1))
-    one = F.struct(place.alias("place"), "node", "comp", "info")
-    lead = lists.groupBy("token").agg(F.min(one).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    lead = lead.filter("lo <> hi").select(
-        "token", F.col("lead.node").alias("a"), F.col("lead.comp").alias("a_comp"), n_of(F.col("lead.info")).alias("a_n"))
-    members = lists.select("token", "comp", F.col("node").alias("b"), n_of(F.col("info")).alias("b_n"))
-    met = members.join(lead, "token").filter((F.col("comp") != F.col("a_comp")) & near_sizes(F.col("a_n"), F.col("b_n"), top, bottom))
+    `met` has comp, a and a_n (the leader), b and b_n (the node), a row for each meeting."""
+    met = met.filter(near_sizes(F.col("a_n"), F.col("b_n"), top, bottom))
     counted = met.groupBy("comp", "a", "b").agg(F.count(F.lit(1)).alias("times"))
     best = counted.groupBy("comp").agg(F.max(F.struct("times", "a", "b")).alias("best"))
     return best.select("best.a", "best.b")
 
 
+def first_leaders(lists: DataFrame, top: int, bottom: int) -> DataFrame:
+    """Pairs of the nodes with leaders of their lists."""
+    met = lists.filter("node <> lead").select(
+        F.col("node").alias("comp"), F.col("lead").alias("a"), F.col("lead_n").alias("a_n"), F.col("node").alias("b"),
+        n_of(F.col("info")).alias("b_n"))
+    return best_leader(met, top, bottom)
+
+
+def leaders_of_parts(lists: DataFrame, top: int, bottom: int) -> DataFrame:
+    """The same over whole lists that were dealt in parts, and their components."""
+    split = lists.filter("parts > 1")
+    place = F.shiftrightunsigned("info", 4).bitwiseAND(F.lit(PLACES))
+    one = F.struct(place.alias("place"), "node", "comp", "info")
+    lead = split.groupBy("token").agg(F.min(one).alias("lead")).select(
+        "token", F.col("lead.node").alias("a"), F.col("lead.comp").alias("a_comp"), n_of(F.col("lead.info")).alias("a_n"))
+    members = split.select("token", "comp", F.col("node").alias("b"), n_of(F.col("info")).alias("b_n"))
+    return best_leader(members.join(lead, "token").filter("comp <> a_comp"), top, bottom)
+
+
+def cross_pairs(left, right, own, limits, top: int, bottom: int, twice: bool):
+    """(a, b) of rows of `left` and `right` (places in the columns `own`) of different components
+    that meet within the first n - o + 1 shingles of both, where o is the least overlap for their
+    two sizes. With `twice` each pair is met in both orders."""
+    n, place, least, most = limits
+    right = right[np.argsort(n[right], kind="stable")]
+    sizes = n[right]
+    for some in np.array_split(left, max(1, len(left) // BLOCK)):
+        first = np.searchsorted(sizes, least[some], side="left")
+        count = np.maximum(np.searchsorted(sizes, most[some], side="right") - first, 0)
+        i = np.repeat(some, count)
+        j = right[np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+        past = -(-(n[i] + n[j]) * top // (top + bottom)) - 1
+        ok = (own["comp"][i] != own["comp"][j]) & (place[i] < n[i] - past) & (place[j] < n[j] - past)
+        a, b = own["node"][i], own["node"][j]
+        if twice:
+            ok &= a < b
+        if ok.any():
+            yield np.minimum(a, b)[ok], np.maximum(a, b)[ok]
+
+
+def pair_limits(own, top: int, bottom: int):
+    """Sizes and places of postings, and the sizes a partner may have: near the own, and such that
+    this shingle lies in the prefix of a pair, which is the shorter the larger the overlap that
+    the sizes ask for."""
+    n, place = own["info"] >> 32, (own["info"] >> 4) & PLACES
+    most = np.minimum(n * bottom // top, (n - place) * (top + bottom) // top - n)
+    return n, place, -(-n * top // bottom), most
+
+
+def starts(own, key: list[str]) -> list[int]:
+    change = np.ones(len(own[key[0]]), dtype=bool)
+    change[1:] = np.any([own[c][1:] != own[c][:-1] for c in key], axis=0)
+    return [*np.flatnonzero(change), len(change)]
+
+
 def different_components(lists: DataFrame, top: int, bottom: int) -> DataFrame:
     """(a, b): all pairs of nodes of different components that match often enough.
 
-    Of each list, the rows of its largest component meet all others; others meet each other.
-    Both are dealt in blocks, so no task holds a list."""
+    Pairs first have to meet within the shortest prefix that their sizes allow, where shingles are
+    rarest; of those pairs the l-prefixes are compared (see `matched`). In a list the rows outside its largest component meet all rows. Lists dealt in parts are
+    compared block by block, so no task holds one."""
+
+    def compare(batches):
+        for own in runs(batches, ["token"]):
+            limits, edges, out = pair_limits(own, top, bottom), starts(own, ["token"]), []
+            for lo, hi in zip(edges, edges[1:]):
+                comps, sizes = np.unique(own["comp"][lo:hi], return_counts=True)
+                if len(comps) > 1:
+                    at, main = np.arange(lo, hi), own["comp"][lo:hi] == comps[np.argmax(sizes)]
+                    out += cross_pairs(at[~main], at[main], own, limits, top, bottom, False)
+                    out += cross_pairs(at[~main], at[~main], own, limits, top, bottom, True)
+            if out:
+                yield batch_of(["a", "b"], *(np.concatenate(c) for c in zip(*out)))
+
+    fields = "a bigint, b bigint"
+    whole = lists.filter("parts = 1").select("token", "node", "info", "comp").repartition("token").sortWithinPartitions("token")
+    met = whole.mapInArrow(compare, fields).unionByName(in_blocks(lists.filter("parts > 1"), top, bottom, fields))
+    return matched(materialize(met.distinct()), lists, top, bottom)
+
+
+def matched(pairs: DataFrame, lists: DataFrame, top: int, bottom: int) -> DataFrame:
+    """The pairs (a, b) with l matches within both l-prefixes, l being the smaller of the two, or
+    more where their sizes need it: beyond the prefix that ends first there are only
+    ceil(t n) - l shingles."""
+    one = lists.select("node", "token", n_of(F.col("info")).alias("n"), F.expr("info & 15").alias("l"),
+                       F.expr(f"shiftrightunsigned(info, 4) & {PLACES}").alias("place"))
+    one = one.withColumn("level", F.expr(f"greatest(place - (n - ((n * {top} + {bottom - 1}) div {bottom}) + 1) + 2, 1)"))
+    ends = sized(pairs, BROADCAST_ROWS)
+    a, b = (
+        one.join(ends.withColumnRenamed(side, "node"), "node").select(
+            F.col("node").alias(side), other, "token", *(F.col(c).alias(f"{side}_{c}") for c in ("n", "l", "level")))
+        for side, other in (("a", "b"), ("b", "a"))
+    )
+    met = a.join(b, ["a", "b", "token"]).withColumn("l", F.least("a_l", "b_l"))
+    met = met.filter(F.greatest("a_level", "b_level") <= F.col("l")).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("times"), F.max("l").alias("l"), F.max("a_n").alias("x"), F.max("b_n").alias("y"))
+    need = (f"greatest(l, ((x + y) * {top} + {top + bottom - 1}) div {top + bottom}"
+            f" - ((greatest(x, y) * {top} + {bottom - 1}) div {bottom} - l))")
+    return met.filter(F.col("times") >= F.expr(need)).select("a", "b")
+
+
+def in_blocks(lists: DataFrame, top: int, bottom: int, fields: str) -> DataFrame:
+    """Meetings of different components in lists of any length: blocks of the rows outside the
+    largest component meet all blocks."""
     sizes = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mixed = sizes.groupBy("token").agg(
         F.max(F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("comps")
@@ -313,50 +405,27 @@ def different_components(lists: DataFrame, top: int, bottom: int) -> DataFrame:
     dealt = dealt.select("token", "g.x", "g.y", "is_main", "own", "node", "info", "comp")
     dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
 
-    def compare(batches):
+    def compare_blocks(batches):
         for own in runs(batches, ["token", "x", "y"]):
-            change = np.ones(len(own["token"]), dtype=bool)
-            change[1:] = np.any([own[c][1:] != own[c][:-1] for c in ("token", "x", "y")], axis=0)
-            edges = [*np.flatnonzero(change), len(change)]
-            n, wanted = own["info"] >> 32, own["info"] & 15
-            level = np.maximum(((own["info"] >> 4) & ((1 << 28) - 1)) - base_prefix(n, top, bottom) + 2, 1)
-            out = []
+            limits, edges, out = pair_limits(own, top, bottom), starts(own, ["token", "x", "y"]), []
             for lo, hi in zip(edges, edges[1:]):
-                at = np.arange(lo, hi)
-                main = own["is_main"][lo:hi]
-                y = own["y"][lo]
+                at, main, x, y = np.arange(lo, hi), own["is_main"][lo:hi], own["x"][lo], own["y"][lo]
+                block = own["own"][lo:hi]
                 if y >= 0:
                     left, right = at[~main], at[main]
-                elif own["x"][lo] == -1 - y:
-                    left = right = at
                 else:
-                    left, right = at[own["own"][lo:hi] == own["x"][lo]], at[own["own"][lo:hi] == -1 - y]
-                if not len(left) or not len(right):
-                    continue
-                i, j = (a.ravel() for a in np.meshgrid(left, right, indexing="ij"))
-                need = np.minimum(wanted[i], wanted[j])
-                ok = (own["comp"][i] != own["comp"][j]) & (np.maximum(level[i], level[j]) <= need)
-                ok &= np.minimum(n[i], n[j]) * bottom >= np.maximum(n[i], n[j]) * top
-                if y < 0 and own["x"][lo] == -1 - y:
-                    ok &= i < j
-                i, j, need = i[ok], j[ok], need[ok]
-                need = enough(n[i], n[j], need, top, bottom)
-                a, b = own["node"][i], own["node"][j]
-                out.append((np.minimum(a, b), np.maximum(a, b), need))
+                    left, right = at[block == x], at[block == -1 - y]
+                out += cross_pairs(left, right, own, limits, top, bottom, x == -1 - y)
             if out:
-                a, b, need = (np.concatenate(c) for c in zip(*out))
-                yield batch_of(["a", "b", "need"], a, b, need)
+                yield batch_of(["a", "b"], *(np.concatenate(c) for c in zip(*out)))
 
-    met = dealt.mapInArrow(compare, "a bigint, b bigint, need bigint").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("times"), F.max("need").alias("need"))
-    return met.filter("times >= need").select("a", "b")
+    return dealt.mapInArrow(compare_blocks, fields)
 
 
-def set_table(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its sorted shingles (bytes), of the given nodes."""
-    ids = profiled.filter("node IS NOT NULL").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc"))
-    ids = materialize(ids.filter("doc IS NOT NULL").select("doc").distinct())
-    wanted = docs.join(F.broadcast(ids) if at_most(ids, BROADCAST_ROWS) else ids, "doc", "left_semi")
+def set_table(docs: DataFrame, first_ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its sorted shingles (bytes), of the given nodes at least, from their texts."""
+    ids = materialize(first_ids.join(nodes, "node", "left_semi").select("doc"))
+    wanted = docs.join(sized(ids, BROADCAST_ROWS), "doc", "left_semi")
     wanted = wanted.union(docs.filter("doc IS NULL"))
 
     def emit(batches):
@@ -367,13 +436,13 @@ def set_table(docs: DataFrame, profiled: DataFrame, nodes: DataFrame) -> DataFra
                 yield batch_of(["node", "shingles"], pa.array([k for k, _ in some], pa.int64()),
                                pa.array([b for _, b in some], pa.binary()))
 
-    found = wanted.mapInArrow(emit, "node bigint, shingles binary").join(nodes, "node", "left_semi")
-    return materialize(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    return wanted.select("text").mapInArrow(emit, "node bigint, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, top: int, bottom: int) -> DataFrame:
     """The pairs (a, b) of Jaccard similarity at least top / bottom."""
-    both = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
+    sets = {c: set_table(docs, first_ids, pairs.select(F.col(c).alias("node")).distinct()).toDF(c, f"{c}_set") for c in "ab"}
+    both = sets["a"].join(sized(pairs, BROADCAST_ROWS), "a").join(sets["b"], "b")
 
     def judge(batches):
         for batch in batches:
@@ -398,7 +467,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
@@ -414,7 +483,7 @@ def components(links: DataFrame) -> DataFrame:
 def labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return lists.withColumn("comp", F.col("node"))
-    return lists.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    return lists.join(sized(labels, BROADCAST_ROWS), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:
@@ -426,17 +495,17 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     profiled = materialize(profile(docs, kind))
     lists = materialize(shared_postings(postings(docs, frequency_levels(profiled), top, bottom)))
     rows = profiled.filter("part IS NULL").select("doc", "version", "n", "node")
-    sets = set_table(docs, rows, lists.select("node").distinct())
+    first_ids = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
+    docs = docs.select("doc", "text")
     links = labels = None
-    for _ in range(ROUNDS):
-        found = verified(leaders(labelled(lists, labels), top, bottom), sets, top, bottom)
-        links = found if links is None else links.union(found)
-        if found.isEmpty():
-            break
-        labels = materialize(components(links))
-    found = verified(different_components(labelled(lists, labels), top, bottom), sets, top, bottom)
-    if not found.isEmpty():
-        labels = materialize(components(found if links is None else links.union(found)))
+    for step in (first_leaders, leaders_of_parts, different_components):
+        pairs = materialize(step(labelled(lists, labels), top, bottom))
+        if pairs.isEmpty():
+            continue
+        found = verified(pairs, docs, first_ids, top, bottom)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = materialize(components(links))
     ids = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"))
     named = labelled(ids, labels)
     # Only components of several nodes need another shuffle to find their least id.

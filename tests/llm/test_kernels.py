@@ -172,9 +172,9 @@ def test_prefixes_find_every_similar_pair():
         checked += 1
         (p, _, lx), (q, _, ly) = (jaccard_join.ordered_prefix(s, levels, 4.0, 3, 4) for s in (x, y))
         k = min(lx, ly)
-        cut = [s[: jaccard_join.base_prefix(m, 3, 4) + k - 1] for s, m in ((p, len(x)), (q, len(y)))]
-        shared = len(np.intersect1d(*cut))
-        assert shared >= jaccard_join.enough(np.int64(len(x)), np.int64(len(y)), np.int64(k), 3, 4) >= k
+        overlap = -(-3 * (len(x) + len(y)) // 7)
+        for longest in (lambda m: jaccard_join.base_prefix(m, 3, 4) + k - 1, lambda m: m - overlap + k):
+            assert len(np.intersect1d(p[: longest(len(x))], q[: longest(len(y))])) >= k
     assert checked > 100
 
 
