@@ -40,7 +40,7 @@ from chronotext.llm.common import (
 from chronotext.session import materialize
 
 SHINGLE = 5
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 PART = 4096
 MATCHES = 6           # longest l
 VERIFY_COST = 8.0     # of a candidate, in postings
@@ -138,7 +138,7 @@ def profile(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def frequency_levels(profiled: DataFrame) -> np.ndarray:
-    """Quarter powers of two of the counts of all buckets: a fixed megabyte."""
+    """Quarter powers of two of the counts of all buckets: four megabytes, whatever the input."""
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
@@ -151,7 +151,7 @@ def frequency_levels(profiled: DataFrame) -> np.ndarray:
 
     parts = profiled.filter("part IS NOT NULL").select("part", "counts").repartition("part")
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    for row in parts.mapInArrow(add, "part int, levels binary").collect():  # 256 rows
+    for row in parts.mapInArrow(add, "part int, levels binary").collect():  # 1,024 rows
         levels[row["part"] * PART: (row["part"] + 1) * PART] = np.frombuffer(row["levels"], dtype=np.uint8)
     return levels
 
