@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotext.llm.common import held
 from chronotext.session import materialize
 
 CACHE = 1_000_000
@@ -93,12 +93,6 @@ class WordIds:
             known[word] = known[base] + known[tail]
 
 
-@lru_cache(maxsize=1)
-def word_ids(tokenizer_file: str) -> WordIds:
-    """One for the tasks of a Python worker, so that they share what it remembers."""
-    return WordIds(tokenizer_file)
-
-
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, doc: str = "doc_id",
            text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc, piece, start, length, ids_crc32 (and ids), and the piece's number among those of
@@ -108,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: i
     names = [doc, "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
 
     def cut(batches):
-        ids, task, seen = word_ids(tokenizer_file), TaskContext.get().partitionId(), Counter()
+        ids, task, seen = held(("words", tokenizer_file), lambda: WordIds(tokenizer_file)), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 rows, keys = [], []

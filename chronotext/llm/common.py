@@ -34,6 +34,18 @@ def find_package(spark) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held]))
 
 
+_HELD: list = [None, None]
+
+
+def held(key=None, build=None):
+    """What a Python worker keeps between tasks: one thing of one operator. A task of another
+    operator, or one that keeps nothing, lets it go, so that these memories never add up."""
+    if _HELD[0] != key:
+        _HELD[:] = None, None
+        _HELD[:] = key, build() if build else None
+    return _HELD[1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> U64(30))) * U64(MIX_1)

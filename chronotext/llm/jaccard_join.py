@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import (
-    BASE, U64, ascii_space, lower_ascii, mix, sized, slices, span_hashes, table, window_hashes, word_spans,
+    BASE, U64, ascii_space, held, lower_ascii, mix, sized, slices, span_hashes, table, window_hashes, word_spans,
 )
 from chronotext.session import materialize
 
@@ -56,6 +56,7 @@ class Sets:
     """Shingle sets of the rows of a batch: sorted distinct hashes."""
 
     def __init__(self, size: int = SHINGLE):
+        held()
         self.size = size
 
     def __call__(self, batch: pa.RecordBatch, text: str):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import MIX_2, U64, mix, sized
+from chronotext.llm.common import MIX_2, U64, held, mix, sized
 from chronotext.session import materialize
 
 ORDER = 4
@@ -35,6 +35,7 @@ class Symbols:
     """Texts to symbols: letters lower-cased, every run of others one space."""
 
     def __init__(self):
+        held()
         self.letter = np.array([chr(i).isalpha() for i in range(0x110000)])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import (
-    U64, ascii_space, lower_ascii, mix, sized, slices, span_hashes, sum_parts, table, word_spans,
+    U64, ascii_space, held, lower_ascii, mix, sized, slices, span_hashes, sum_parts, table, word_spans,
 )
 
 BITS = 18
@@ -34,6 +34,7 @@ class Indicators:
     """The distinct hashed features of each row of a batch."""
 
     def __init__(self):
+        held()
         self.mark = np.zeros(1 << BITS, dtype=np.int64)
         self.at = 0
 

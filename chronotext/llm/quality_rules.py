@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import (
-    ascii_space, mix, slices, span_hashes, table, window_hashes, word_spans,
+    ascii_space, held, mix, slices, span_hashes, table, window_hashes, word_spans,
 )
 from chronotext.session import materialize
 
@@ -111,6 +111,7 @@ def profile(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
     found = "array<struct<line:string,context:string,n:bigint>>"
 
     def count(batches):
+        held()
         for batch in batches:
             data, offsets = table(batch, "text")
             for i, j in slices(offsets):
@@ -171,6 +172,7 @@ def clean(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str =
     ).drop("__doc", "__host", "__version")
 
     def drop_lines(batches):
+        held()
         for batch in batches:
             out = []
             gone_of = batch.column("removed_lines").to_pylist()

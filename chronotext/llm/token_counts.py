@@ -18,13 +18,14 @@ one; repeated rows repeat; other columns are carried on only if named in `keep`.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.llm.common import held
+
 MARK = "▁"
 MEMO = 400_000
 PAIRS = 1_000_000
@@ -144,12 +145,6 @@ class PrefixCounter:
         return counts
 
 
-@lru_cache(maxsize=1)
-def prefix_counter(model_file: str) -> PrefixCounter:
-    """One for the tasks of a Python worker, so that they share what it remembers."""
-    return PrefixCounter(model_file)
-
-
 def fits(counts: np.ndarray, budget: int) -> int:
     """Code points of the longest prefix of at most `budget` tokens."""
     return int(np.flatnonzero(counts <= budget)[-1])
@@ -160,7 +155,7 @@ def _counted(docs: DataFrame, model_file: str, keep: tuple[str, ...], text: str,
     names = [f.split()[0] for f in fields.split(", ")]
 
     def count(batches):
-        counter = prefix_counter(model_file)
+        counter = held(("prefixes", model_file), lambda: PrefixCounter(model_file))
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 found = [results(t.as_py() or "", counter) for t in part.column("__text")]
