@@ -6,9 +6,9 @@ line, distinct documents are counted; lines in more than `max_docs` of them and
 less than `min_left_percent` of its words is depleted and rejected, as is one that fails the
 base rules (too few words, or too many in repeated 8-word windows).
 
-Copies of one document are one document to this count: documents are told apart by the
-context of the line, the smallest hash among their other lines, so a copied text does
-not turn its own lines into boilerplate.
+Documents are counted by the hash of their whole text, lines and hosts alike: exact copies
+are one document, so a copied text does not turn its own lines into boilerplate, and near
+copies are documents of their own.
 
 Null and empty texts have no words and are rejected; a null host is a host of its own.
 Documents are known by (id, hash of the text, host), so repeated rows get equal verdicts each.
@@ -35,7 +35,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 WINDOW = 8
 LINE_HASH = 16  # hex digits kept of a line's md5
-LINES = pa.list_(pa.struct([("line", pa.string()), ("context", pa.string()), ("n", pa.int64())]))
+LINES = pa.list_(pa.struct([("line", pa.string()), ("n", pa.int64())]))
 
 
 def line_key(line: bytes) -> str:
@@ -85,17 +85,14 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def lines_of(text: bytes) -> list[dict]:
-    """The distinct worded lines with the words in all their copies, each with its context."""
+    """The distinct worded lines with the words in all their copies."""
     words: dict[str, int] = {}
     for line in text.split(b"\n"):
         n = len(line.split())
         if n:
             key = line_key(line)
             words[key] = words.get(key, 0) + n
-    least = sorted(words)[:2]
-    return [
-        {"line": k, "context": next((o for o in least if o != k), ""), "n": n} for k, n in words.items()
-    ]
+    return [{"line": k, "n": n} for k, n in words.items()]
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -108,7 +105,7 @@ def profile(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
     schema = rows.drop("text").schema
     for name in BASE:
         schema = schema.add(name, "long")
-    found = "array<struct<line:string,context:string,n:bigint>>"
+    found = "array<struct<line:string,n:bigint>>"
 
     def count(batches):
         held()
@@ -136,12 +133,12 @@ def judge(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str =
     """doc, host, version, the base counts, base_failed, removed_words, removed_lines (keys of
     the lines removed, null where none) and kept of each row."""
     seen = materialize(profile(docs, doc, text, host).withColumn("nth", F.monotonically_increasing_id()))
-    lines = seen.select("nth", "host", F.explode("lines").alias("l")).select("nth", "host", "l.*")
+    lines = seen.select("nth", "host", "version", F.explode("lines").alias("l")).select("nth", "host", "version", "l.*")
     # Nulls are equal here, so they get a value of their own before the joins.
     known = F.struct(F.col("host").isNull().alias("no"), F.coalesce(F.col("host").cast("string"), F.lit("")).alias("name"))
-    hosts = seen.groupBy(known.alias("at")).agg(F.count(F.lit(1)).alias("docs"))
+    hosts = seen.groupBy(known.alias("at")).agg(F.count_distinct("version").alias("docs"))
     frequent = (
-        lines.select(known.alias("at"), "line", "context").distinct().groupBy("at", "line")
+        lines.select(known.alias("at"), "line", "version").distinct().groupBy("at", "line")
         .agg(F.count(F.lit(1)).alias("in_docs")).filter(F.col("in_docs") > max_docs)
         .join(hosts, "at").filter(F.col("in_docs") * 100 > F.col("docs") * max_percent).select("at", "line")
     )

@@ -283,6 +283,20 @@ def test_quality_rules(sp):
     assert quality_rules.judge(docs_of(sp, [])).count() == 0
 
 
+def test_quality_rules_count_documents(sp):
+    """Pages of one template, whose lines all have the same few other lines beside them."""
+    rng = random.Random(5)
+    template = [" ".join(words(rng, 4, 5000)) for _ in range(12)]
+    rows = [(i, "\n".join([*template, " ".join(words(rng, 30, 5000))]), "en", "h") for i in range(50)]
+    rows += [(100 + i, rows[i % 20][1], "en", "k") for i in range(60)]  # 20 distinct texts
+    rows += [(200 + i, "copied text of few words", "en", "m") for i in range(4000)]
+    rows += [(5000 + i, "\n".join([template[0], " ".join(words(rng, 30, 5000))]), "en", "m") for i in range(25)]
+    by = {r["doc"]: r for r in quality_rules.judge(docs_of(sp, rows)).collect()}
+    assert all(by[i]["removed_words"] == 48 and len(by[i]["removed_lines"]) == 12 and by[i]["kept"] for i in range(50))
+    assert all(by[100 + i]["removed_words"] == 0 for i in range(60))
+    assert all(by[5000 + i]["removed_words"] == 4 for i in range(25))  # 25 of the host's 26 texts
+
+
 def test_quality_rules_clean_texts(sp):
     rows = boilerplate_documents() + odd_documents()
     docs = docs_of(sp, rows)
