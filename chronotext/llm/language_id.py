@@ -8,8 +8,8 @@ back-off weights. A text gets the language of the lowest cross-entropy per chara
 language's cross-entropies over its training texts give its limit (mean and `tolerance` standard
 deviations); texts above it are marked rejected.
 
-Hashes have 24 bits for each order, so a language's model has a bounded size however much
-text it saw; models of more languages than fit `MODEL_ROWS` are scored in turns. Null texts and
+Hashes have 64 bits, so different n-grams stay apart and a language's model grows with the text
+it saw; models of more languages than fit `MODEL_ROWS` are scored in turns. Null texts and
 texts without letters are `und` with score 0. Rows are judged one by one; repeated rows
 repeat; other columns are not read. Without training texts everything is `und`.
 """
@@ -25,7 +25,6 @@ from chronotext.llm.common import MIX_2, U64, held, mix, sized
 from chronotext.session import materialize
 
 ORDER = 4
-HASH_BITS = 24
 MODEL_ROWS = 8_000_000
 SLICE_CHARS = 1 << 18
 UNKNOWN = np.log(1e-7)  # of a character never seen in any language
@@ -73,7 +72,7 @@ def gram_hashes(symbols: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarr
         total, blank = ((x + c + U64(1)) * U64(MIX_2) for x, c in ((total, before), (blank, U64(32))))
         total, blank = total ^ (total >> U64(29)), blank ^ (blank >> U64(29))
         for held, x in ((grams, total), (blanks, blank)):
-            held.append(mix(x + U64(k)) >> U64(64 - HASH_BITS))
+            held.append(mix(x + U64(k)))
     contexts = [np.zeros(len(symbols), dtype=U64)]
     for k in range(ORDER - 1):
         moved = np.empty_like(grams[k])
@@ -110,10 +109,9 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                     symbols, offsets = split([t for t, l in zip(texts[i:j], langs[i:j]) if l == name])
                     if not len(symbols):
                         continue
-                    # The two longest ends tell the rows apart; all others follow from them.
+                    # The longest end tells the rows apart; all others follow from it.
                     grams, contexts = gram_hashes(symbols, offsets)
-                    key = grams[-1] + (grams[-2] << U64(HASH_BITS))
-                    _, first, n = np.unique(key, return_index=True, return_counts=True)
+                    _, first, n = np.unique(grams[-1], return_index=True, return_counts=True)
                     rows = np.stack([x[first] for x in (*grams, *contexts[1:])]).astype(np.int64)
                     old = held.get(name)
                     if old is not None:
@@ -127,7 +125,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
             yield from emit(name, *merge(rows, n))
 
     def merge(rows, n):
-        _, first, back = np.unique(rows[ORDER - 1] + (rows[ORDER - 2] << HASH_BITS), return_index=True, return_inverse=True)
+        _, first, back = np.unique(rows[ORDER - 1], return_index=True, return_inverse=True)
         return rows[:, first], np.bincount(back, weights=n).astype(np.int64)
 
     def emit(name, rows, n):
@@ -203,8 +201,7 @@ class Scorer:
                 sums.append(np.zeros((j - i, len(self.models))))
                 continue
             grams, contexts = gram_hashes(symbols, offsets)
-            key = grams[-1] + (grams[-2] << U64(HASH_BITS))
-            distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+            distinct, first, back = np.unique(grams[-1], return_index=True, return_inverse=True)
             at = np.searchsorted(self.keys, distinct)
             at[at == len(self.keys)] = 0
             new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), dtype=bool)

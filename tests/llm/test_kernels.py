@@ -197,6 +197,17 @@ def test_symbols_and_gram_contexts():
     assert all((a[:5] == g[:5]).all() for a, g in zip(again, grams))
 
 
+def test_gram_hashes_keep_millions_of_grams_apart():
+    symbols = np.random.default_rng(4).integers(0x4E00, 0x9000, 2_000_000).astype(np.uint64)
+    grams, contexts = language_id.gram_hashes(symbols, np.array([0, len(symbols)]))
+    ends = np.zeros(len(symbols) - 3, dtype=np.uint64)
+    for k in range(language_id.ORDER):  # exact: 15 bits a symbol
+        ends |= (symbols[3 - k: len(symbols) - k] - np.uint64(0x4E00)) << np.uint64(15 * k)
+        assert len(np.unique(grams[k][3:])) == len(np.unique(ends))
+        if k < language_id.ORDER - 1:
+            assert (contexts[k + 1][4:] == grams[k][3:-1]).all()
+
+
 def test_warc_records_round_trip():
     page = "<html><head><title>A &amp; B</title><style>x{}</style></head><body><p>One<b>two</b></p><!-- no --><script>no()</script><a class=x href='/y?a=1&amp;b=2'>link</a><br>end"
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page.encode()
