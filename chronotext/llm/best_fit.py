@@ -17,6 +17,7 @@ no rows. Other columns are dropped.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -33,6 +34,12 @@ CACHE = 1_000_000
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def lettered(word: str) -> bool:
+    """Whether the word is still all letters as the tokenizer normalises it (NFC, lower case): some
+    letters become a letter and a mark, which forms one piece with a point behind it."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordIds:
     """Ids of white-space-separated words, remembered (up to CACHE of them).
 
@@ -74,11 +81,11 @@ class WordIds:
             base, tail = word, ""
             if "<|" not in word:
                 base = word.translate(LOWER)
-                if base[-1] in ".," and base[:-1].isalpha():
+                if base[-1] in ".," and lettered(base[:-1]):
                     base, tail = base[:-1], base[-1]
             plain[word] = base, tail
         new = list({p for pair in plain.values() for p in pair if p not in known})
-        letters = [w for w in new if w.isalpha()]  # each is one word to the tokenizer
+        letters = [w for w in new if lettered(w)]  # each is one word to the tokenizer
         for i in range(0, len(letters), 500):
             some = letters[i: i + 500]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")

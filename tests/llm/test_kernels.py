@@ -51,6 +51,17 @@ def test_word_ids_equal_the_library():
     assert ids.encode(texts) == wanted
 
 
+def test_word_ids_of_letters_that_become_letter_and_mark():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, ids = Tokenizer.from_file(path), best_fit.WordIds(path)
+    letters = [chr(i) for i in range(0x80, 0x30000) if chr(i).isalpha()]
+    texts = ["BELEDİYESİ. BELEDİYESİ, BELEDİYESİ İ. \u0958. क़, \ufb2a.", *(f"ab{c}. {c}, {c}{c}." for c in letters)]
+    wanted = [np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert ids.encode(texts) == wanted
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan_uses_every_piece_once(seed):
     rng = random.Random(seed)
