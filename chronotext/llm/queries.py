@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from chronotext.llm.common import find_package
 from chronotext.llm import (
-    best_fit, chat, decontaminate, jaccard_join, language_id, nb_svm, quality_rules, token_counts, url_rules, warc,
+    best_fit, chat, decontaminate, jaccard_join, language_id, line_dedup, nb_svm, quality_rules, token_counts, url_rules,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,3 +264,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+# --- 11: line dedup -------------------------------------------------------------------
+
+@query("op11_line_dedup", f"""
+WITH d AS (SELECT row_number() OVER () AS nth, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT nth, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
+k AS (SELECT nth, doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_AZ}) AS key FROM l),
+f AS (
+  SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10 GROUP BY key
+  HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INTEGER) > 1),
+m AS (SELECT nth, line, pos, f.key IS NOT NULL AND doc_id IS DISTINCT FROM least AS gone FROM k LEFT JOIN f ON f.key = k.key),
+o AS (
+  SELECT nth, sum(gone::INTEGER) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY nth)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN o USING (nth)""")
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
