@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from chronotext.llm.common import find_package
 from chronotext.llm import (
-    best_fit, chat, decontaminate, jaccard_join, language_id, line_dedup, nb_svm, quality_rules, token_counts, url_rules,
-    warc,
+    best_fit, chat, chat_repair, decontaminate, jaccard_join, language_id, line_dedup, nb_svm, periodic_runs, quality_rules,
+    token_counts, url_rules, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,3 +282,154 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_droppe
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- 12: conversation structure repair --------------------------------------------------
+
+# The checksum of an ASCII text by its table of 256 numbers.
+_CRC_TABLE = """
+crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """SQL over a row of crc_table."""
+    return (f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+@query("op12_conversation_repair", rf"""
+WITH RECURSIVE {_CRC_TABLE},
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc_table),
+hurt AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM named WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM hurt),
+r AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, role, text, i, left(role, 1) AS ini,
+    CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+moves AS (SELECT * FROM (VALUES ('E', 's', 'S'), ('E', 'u', 'U'), ('S', 'u', 'U'), ('A', 'u', 'U'), ('U', 'a', 'A')) v(st, sym, goes)),
+ins AS (
+  SELECT * FROM (VALUES ('E', '', 'E', 0), ('S', '', 'S', 0), ('U', '', 'U', 0), ('A', '', 'A', 0), ('E', 'I', 'U', 5), ('S', 'I', 'U', 5),
+    ('U', 'I', 'A', 5), ('A', 'I', 'U', 5), ('E', 'II', 'A', 10), ('S', 'II', 'A', 10)) v(st, letters, goes, price)),
+edits AS (
+  SELECT r.c, r.i, m.st, m.goes, CASE WHEN m.sym = r.ini THEN 'K' ELSE 'R' END AS edit,
+    (m.sym <> r.ini)::INTEGER + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS price
+  FROM r JOIN moves m ON m.sym = r.ini OR m.sym IN ('u', 'a') WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT r.c, r.i, s.st, s.st, 'D', 2 FROM r, (SELECT DISTINCT st FROM ins) s),
+f AS (
+  SELECT DISTINCT c, 0::BIGINT AS i, 'E' AS st, 0 AS cost, '' AS audit FROM r
+  UNION ALL
+  SELECT f.c, f.i + 1, e.goes, f.cost + n.price + e.price, f.audit || n.letters || e.edit
+  FROM f JOIN ins n ON n.st = f.st JOIN edits e ON e.c = f.c AND e.i = f.i + 1 AND e.st = n.goes
+  QUALIFY row_number() OVER (PARTITION BY f.c, e.goes ORDER BY f.cost + n.price + e.price, f.audit || n.letters || e.edit) = 1),
+ends AS (
+  SELECT f.c, f.cost + n.price AS cost, f.audit || n.letters AS audit
+  FROM f JOIN ins n ON n.st = f.st JOIN (SELECT c, max(i) AS i FROM r GROUP BY c) z ON z.c = f.c AND z.i = f.i
+  WHERE n.goes IN ('E', 'A')
+  QUALIFY row_number() OVER (PARTITION BY f.c ORDER BY f.cost + n.price, f.audit || n.letters) = 1),
+marks AS (SELECT c, unnest(string_split(audit, '')) AS edit, unnest(range(1, length(audit) + 1)) AS spot FROM ends),
+nth AS (SELECT *, sum((edit <> 'I')::INTEGER) OVER (PARTITION BY c ORDER BY spot) AS i FROM marks),
+outs AS (
+  SELECT nth.c, spot, edit, row_number() OVER (PARTITION BY nth.c ORDER BY spot) AS k, r.ini, r.role, r.text
+  FROM nth LEFT JOIN r ON r.c = nth.c AND r.i = nth.i WHERE edit <> 'D'),
+sys AS (SELECT c, (edit = 'K' AND ini = 's')::INTEGER AS s FROM outs WHERE k = 1),
+fixed AS (
+  SELECT c, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY spot)) AS sha FROM outs JOIN sys USING (c) GROUP BY c),
+pairs AS (SELECT c, ini, lag(ini) OVER (PARTITION BY c ORDER BY i) AS before, i FROM r),
+stats AS (
+  SELECT c, conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM r GROUP BY c, conv_id),
+bad AS (SELECT c, count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY c),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN bad USING (c) LEFT JOIN ends USING (c)
+LEFT JOIN fixed USING (c)""")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    found = chat_repair.report(chat_repair.repair(chat_repair.damage(rows)))
+    ids = rows.select(F.col("conv_id").alias("_id")).distinct()  # also those that lost all rows
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+# --- 13: periodic runs ------------------------------------------------------------------
+
+_GRAM = periodic_runs.least_common(24, 3)
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where the id's checksum ends in 0 the words from a on are its first p words from
+    a, over and over. No function is applied word by word, so the split happens a few times a text."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    ws = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    cut = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, ws).alias("ws"))
+    n = F.size("ws")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("ws", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    made = F.concat(F.slice("ws", F.lit(1), a), F.slice(tail, F.lit(1), n - a))
+    return cut.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+# Stretches of equal words q apart are islands of equal windows of _GRAM words q apart.
+@query("op13_periodic_runs", rf"""
+WITH {_CRC_TABLE},
+d AS (
+  SELECT row_number() OVER () AS nth, doc_id, {_crc32("coalesce(doc_id::VARCHAR, '')")} AS h,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}') AS o FROM documents, crc_table),
+e AS (
+  SELECT nth, doc_id, o, len(o) AS n, CASE WHEN doc_id IS NOT NULL AND h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) ELSE len(o) END AS a,
+    h // 10 AS g FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+w AS (
+  SELECT nth, doc_id, n, list_transform(range(n), lambda i: CASE WHEN i >= a THEN o[1 + a + (i - a) % p] ELSE o[1 + i] END) AS ws FROM f),
+grams AS (
+  SELECT nth, i, array_to_string(list_slice(ws, i + 1, i + {_GRAM}), ' ') AS g
+  FROM (SELECT nth, ws, unnest(range(0, n - {_GRAM} + 1)) AS i FROM w WHERE n >= {_GRAM})),
+twins AS (SELECT x.nth, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.nth = y.nth AND x.g = y.g AND x.i < y.i),
+isles AS (SELECT nth, q, min(i) AS start, count(*) + {_GRAM} - 1 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY nth, q ORDER BY i) AS isle FROM twins) GROUP BY nth, q, isle),
+runs AS (SELECT nth, start, length, min(q) AS period FROM isles WHERE length >= 24 AND length >= 3 * q GROUP BY nth, start, length),
+listed AS (SELECT nth, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY nth),
+best AS (
+  SELECT x.* FROM runs x WHERE NOT EXISTS (
+    SELECT 1 FROM runs y WHERE y.nth = x.nth AND (y.length * x.period > x.length * y.period OR (y.length * x.period = x.length * y.period
+      AND (y.start < x.start OR (y.start = x.start AND y.period < x.period)))))),
+gone AS (SELECT DISTINCT nth, unnest(range(start + period, start + length)) AS i FROM runs),
+cut AS (
+  SELECT w.nth, string_agg(word, ' ' ORDER BY w.i) AS s FROM (SELECT nth, unnest(ws) AS word, unnest(range(0, n)) AS i FROM w) w
+  LEFT JOIN gone ON gone.nth = w.nth AND gone.i = w.i WHERE gone.i IS NULL GROUP BY w.nth)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(listed.s, '')) AS runs_sha256, sha256(coalesce(cut.s, '')) AS collapsed_sha256
+FROM w LEFT JOIN listed USING (nth) LEFT JOIN best USING (nth) LEFT JOIN cut USING (nth)""")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_periods(documents(spark, sf_dir)))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # Runs come by start, then period, so only a strictly greater exponent takes over.
+    best = F.aggregate("runs", none, lambda b, r: F.when(
+        b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    listed = F.array_join(F.transform(
+        "runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = found.select("doc_id", "runs", "collapsed", best.alias("b"), F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").alias("l"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("b.start").alias("start"), F.col("b.length").alias("length"),
+        F.col("b.period").alias("period"), F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+        F.sha2("l", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
