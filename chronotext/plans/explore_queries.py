@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from chronotext.functions.vocabulary import COMPRESSION_FEATURES, LEXICAL_FEATURES
 from chronotext.operators import bayes, distributions as D, importance as I, learners as L
-from chronotext.operators import evaluate, neighbours, prepare, seeds
+from chronotext.operators import evaluate, neighbour_index, neighbours, prepare, seeds
 from chronotext.plans import model_queries as M
 from chronotext.plans import views as V
 from chronotext.plans.ngram_queries import full_features
 from chronotext.plans.registry import cte, query, rounded, stored
 from chronotext.plans.text_queries import name
-from chronotext.session import staging_path
+from chronotext.session import materialize, staging_path
 
 FEATURES = V.MAIN_FEATURES
 
@@ -213,6 +213,62 @@ def knn_exact(spark, sf_dir):
     return rounded(neighbours.knn_classify(points(spark, sf_dir), 5))
 
 
+@query("knn_lsh")
+def knn_lsh(spark, sf_dir):
+    """Hashed neighbours of the points whose id is divisible by 20 among all, with the share of
+    the exact neighbours they hold; no SQL, as the projections are drawn."""
+    every = points(spark, sf_dir)
+    asked = every.filter("id % 20 = 0").select(F.col("id").alias("qid"), "vec")
+    found = materialize(neighbour_index.HashIndex.fit(every, 5).search(asked, 5, others=True))
+    exact = neighbour_index.CellIndex.fit(every, 6).search(asked, 6).filter("qid <> id")
+    exact = neighbour_index.ranked(exact, 5)
+    share = neighbour_index.recall(found, exact)
+    whole = share.agg(F.avg("recall")).scalar()
+    return rounded(found.join(share.withColumnRenamed("recall", "query_recall"), "qid").withColumn("recall", whole))
+
+
+cte("knn_rows", f"""
+SELECT file_name, substr(file_name, 5)::BIGINT AS id, split, y_decades, y_centuries,
+  [{', '.join(f'{name(c)}::DOUBLE' for c in FEATURES)}] AS v FROM model_table""", ("model_table",))
+cte("knn_found", """
+SELECT q.file_name, q.split AS dataset, q.y_decades AS qd, q.y_centuries AS qc, t.y_decades AS td, t.y_centuries AS tc
+FROM knn_rows q JOIN knn_rows t ON q.split <> 'train' AND t.split = 'train'
+QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, t.v), t.id) <= 5""", ("knn_rows",))
+cte("knn_votes", """
+SELECT file_name, dataset, time_scale, y, c, count(*) AS n FROM (
+  SELECT file_name, dataset, 'decades' AS time_scale, qd AS y, td AS c FROM knn_found
+  UNION ALL SELECT file_name, dataset, 'centuries', qc, tc FROM knn_found) GROUP BY ALL""", ("knn_found",))
+
+
+def knn_predictions(spark, sf_dir, features: list[str] = FEATURES, k: int = 5) -> DataFrame:
+    """Neighbours of the documents outside training among the training documents, from a stored
+    index, and their vote at both time scales."""
+    table = V.model_table(spark, sf_dir).withColumn("id", F.substring("file_name", 5, 20).cast("bigint"))
+    rows = table.withColumn("vec", F.array(*[F.col(c).cast("double") for c in features]))
+    train, rest = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
+    index = neighbour_index.CellIndex.fit(train.select("id", "vec"), k)
+    found = materialize(index.search(rest.select(F.col("id").alias("qid"), "vec"), k))
+    out = None
+    for scale in V.TARGETS:
+        y = F.col(f"y_{scale}").cast("int").alias("y")
+        classes = train.agg(F.max(f"y_{scale}")).first()[0] + 1
+        one = neighbour_index.vote(found, train.select("id", y), int(classes)).join(
+            rest.select(F.col("id").alias("qid"), "file_name", F.col("split").alias("dataset"), y), "qid"
+        ).select("file_name", "dataset", F.lit(scale).alias("time_scale"), "y", "y_hat", "probs")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("knn_fit_score", """
+SELECT file_name, dataset, time_scale, y::BIGINT AS y, arg_max(c, (n, -c))::BIGINT AS y_hat,
+  round(coalesce(sum(n) FILTER (c = y), 0) / sum(n), 6) + 0.0 AS p_true
+FROM knn_votes GROUP BY file_name, dataset, time_scale, y""", ("knn_votes",))
+def knn_fit_score(spark, sf_dir):
+    """Fitted on the training set, scored on the others."""
+    pred = knn_predictions(spark, sf_dir)
+    return rounded(pred.select("file_name", "dataset", "time_scale", "y", "y_hat", F.coalesce(F.get("probs", F.col("y")), F.lit(0.0)).alias("p_true")))
+
+
 cte("links", """
 SELECT a.q AS id, a.id AS nn, a.la AS label, a.lb AS nn_label FROM ranked a JOIN ranked b ON b.q = a.id AND b.id = a.q
 WHERE a.r = 1 AND b.r = 1 AND a.la <> a.lb""", ("ranked",))
