@@ -140,27 +140,32 @@ def contamination(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
 
 def without_documents(docs: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without hits, all columns."""
-    bad = found.filter("n_hit > 0").select(F.col(doc).alias("__doc"), F.col("version").alias("__version"))
-    return docs.join(
-        bad, F.col(doc).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__version")), "left_anti"
-    )
+    rows, d, t = plain(docs, doc, text)
+    bad = found.filter("n_hit > 0").select(F.col(doc).alias("hit_doc"), F.col("version").alias("hit_version"))
+    left = rows.join(bad, F.col(d).eqNullSafe(F.col("hit_doc")) & (F.xxhash64(t) == F.col("hit_version")), "left_anti")
+    return left.toDF(*docs.columns)
+
+
+def plain(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, str, str]:
+    """The documents with columns c0.., which clash with nothing, and the names of two of them."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index(doc)], names[docs.columns.index(text)]
 
 
 def without_spans(docs: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents, all columns, the words of hits cut out with what stands before them."""
+    rows, d, t = plain(docs, doc, text)
     bad = found.filter("n_hit > 0").select(
-        F.col(doc).alias("__doc"), F.col("version").alias("__version"), F.col("spans").alias("__spans")
-    ).dropDuplicates(["__doc", "__version"])
-    joined = docs.join(
-        bad, F.col(doc).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__version")), "left"
-    )
+        F.col(doc).alias("hit_doc"), F.col("version").alias("hit_version"), F.col("spans").alias("hit_spans")
+    ).dropDuplicates(["hit_doc", "hit_version"])
+    joined = rows.join(bad, F.col(d).eqNullSafe(F.col("hit_doc")) & (F.xxhash64(t) == F.col("hit_version")), "left")
     word = "[^" + BETWEEN_EXCEPT_CAPITALS[1:]
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"{BETWEEN_EXCEPT_CAPITALS}*{word}+"), F.lit(0))
-    tail = F.regexp_extract(F.col(text), f"{BETWEEN_EXCEPT_CAPITALS}*\\z", 0)
+    pieces = F.regexp_extract_all(F.col(t), F.lit(f"{BETWEEN_EXCEPT_CAPITALS}*{word}+"), F.lit(0))
+    tail = F.regexp_extract(F.col(t), f"{BETWEEN_EXCEPT_CAPITALS}*\\z", 0)
     hit = F.array_distinct(F.flatten(F.transform(
-        "__spans", lambda s: F.sequence(s["start"], s["start"] + s["k"] - 1))))
+        "hit_spans", lambda s: F.sequence(s["start"], s["start"] + s["k"] - 1))))
     gone = F.map_from_arrays(hit, F.array_repeat(F.lit(True), F.size(hit)))
-    left = F.filter(pieces, lambda piece, i: ~F.map_contains_key("__gone", i))
-    cut = joined.withColumn("__gone", gone)
-    cut = cut.withColumn(text, F.when(F.col("__spans").isNotNull(), F.concat(F.array_join(left, ""), tail)).otherwise(F.col(text)))
-    return cut.select(*docs.columns)
+    left = F.filter(pieces, lambda piece, i: ~F.map_contains_key("hit_gone", i))
+    cut = joined.withColumn("hit_gone", gone)
+    cut = cut.withColumn(t, F.when(F.col("hit_spans").isNotNull(), F.concat(F.array_join(left, ""), tail)).otherwise(F.col(t)))
+    return cut.select(*rows.columns).toDF(*docs.columns)

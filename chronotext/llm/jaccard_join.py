@@ -47,6 +47,7 @@ VERIFY_COST = 8.0     # of a candidate, in postings
 LIST_LIMIT = 50_000   # estimated postings of a shingle beyond which its list is dealt in parts
 BLOCK = 512           # nodes compared with others at once
 BROADCAST_ROWS = 500_000
+PAIRS = 200_000       # pairs of a list held at once
 SEEN = 1_000_000
 PLACES = (1 << 28) - 1
 SPACE, FOLD = ascii_space(), lower_ascii()
@@ -302,11 +303,17 @@ def cross_pairs(left, right, own, limits, top: int, bottom: int, twice: bool):
     n, place, least, most = limits
     right = right[np.argsort(n[right], kind="stable")]
     sizes = n[right]
-    for some in np.array_split(left, max(1, len(left) // BLOCK)):
-        first = np.searchsorted(sizes, least[some], side="left")
-        count = np.maximum(np.searchsorted(sizes, most[some], side="right") - first, 0)
-        i = np.repeat(some, count)
-        j = right[np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+    first = np.searchsorted(sizes, least[left], side="left")
+    count = np.maximum(np.searchsorted(sizes, most[left], side="right") - first, 0)
+    # As many rows at once as have PAIRS partners together, or one row.
+    total, lo = np.cumsum(count), 0
+    while lo < len(left):
+        before = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, before + PAIRS, side="right")))
+        some = count[lo:hi]
+        i = np.repeat(left[lo:hi], some)
+        j = right[np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(first[lo:hi], some)]
+        lo = hi
         past = -(-(n[i] + n[j]) * top // (top + bottom)) - 1
         ok = (own["comp"][i] != own["comp"][j]) & (place[i] < n[i] - past) & (place[j] < n[j] - past)
         a, b = own["node"][i], own["node"][j]
@@ -316,6 +323,19 @@ def cross_pairs(left, right, own, limits, top: int, bottom: int, twice: bool):
             yield np.minimum(a, b)[ok], np.maximum(a, b)[ok]
 
 
+def in_batches(pairs):
+    """Batches of about PAIRS (a, b) rows, so that no task holds all pairs of a list."""
+    held, size = [], 0
+    for a, b in pairs:
+        held.append((a, b))
+        size += len(a)
+        if size >= PAIRS:
+            yield batch_of(["a", "b"], *(np.concatenate(c) for c in zip(*held)))
+            held, size = [], 0
+    if held:
+        yield batch_of(["a", "b"], *(np.concatenate(c) for c in zip(*held)))
+
+
 def pair_limits(own, top: int, bottom: int):
     """Sizes and places of postings, and the sizes a partner may have: near the own, and such that
     this shingle lies in the prefix of a pair, which is the shorter the larger the overlap that
@@ -340,15 +360,17 @@ def different_components(lists: DataFrame, top: int, bottom: int) -> DataFrame:
 
     def compare(batches):
         for own in runs(batches, ["token"]):
-            limits, edges, out = pair_limits(own, top, bottom), starts(own, ["token"]), []
-            for lo, hi in zip(edges, edges[1:]):
-                comps, sizes = np.unique(own["comp"][lo:hi], return_counts=True)
-                if len(comps) > 1:
-                    at, main = np.arange(lo, hi), own["comp"][lo:hi] == comps[np.argmax(sizes)]
-                    out += cross_pairs(at[~main], at[main], own, limits, top, bottom, False)
-                    out += cross_pairs(at[~main], at[~main], own, limits, top, bottom, True)
-            if out:
-                yield batch_of(["a", "b"], *(np.concatenate(c) for c in zip(*out)))
+            limits, edges = pair_limits(own, top, bottom), starts(own, ["token"])
+
+            def pairs():
+                for lo, hi in zip(edges, edges[1:]):
+                    comps, sizes = np.unique(own["comp"][lo:hi], return_counts=True)
+                    if len(comps) > 1:
+                        at, main = np.arange(lo, hi), own["comp"][lo:hi] == comps[np.argmax(sizes)]
+                        yield from cross_pairs(at[~main], at[main], own, limits, top, bottom, False)
+                        yield from cross_pairs(at[~main], at[~main], own, limits, top, bottom, True)
+
+            yield from in_batches(pairs())
 
     fields = "a bigint, b bigint"
     whole = lists.filter("parts = 1").select("token", "node", "info", "comp").repartition("token").sortWithinPartitions("token")
@@ -408,17 +430,19 @@ def in_blocks(lists: DataFrame, top: int, bottom: int, fields: str) -> DataFrame
 
     def compare_blocks(batches):
         for own in runs(batches, ["token", "x", "y"]):
-            limits, edges, out = pair_limits(own, top, bottom), starts(own, ["token", "x", "y"]), []
-            for lo, hi in zip(edges, edges[1:]):
-                at, main, x, y = np.arange(lo, hi), own["is_main"][lo:hi], own["x"][lo], own["y"][lo]
-                block = own["own"][lo:hi]
-                if y >= 0:
-                    left, right = at[~main], at[main]
-                else:
-                    left, right = at[block == x], at[block == -1 - y]
-                out += cross_pairs(left, right, own, limits, top, bottom, x == -1 - y)
-            if out:
-                yield batch_of(["a", "b"], *(np.concatenate(c) for c in zip(*out)))
+            limits, edges = pair_limits(own, top, bottom), starts(own, ["token", "x", "y"])
+
+            def pairs():
+                for lo, hi in zip(edges, edges[1:]):
+                    at, main, x, y = np.arange(lo, hi), own["is_main"][lo:hi], own["x"][lo], own["y"][lo]
+                    block = own["own"][lo:hi]
+                    if y >= 0:
+                        left, right = at[~main], at[main]
+                    else:
+                        left, right = at[block == x], at[block == -1 - y]
+                    yield from cross_pairs(left, right, own, limits, top, bottom, x == -1 - y)
+
+            yield from in_batches(pairs())
 
     return dealt.mapInArrow(compare_blocks, fields)
 

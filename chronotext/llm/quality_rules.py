@@ -159,21 +159,24 @@ def judge(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str =
 def clean(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source", n_chars: str | None = None,
           **limits) -> DataFrame:
     """The kept documents, all columns, without the lines removed; `n_chars` is counted anew."""
-    verdicts = judge(docs, doc, text, host, **limits).filter("kept").select(
-        F.col("doc").alias("__doc"), F.col("host").alias("__host"), F.col("version").alias("__version"), "removed_lines"
-    ).dropDuplicates(["__doc", "__host", "__version"])
-    joined = docs.join(
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no column of the documents can clash with the inner ones
+    plain, own = docs.toDF(*names), dict(zip(docs.columns, names))
+    d, t, h, chars = own[doc], own[text], own[host], own.get(n_chars)
+    verdicts = judge(plain, d, t, h, **limits).filter("kept").select(
+        F.col("doc").alias("of_doc"), F.col("host").alias("of_host"), F.col("version").alias("of_version"), "removed_lines"
+    ).dropDuplicates(["of_doc", "of_host", "of_version"])
+    joined = plain.join(
         verdicts,
-        F.col(doc).eqNullSafe(F.col("__doc")) & F.col(host).eqNullSafe(F.col("__host"))
-        & (F.xxhash64(text) == F.col("__version")),
-    ).drop("__doc", "__host", "__version")
+        F.col(d).eqNullSafe(F.col("of_doc")) & F.col(h).eqNullSafe(F.col("of_host"))
+        & (F.xxhash64(t) == F.col("of_version")),
+    ).drop("of_doc", "of_host", "of_version")
 
     def drop_lines(batches):
         held()
         for batch in batches:
             out = []
             gone_of = batch.column("removed_lines").to_pylist()
-            for value, gone in zip(batch.column(text), gone_of):
+            for value, gone in zip(batch.column(t), gone_of):
                 if not gone:
                     out.append(value.as_py())
                     continue
@@ -181,10 +184,10 @@ def clean(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str =
                 kept = [x for x in value.as_py().encode().split(b"\n") if not x.split() or line_key(x) not in gone]
                 out.append(b"\n".join(kept).decode())
             columns = dict(zip(batch.schema.names, batch.columns))
-            columns[text] = pa.array(out, batch.column(text).type)
-            if n_chars:
-                columns[n_chars] = pa.array([None if t is None else len(t) for t in out], pa.int64())
+            columns[t] = pa.array(out, batch.column(t).type)
+            if chars:
+                columns[chars] = pa.array([None if x is None else len(x) for x in out], pa.int64())
             del columns["removed_lines"]
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return joined.mapInArrow(drop_lines, docs.schema)
+    return joined.mapInArrow(drop_lines, plain.schema).toDF(*docs.columns)

@@ -170,11 +170,8 @@ dup AS (SELECT nth, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY nt
 keyed AS (
   SELECT nth, source, substr(md5(translate(array_to_string(lw, ' '), {_AZ})), 1, 16) AS k, sum(len(lw)) AS n
   FROM worded GROUP BY ALL),
-least AS (SELECT nth, list_sort(list(k))[1:2] AS two FROM keyed GROUP BY nth),
-ctx AS (
-  SELECT source, k, CASE WHEN two[1] <> k THEN two[1] ELSE coalesce(two[2], '') END AS c FROM keyed JOIN least USING (nth)),
-freq AS (SELECT source, k, count(DISTINCT c) AS in_docs FROM ctx GROUP BY source, k),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+freq AS (SELECT k.source, k, count(DISTINCT text) AS in_docs FROM keyed k JOIN d USING (nth) GROUP BY k.source, k),
+hosts AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INTEGER) AS docs FROM documents GROUP BY source),
 bad AS (
   SELECT f.source, f.k FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
   WHERE in_docs > 20 AND in_docs * 100 > docs),

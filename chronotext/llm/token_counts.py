@@ -151,19 +151,20 @@ def fits(counts: np.ndarray, budget: int) -> int:
 
 
 def _counted(docs: DataFrame, model_file: str, keep: tuple[str, ...], text: str, results, fields: str) -> DataFrame:
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    own = [f"c{i}" for i in range(len(keep))]  # a kept column may have any name, that of a result too
+    rows = docs.select(*(F.col(k).alias(c) for k, c in zip(keep, own)), F.col(text).alias("text"))
     names = [f.split()[0] for f in fields.split(", ")]
 
     def count(batches):
         counter = held(("prefixes", model_file), lambda: PrefixCounter(model_file))
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                found = [results(t.as_py() or "", counter) for t in part.column("__text")]
+                found = [results(t.as_py() or "", counter) for t in part.column("text")]
                 columns = [pa.array(c) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *columns], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in own), *columns], names=[*own, *names])
 
-    kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(count, f"{kept}, {fields}")
+    kept = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in own)
+    return rows.mapInArrow(count, kept + fields).toDF(*keep, *names)
 
 
 def prefix_counts(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

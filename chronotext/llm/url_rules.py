@@ -115,7 +115,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", keep: tupl
                default: str = "allow") -> DataFrame:
     """keep, host, path, rule (the deciding rule's name or null) and verdict of each URL."""
     host, path = host_and_path(F.col(url))
-    parts = pages.select(*keep, host.alias("host"), path.alias("path"))
+    own = [f"c{i}" for i in range(len(keep))]  # a kept column may have any name, that of a result too
+    parts = pages.select(*(F.col(k).alias(c) for k, c in zip(keep, own)), host.alias("host"), path.alias("path"))
     parts = parts.withColumn("canonical", F.concat("host", "path"))
     globs = [(g, r) for r in rules for g in r.globs]
     auto = compile_globs([g for g, _ in globs])
@@ -139,4 +140,4 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", keep: tupl
             )
 
     schema = parts.drop("canonical").schema.add("rule", "string").add("verdict", "string")
-    return parts.mapInArrow(judge, schema)
+    return parts.mapInArrow(judge, schema).toDF(*keep, "host", "path", "rule", "verdict")

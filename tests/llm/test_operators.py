@@ -240,19 +240,21 @@ def test_one_of_each(sp):
 # --- quality rules ---------------------------------------------------------------------
 
 def plain_quality(rows, min_docs, percent):
-    lines_of, context_of, seen, hosts = [], [], defaultdict(set), Counter(r[3] for r in rows)
+    """Words in lines that stand in too many distinct texts of a host, of its distinct texts."""
+    lines_of, seen, hosts = [], defaultdict(set), defaultdict(set)
     for _, text, _, host in rows:
+        hosts[host].add(text)
         n = Counter()
         for line in (text or "").split("\n"):
-            if line.encode().split():
-                n[quality_rules.line_key(line.encode())] += len(line.encode().split())
+            if line.split():
+                n[" ".join(line.split()).lower()] += len(line.split())
         lines_of.append(n)
         for k in n:
-            seen[host, k].add(next((o for o in sorted(n)[:2] if o != k), ""))
+            seen[host, k].add(text)
     out = []
     for (doc, text, _, host), n in zip(rows, lines_of):
         total = sum(n.values())
-        gone = sum(w for k, w in n.items() if len(seen[host, k]) > min_docs and len(seen[host, k]) * 100 > hosts[host] * percent)
+        gone = sum(w for k, w in n.items() if len(seen[host, k]) > min_docs and len(seen[host, k]) * 100 > len(hosts[host]) * percent)
         out.append((doc, total, gone))
     return sorted(out, key=repr)
 
