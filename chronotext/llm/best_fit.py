@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import held
+from chronotext.llm.common import held, slices, span_hashes, table, word_spans
 from chronotext.session import materialize
 
-CACHE = 1_000_000
+CACHE = 3_000_000  # words of about 40 bytes
+SMALL = 100_000
+BLANKS = np.isin(np.arange(256), [0x20, 0x0A])
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -40,10 +42,32 @@ def lettered(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+class Shelf:
+    """Ids of words by the words' 64-bit hashes: sorted hashes, and where each word's ids lie."""
+
+    def __init__(self):
+        self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, first, size) of each key."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] == keys, self.first[at], self.size[at]
+
+    def add(self, keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.first, self.size = (
+            np.insert(old, at, new[order]) for old, new in ((self.keys, keys), (self.first, first), (self.size, size)))
+
+
 class WordIds:
-    """Ids of white-space-separated words, remembered (up to CACHE of them).
+    """Ids of white-space-separated words, remembered (up to CACHE of them) in flat arrays.
 
-    For tokenizers that drop white space and look at nothing beyond it."""
+    For tokenizers that drop white space and look at nothing beyond it. New words go to a small shelf that
+    is put into the large one from time to time."""
 
     def __init__(self, tokenizer_file: str):
         import os
@@ -52,52 +76,92 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[str, bytes] = {"": b""}
         self.closes = np.zeros(self.model.get_vocab_size(), dtype=bool)
         for token, i in self.model.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self.known.get
-        out = []
-        for ws in words:
-            parts = list(map(get, ws))
-            if None in parts:
-                self.learn({w for w, p in zip(ws, parts) if p is None})
-                parts = list(map(get, ws))
-            out.append(b"".join(parts))
-            if len(self.known) > CACHE:
-                self.known.clear()
-                self.known[""] = b""
-        return out
-
-    def learn(self, words: set[str]) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.large, self.small = Shelf(), Shelf()
+        self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known, first, size = self.large.find(keys)
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            also, other, long = self.small.find(keys[rest])
+            known[rest], first[rest], size[rest] = also, other, long
+        return known, first, size
+
+    def put(self, keys: np.ndarray, coded: list[bytes]) -> None:
+        new = np.frombuffer(b"".join(coded), dtype="<u4")
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), dtype="<u4")])
+        self.ids[self.used: self.used + len(new)] = new
+        self.small.add(keys, self.used + np.cumsum(size) - size, size)
+        self.used += len(new)
+        if len(self.small.keys) > SMALL:
+            self.large.add(self.small.keys, self.small.first, self.small.size)
+            self.small = Shelf()
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(little-endian unsigned 32-bit ids of all rows, where each row's ids begin) of UTF-8 texts."""
+        if len(self.large.keys) > CACHE:
+            self.clear()
+        starts, ends, rows = word_spans(data, offsets, BLANKS)
+        keys, at, own = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        new = np.flatnonzero(~self.find(keys)[0])
+        if len(new):
+            raw, lo, hi = data.tobytes(), starts[at[new]].tolist(), ends[at[new]].tolist()
+            self.learn([raw[i:j].decode() for i, j in zip(lo, hi)], keys[new])
+        _, first, size = self.find(keys)
+        length = size[own]
+        total = np.concatenate([[0], np.cumsum(length)])
+        place = np.repeat(first[own] - total[:-1], length) + np.arange(total[-1])
+        return self.ids[place], total[rows]
+
+    def learn(self, words: list[str], keys: np.ndarray) -> None:
         """A word of letters and a closing point or comma is the word, then the mark; capitals
         A-Z don't matter. Neither holds inside special tokens, which all begin with `<|`."""
-        known, plain = self.known, {}
+        plain = []
         for word in words:
             base, tail = word, ""
             if "<|" not in word:
-                base = word.translate(LOWER)
+                base = word.lower() if word.isascii() else word.translate(LOWER)
                 if base[-1] in ".," and lettered(base[:-1]):
                     base, tail = base[:-1], base[-1]
-            plain[word] = base, tail
-        new = list({p for pair in plain.values() for p in pair if p not in known})
-        letters = [w for w in new if lettered(w)]  # each is one word to the tokenizer
+            plain.append((base, tail))
+        bases = list(dict.fromkeys([base for base, _ in plain] + [".", ","]))
+        base_keys = hashes_of(bases)
+        known, first, size = self.find(base_keys)
+        coded = {}
+        for i in np.flatnonzero(known).tolist():
+            coded[bases[i]] = self.ids[first[i]: first[i] + size[i]].tobytes()
+        unknown = [w for w in bases if w not in coded]
+        letters = [w for w in unknown if lettered(w)]  # each is one word to the tokenizer
         for i in range(0, len(letters), 500):
             some = letters[i: i + 500]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()]
             data = ids.tobytes()
             if len(cuts) == len(some) + 1:
-                known.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
-        rest = [w for w in new if w not in known]
-        for word, coded in zip(rest, self.model.encode_batch(rest, add_special_tokens=False)):
-            known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        for word, (base, tail) in plain.items():
-            known[word] = known[base] + known[tail]
+                coded.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+        rest = [w for w in unknown if w not in coded]
+        for word, found in zip(rest, self.model.encode_batch(rest, add_special_tokens=False)):
+            coded[word] = np.array(found.ids, dtype="<u4").tobytes()
+        fresh = np.flatnonzero(~known)
+        other = [i for i, (word, (base, _)) in enumerate(zip(words, plain)) if word != base]
+        coded[""] = b""
+        self.put(
+            np.concatenate([base_keys[fresh], keys[other]]),
+            [coded[bases[i]] for i in fresh.tolist()] + [coded[plain[i][0]] + coded[plain[i][1]] for i in other])
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    return span_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0, doc: str = "doc_id",
@@ -111,16 +175,19 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: i
     def cut(batches):
         ids, task, seen = held(("words", tokenizer_file), lambda: WordIds(tokenizer_file)), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            texts, offsets = table(batch, "text")
+            for i, j in slices(offsets):
+                part = batch.slice(i, j - i)
                 rows, keys = [], []
-                coded = ids.encode([t.as_py() or "" for t in part.column("text")])
-                for row, data in enumerate(coded):
-                    data += end
-                    for n, at in enumerate(range(0, len(data), 4 * capacity)):
-                        own = data[at: at + 4 * capacity]
+                flat, at = ids.encode(texts[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+                flat, at = flat.tobytes(), (4 * at).tolist()
+                for row in range(j - i):
+                    data = flat[at[row]: at[row + 1]] + end
+                    for n, lo in enumerate(range(0, len(data), 4 * capacity)):
+                        own = data[lo: lo + 4 * capacity]
                         size = len(own) // 4
-                        rows.append((n, at // 4, size, zlib.crc32(own), task, seen[size]))
-                        keys.append((row, own))
+                        rows.append((n, lo // 4, size, zlib.crc32(own), task, seen[size]))
+                        keys.append((row, own if with_ids else None))
                         seen[size] += 1
                 columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
                 found = part.column("doc").take(pa.array([k for k, _ in keys], pa.int64()))

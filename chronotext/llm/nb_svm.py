@@ -155,10 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     def train(batches):
         rows, y = [], []
         for batch in batches:
-            part = batch.to_pydict()
-            for _, label_, f in sorted(zip(part["doc"], part["label"], part["features"]), key=lambda r: (str(r[0]), r[1])):
-                rows.append(np.array(f, dtype=np.int64))
-                y.append(1.0 if label_ else -1.0)
+            ids, own, lists = batch.column("doc").to_pylist(), batch.column("label").to_pylist(), batch.column("features")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i in sorted(range(batch.num_rows), key=lambda i: (str(ids[i]), own[i])):
+                rows.append(flat[ends[i]: ends[i + 1]].copy())
+                y.append(1.0 if own[i] else -1.0)
         y = np.array(y)
         out = np.zeros(size + 3)
         out[size: size + 3] = (0.0, 1.0, 0.0)
