@@ -191,7 +191,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: i
                         seen[size] += 1
                 columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
                 found = part.column("doc").take(pa.array([k for k, _ in keys], pa.int64()))
-                more = [pa.array([np.frombuffer(d, "<u4").astype(np.int64) for _, d in keys], pa.list_(pa.int64()))] * with_ids
+                more = [pa.array([np.frombuffer(d, "<u4").astype(np.int64) for _, d in keys], pa.list_(pa.int64()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([found, *columns, *more], names=names)
 
     fields = f"`{doc}` {kind}, piece bigint, start bigint, length bigint, ids_crc32 bigint, task bigint, nth bigint"
