@@ -8,6 +8,8 @@ bucket totals are a table of at most 16^PREFIX rows per stratum.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +60,24 @@ def hash_rank(
     return joined.withColumn("hash_pos", F.col("_before") + F.col("_place")).drop(
         "_h", "_b", "_place", "_before"
     )
+
+
+def first_in_order(
+    df: DataFrame, seed: int | str, id_col: str, strata: list[str], wanted: Callable[[Column], Column],
+    prefix: int = PREFIX,
+) -> DataFrame:
+    """The first `wanted(rows of the stratum)` rows of each stratum in hash order.
+
+    Counts by hash bucket say which buckets are wanted whole; only the one bucket of a stratum in which
+    the number is reached is ranked. Strata are not null.
+    """
+    keyed = df.withColumn("_h", hash_key(seed, id_col)).withColumn("_b", F.substring("_h", 1, prefix))
+    running = Window.partitionBy(*strata)
+    totals = keyed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        *strata, "_b", "_n", (F.sum("_n").over(running.orderBy("_b")) - F.col("_n")).alias("_before"),
+        wanted(F.sum("_n").over(running)).alias("_want"))
+    buckets = totals.select(*strata, "_b", (F.col("_want") - F.col("_before")).alias("_left"), "_n").filter("_left > 0")
+    placed = keyed.join(buckets, [*strata, "_b"])
+    order = Window.partitionBy(*strata, "_b").orderBy("_h", id_col)
+    edge = placed.filter("_left < _n").withColumn("_place", F.row_number().over(order)).filter("_place <= _left").drop("_place")
+    return placed.filter("_left >= _n").unionByName(edge).select(*df.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from chronotext.functions.vocabulary import (
     DEPRECATED_FEATURES, METADATA_COLUMNS, subset_drop_columns,
 )
-from chronotext.operators.ordering import hash_rank
+from chronotext.operators.ordering import first_in_order, hash_rank
 
 NUMERIC = (T.NumericType,)
 
@@ -25,10 +25,7 @@ def reference_sample_stratified(
     """Ids of a share of each stratum, at least one, in hash order. Rows without a
     stratum are not drawn."""
     known = files.filter(F.col(stratum).isNotNull()).select(id_col, stratum)
-    ranked = hash_rank(known, seed, id_col, [stratum])
-    return ranked.filter(F.col("hash_pos") < quota(F.col("stratum_n"), share)).select(
-        id_col, stratum
-    )
+    return first_in_order(known, seed, id_col, [stratum], lambda n: quota(n, share)).select(id_col, stratum)
 
 
 def reference_sample_uniform(

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from chronotext.functions.vocabulary import COMPRESSION_FEATURES, LEXICAL_FEATURES
 from chronotext.operators import bayes, distributions as D, importance as I, learners as L
-from chronotext.operators import evaluate, neighbour_index, neighbours, prepare, seeds
+from chronotext.operators import evaluate, grid, neighbour_index, neighbours, prepare, seeds
 from chronotext.plans import model_queries as M
 from chronotext.plans import views as V
 from chronotext.plans.ngram_queries import full_features
-from chronotext.plans.registry import cte, query, rounded, stored
+from chronotext.plans.registry import cte, query, rounded, source_state, stored
 from chronotext.plans.text_queries import name
-from chronotext.session import materialize, staging_path
+from chronotext.session import materialize, shared_dir, staging_path
 
 FEATURES = V.MAIN_FEATURES
 
@@ -98,6 +98,25 @@ def violin_bins(spark, sf_dir):
     return rounded(D.violin_bins(values(spark, sf_dir), ["feature", "decade"]))
 
 
+cte("violin_groups", f"""
+SELECT feature, decade, lo - 3 * h AS a, (hi - lo + 6 * h) / {D.CELLS} AS step, h FROM (
+  SELECT feature, decade, min(value) AS lo, max(value) AS hi, CASE WHEN stddev_samp(value) > 0
+    THEN stddev_samp(value) * pow(count(*)::DOUBLE, -0.2::DOUBLE) ELSE 1::DOUBLE END AS h FROM vals GROUP BY feature, decade)""", ("vals",))
+cte("violin_cells", f"""
+SELECT feature, decade, least({D.CELLS - 1}, floor((value - a) / step + 1e-9))::INTEGER AS c, count(*) AS m
+FROM vals JOIN violin_groups USING (feature, decade) GROUP BY ALL""", ("vals", "violin_groups"))
+
+
+@query("violin_density", f"""
+SELECT feature, decade::BIGINT AS decade, i AS cell, round(a + (i + 0.5) * step, 6) + 0.0 AS value,
+  round(v / (sum(v) OVER (PARTITION BY feature, decade) * step), 6) + 0.0 AS density
+FROM (SELECT feature, decade, i, a, step, sum(m * exp(-0.5::DOUBLE * pow((i - c) * step / h, 2))) AS v
+  FROM violin_cells JOIN violin_groups USING (feature, decade) CROSS JOIN range({D.CELLS}) r(i)
+  GROUP BY feature, decade, i, a, step)""", ("violin_cells", "violin_groups"))
+def violin_density(spark, sf_dir):
+    return rounded(D.violin_density(values(spark, sf_dir), ["feature", "decade"]))
+
+
 @query("shared_features", """
 SELECT feature, count(DISTINCT split) AS datasets FROM vals GROUP BY feature
 HAVING count(DISTINCT split) = (SELECT count(DISTINCT split) FROM vals)""", ("vals",))
@@ -321,18 +340,28 @@ for _key, _learner in (("rf_fit_score", "random_forest"), ("gbt_ovr_fit_score",
     _register_learner(_key, _learner)
 
 
-def grid_predictions(spark, sf_dir, subsets: list[str], targets: list[str], models: list[str], runs: list[int]) -> DataFrame:
-    table = stored(spark, sf_dir, "grid_table", lambda: V.imputed(full_features(spark, sf_dir)))
+# Options of the registered fits; each is a parameter of its learner.
+GRID_LEARNERS = {"random_forest": {}, "boosting": {"rounds": 5}, "kernel_svm": {"size": 64, "passes": 5}, "gnb": {}, "knn": {}}
+SEEDED = {n: GRID_LEARNERS[n] for n in ("random_forest", "kernel_svm")}
+SEEDS = list(range(42, 52))
+
+
+def grid_predictions(spark, sf_dir, subsets: list[str], targets: list[str], learners: dict[str, dict], runs: list[int]) -> DataFrame:
+    """Predictions of a grid that continues where a killed run of the same inputs has stopped."""
     flags = {c: F.col(c).cast("double") for c in V.NEOLOGISM_FEATURES}
+    table = stored(spark, sf_dir, "grid_table", lambda: V.imputed(full_features(spark, sf_dir)).withColumns(flags))
     chosen = {s: [c for c in table.columns if c not in prepare.subset_drop_columns(s) and c != "split"] for s in subsets}
-    return L.train_grid(table.withColumns(flags), chosen, {s: V.TARGETS[s] for s in targets}, models, runs)
+    state = source_state(spark, sf_dir)
+    folder = f"{shared_dir(spark).rstrip('/')}/grid"
+    fit_cell = grid.fit_on(table, chosen, {s: V.TARGETS[s] for s in targets})
+    return grid.run(spark, folder, grid.cells(learners, subsets, targets, runs), fit_cell, state)
 
 
 @query("train_grid")
 def train_grid(spark, sf_dir):
-    """Metrics of random forests over all seven subsets and both time scales."""
+    """Metrics of all learners over all seven subsets and both time scales."""
     def build():
-        pred = grid_predictions(spark, sf_dir, list(V_SUBSETS), list(V.TARGETS), ["random_forest"], [V.SEED])
+        pred = grid_predictions(spark, sf_dir, list(V_SUBSETS), list(V.TARGETS), GRID_LEARNERS, [V.SEED])
         return evaluate.to_long(evaluate.evaluation_report(pred, M.KEYS, M.KS), M.KEYS)
 
     return stored(spark, sf_dir, "train_grid", build)
@@ -343,9 +372,9 @@ V_SUBSETS = ["compression", "lexical_structure", "readability", "distance", "neo
 
 @query("seed_runs")
 def seed_runs(spark, sf_dir):
-    """Forests that differ in their seed only, and their statistics."""
+    """The learners that draw, fitted with ten seeds, and their statistics."""
     keys = [*M.KEYS, "seed"]
-    pred = grid_predictions(spark, sf_dir, ["compression"], ["centuries"], ["random_forest"], [42, 43, 44])
+    pred = grid_predictions(spark, sf_dir, ["compression"], ["centuries"], SEEDED, SEEDS)
     report = evaluate.to_long(evaluate.evaluation_report(pred, keys, M.KS), keys)
     return seeds.seed_statistics(report)
 
