@@ -1,6 +1,6 @@
 """Kernels over the UTF-8 bytes of an Arrow text column, shared by the operators.
 
-All take whole texts. Rows are handled in slices of about a megabyte, so the arrays
+All take whole texts. Rows are handled in slices of about a quarter megabyte, so the arrays
 beside a slice stay small; one text longer than that is a slice of its own.
 """
 
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from chronotext.session import at_most
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 # Odd constants of the hash functions.
 BASE = 0x9E3779B97F4A7C15

@@ -20,7 +20,9 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +36,15 @@ BLOCKS = [
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "li", "main", "nav", "ol",
     "option", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 ]
-_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(HIDDEN)})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(rf"</?(?:{'|'.join(BLOCKS)})\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(
-    r"<(a|area|link|img|script|iframe|source|form)\b[^>]*?\s(?:href|src|action)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(rf"<!--|<({'|'.join(HIDDEN)})\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in [*HIDDEN, "title"]}
+_BLOCK = re.compile(rf"</?(?:{'|'.join(BLOCKS)})\b", re.I)
+_TAG = re.compile(r"</?[a-zA-Z]|<[!?]")
+_TITLE = re.compile(r"<title\b", re.I)
+_LINK = re.compile(r"<(a|area|link|img|script|iframe|source|form)\b", re.I)
+_ADDRESS = re.compile(r"\s(?:href|src|action)\s*=\s*", re.I)
+_WORD = re.compile(r"[^\s>]+")
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 RESPONSE = "record_id string, target_uri string, date string, headers string, block binary"
 DERIVED = ("warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
@@ -82,6 +87,16 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], str, bytes]]:
         at = end + 4 + size
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The content of a WARC file member by member; a file that is not compressed is one."""
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        yield member.decompress(data)
+        data = member.unused_data
+    if data:
+        yield data
+
+
 def http_parts(block: bytes) -> tuple[str, list[list[str]], bytes]:
     """(status line, headers, payload) of an HTTP response."""
     head, sep, payload = block.partition(b"\r\n\r\n")
@@ -91,25 +106,106 @@ def http_parts(block: bytes) -> tuple[str, list[list[str]], bytes]:
     return first, [[k.strip(), v.strip()] for k, _, v in (line.partition(":") for line in lines)], payload
 
 
+def without_hidden(page: str) -> str:
+    """Comments and hidden elements as one space each; one left open reaches to the end. Each
+    character is looked at a fixed number of times, also in tags that never close."""
+    out, at, closable = [], 0, True
+    for m in _HIDDEN.finditer(page):
+        if m.start() < at:
+            continue
+        if m[1] is None:
+            end = page.find("-->", m.end())
+            stop = len(page) if end < 0 else end + 3
+        else:
+            closed = page.find(">", m.end()) if closable else -1
+            if closed < 0:  # nor is there a `>` behind any later tag
+                closable = False
+                continue
+            end = _CLOSE[m[1].lower()].search(page, closed + 1)
+            stop = end.end() if end else len(page)
+        out += [page[at: m.start()], " "]
+        at = stop
+    return "".join([*out, page[at:]])
+
+
+def replace_tags(page: str, begin: re.Pattern, by: str) -> str:
+    """Tags that begin like this, up to the next `>`, replaced; the search stops where none is left."""
+    out, at = [], 0
+    for m in begin.finditer(page):
+        if m.start() < at:
+            continue
+        end = page.find(">", m.end())
+        if end < 0:
+            break
+        out += [page[at: m.start()], by]
+        at = end + 1
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
-    shown = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
+    shown = replace_tags(replace_tags(without_hidden(page), _BLOCK, "\n"), _TAG, "")
     lines = (_BLANKS.sub(" ", x).strip() for x in html.unescape(shown).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def title_of(page: str) -> str | None:
+    first = _TITLE.search(page)
+    begin = page.find(">", first.end()) if first else -1
+    end = _CLOSE["title"].search(page, begin + 1) if begin >= 0 else None
+    return html.unescape(page[begin + 1: end.start()]).strip() if end else None
+
+
 def links(page: str) -> list[dict[str, str]]:
-    return [{"path": f"{m[1].lower()}", "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in _LINK.finditer(page)]
+    """The first address in each linking tag. The next address and the next `>` are looked for only once
+    the last found lies behind."""
+    out, at, address, bracket = [], 0, _ADDRESS.search(page), -1
+    for m in _LINK.finditer(page):
+        if address is None:
+            break
+        if m.start() < at:
+            continue
+        if bracket < m.end():
+            bracket = page.find(">", m.end())
+            bracket = len(page) if bracket < 0 else bracket
+        if address.start() < m.end():
+            address = _ADDRESS.search(page, m.end())
+        while address is not None and address.start() < bracket:
+            begin = address.end()
+            quote = page[begin: begin + 1]
+            end = page.find(quote, begin + 1) if quote in ('"', "'") and quote else -1
+            word = None if end >= 0 else _WORD.match(page, begin)
+            if end >= 0 or word:
+                url, at = (page[begin + 1: end], end + 1) if end >= 0 else (word[0], word.end())
+                out.append({"path": m[1].lower(), "url": html.unescape(url)})
+                break
+            address = _ADDRESS.search(page, address.start() + 1)
+    return out
+
+
+def decoded(payload: bytes, headers: list[list[str]]) -> str:
+    """The page as text: content coding undone, charset by the headers, else as the page says in its first
+    kilobyte, else UTF-8; what is not valid becomes replacement characters."""
+    fields = {k.lower(): v for k, v in (pair for pair in headers if len(pair) == 2)}
+    if fields.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
+        try:
+            payload = zlib.decompressobj(47 if "gzip" in fields["content-encoding"].lower() else 15).decompress(payload)
+        except zlib.error:
+            pass  # the bytes are taken as they are
+    named = _CHARSET.search(fields.get("content-type", "")) or _CHARSET.search(payload[:1024].decode("latin-1"))
+    try:
+        return payload.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
 
 
 def derivatives(record_id: str, target: str | None, date: str | None, headers: str, block: bytes) -> list[tuple]:
     """The metadata and the conversion record of one response."""
     status, http, payload = http_parts(block)
-    page, source = payload.decode("utf-8", "replace"), digest(payload)
-    title = _TITLE.search(page)
+    page, source = decoded(payload, http), digest(payload)
     meta = json.dumps({
         "warc-headers": [list(x.split(": ", 1)) for x in headers.split("\r\n")[1:] if ": " in x],
         "http-status": status, "http-headers": http, "block-digest": digest(block), "payload-digest": source,
-        "payload-length": len(payload), "title": html.unescape(title[1]).strip() if title else None, "links": links(page),
+        "payload-length": len(payload), "title": title_of(page), "links": links(page),
     }, ensure_ascii=False).encode()
     out = []
     for kind, mime, body in (("metadata", "application/json", meta), ("conversion", "text/plain", plain_text(page).encode())):
@@ -152,14 +248,15 @@ def responses(pages: DataFrame, date: str, page: str = "page_id", url: str = "ur
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of uncompressed WARC files, one task for each file."""
+    """Response records of WARC files, plain or compressed record by record, one task for each file. A
+    compressed file is unpacked one member at a time."""
 
     def split(batches):
         for batch in batches:
             for content in batch.column("content"):
-                rows = [(f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-date"), text, block)
-                        for f, text, block in parse(content.as_py()) if f.get("warc-type") == "response"]
-                for some in (rows[i: i + 256] for i in range(0, len(rows), 256)):
+                found = ((f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-date"), text, block)
+                         for member in members(content.as_py()) for f, text, block in parse(member) if f.get("warc-type") == "response")
+                while some := list(islice(found, 256)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*some), [pa.string()] * 4 + [pa.binary()])],
                         names=["record_id", "target_uri", "date", "headers", "block"])
