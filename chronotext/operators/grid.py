@@ -54,7 +54,8 @@ def run(spark: SparkSession, folder: str, wanted: list[Cell], fit_cell: Callable
     """The predictions of all wanted cells with the cell's parameters, fitted where not there yet. A cell
     that fails does not stop the others; the failures are raised together at the end."""
     keys = {c.key(state): c for c in wanted}
-    left = [k for k in keys if k not in finished(spark, folder)]
+    done = finished(spark, folder)
+    left = [k for k in keys if k not in done]
 
     def one(key: str) -> None:
         cell = keys[key]

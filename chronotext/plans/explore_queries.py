@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -351,7 +352,7 @@ def grid_predictions(spark, sf_dir, subsets: list[str], targets: list[str], lear
     flags = {c: F.col(c).cast("double") for c in V.NEOLOGISM_FEATURES}
     table = stored(spark, sf_dir, "grid_table", lambda: V.imputed(full_features(spark, sf_dir)).withColumns(flags))
     chosen = {s: [c for c in table.columns if c not in prepare.subset_drop_columns(s) and c != "split"] for s in subsets}
-    state = source_state(spark, sf_dir)
+    state = json.dumps([source_state(spark, sf_dir), chosen])
     folder = f"{shared_dir(spark).rstrip('/')}/grid"
     fit_cell = grid.fit_on(table, chosen, {s: V.TARGETS[s] for s in targets})
     return grid.run(spark, folder, grid.cells(learners, subsets, targets, runs), fit_cell, state)
