@@ -17,7 +17,8 @@ SAMPLE = [
     "src_metadata", "incremental_extract", "reference_sample_stratified", "repair_temporal", "impute_all_max",
     "target_words_by_lang", "neologism_flags", "compression_ratio_o2", "nrc_o2", "ncd_o2", "feature_row",
     "evaluation_report", "binary_sweep", "best_model_gap", "performance_summary", "winsorize", "box_stats",
-    "permutation_importance", "shapley_additive", "knn_exact", "tomek_removed",
+    "permutation_importance", "shapley_additive", "knn_exact", "tomek_removed", "knn_fit_score", "kernel_features",
+    "permutation_any_model", "model_versions", "violin_density",
 ]
 
 
@@ -34,7 +35,8 @@ def test_registry():
     own = {k for k in set(queries) - set(sql) if not re.match(r"op\d+_|pipeline$", k)}
     assert own == {
         "smote", "rf_fit_score", "gbt_ovr_fit_score", "linear_svm_ovr", "train_grid", "seed_runs", "model_store",
-        "tree_importance", "pca_loadings", "pca_variance", "pca_contribution", "importance_by_scale",
+        "tree_importance", "pca_loadings", "pca_variance", "pca_contribution", "importance_by_scale", "knn_lsh",
+        "boosting_fit_score", "kernel_svm_fit_score", "permutation_learners",
     }
 
 
