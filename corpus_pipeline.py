@@ -1,5 +1,11 @@
 """A corpus pipeline: quality rules, quality classifier, near duplicates, benchmark
-decontamination, packing. Each stage reads what the one before it has written."""
+decontamination, packing. Each stage reads what the one before it has written.
+
+Stages take and return whole rows; further columns go along, whatever their names, up to the last stage, which
+returns pieces. Null and empty texts, and texts of few words, fail the base rules and go in the first stage. Repeated
+rows are judged each, and of equal texts the near-duplicate stage keeps the smallest id; rows of one id and one text stay once. A null
+id is one id; it is never the smallest. Where no document is labelled, all have the same score. An empty table
+gives no pieces."""
 
 from __future__ import annotations
 

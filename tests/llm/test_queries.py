@@ -17,7 +17,8 @@ from tests.check import compare, connect
 from tests.llm.test_operators import plain_components, plain_hits
 
 SF = "/root/testdata/sf0.001"
-WITH_SQL = ["op3_chat_formatting", "op4_url_filters", "op5_ngram_jaccard_join", "op6_quality_rules", "op10_benchmark_decontamination"]
+WITH_SQL = ["op3_chat_formatting", "op4_url_filters", "op5_ngram_jaccard_join", "op6_quality_rules", "op10_benchmark_decontamination",
+            "op11_line_dedup", "op12_conversation_repair", "op13_periodic_runs"]
 
 
 def table(name):
@@ -32,7 +33,7 @@ def test_matches_sql(spark, key):
 
 def test_every_operator_has_its_query():
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14))
     assert {k for k in names if k in entry.oracle_sql()} == set(WITH_SQL)
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
 
