@@ -18,7 +18,7 @@ SAMPLE = [
     "target_words_by_lang", "neologism_flags", "compression_ratio_o2", "nrc_o2", "ncd_o2", "feature_row",
     "evaluation_report", "binary_sweep", "best_model_gap", "performance_summary", "winsorize", "box_stats",
     "permutation_importance", "shapley_additive", "knn_exact", "tomek_removed", "knn_fit_score", "kernel_features",
-    "permutation_any_model", "model_versions", "violin_density",
+    "permutation_any_model", "model_versions", "violin_density", "importance_by_subset", "correlation_by_subset",
 ]
 
 
