@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-ACCURACY = 10_000
-MARGIN = 10 / ACCURACY
+from chronotext.session import materialize
+
+SLOTS = 4_096
+OCTAVES = 12
 
 
 def to_long(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -21,48 +23,64 @@ def to_long(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
 def quantiles(long: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
     """(keys, <name>..): exact quantiles with linear interpolation.
 
-    A sketch gives a bracket around each wanted place; only values inside a bracket
-    are counted and ranked, so no group is held or sorted as a whole. A bracket that
-    missed its place would stop the job rather than give a wrong value.
+    A quantile lies between two places in the order of its group. Each place starts with the range of
+    the whole group; a round counts the range's values in equal slots, and the slot that holds the
+    place, from its smallest to its largest value, is the next range. A range of one value is the
+    answer. The ends of a range have slots of their own, so each round takes values off. A range that is
+    still wider than OCTAVES after the first round has its slots on a logarithmic scale, so two rounds
+    bring any range down to about an octave, and each one more takes 12 bits off. Nothing is ranked or sorted but the counts of SLOTS slots of a range.
+    Infinite values are values like others; NaN is the largest. A null key has no row.
     """
     names = list(shares)
-    edges = [min(1.0, max(0.0, shares[q] + d)) for q in names for d in (-MARGIN, MARGIN)]
-    sketch = long.groupBy(*keys).agg(
-        F.percentile_approx("value", edges, ACCURACY).alias("_e"), F.count(F.lit(1)).alias("_n")
-    )
-    large = F.col("_n") > ACCURACY  # small groups are ranked whole
-    wanted = sketch.select(
-        *keys, "_n",
-        F.array(*[
-            F.struct(F.lit(q).alias("q"),
-                     F.when(large, F.get("_e", F.lit(2 * i))).alias("lo"),
-                     F.when(large, F.get("_e", F.lit(2 * i + 1))).alias("hi"),
-                     ((F.col("_n") - 1) * F.lit(float(shares[q]))).alias("place"))
-            for i, q in enumerate(names)
-        ]).alias("_w"),
-    )
-    placed = long.join(wanted, keys).select(*keys, "value", F.inline("_w"))
-    value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    side = F.when(value < lo, F.lit(None).cast("double")).otherwise(value)
-    counted = placed.filter(hi.isNull() | (value <= hi)).groupBy(
-        *keys, "q", "place", side.alias("v")
-    ).agg(F.count(F.lit(1)).alias("c"))
-    # Null, the count of all values below the bracket, sorts first.
-    run = Window.partitionBy(*keys, "q").orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("_to", F.sum("c").over(run)).withColumn("_from", F.col("_to") - F.col("c"))
-    low, high = F.floor("place"), F.ceil("place")
-
-    def at(place: Column) -> Column:
-        inside = (F.col("_from") <= place) & (place < F.col("_to")) & F.col("v").isNotNull()
-        return F.max(F.when(inside, F.col("v")))
-
-    picked = ranked.groupBy(*keys, "q", "place").agg(at(low).alias("a"), at(high).alias("b"))
-    part = F.col("place") - low
-    found = F.col("a").isNotNull() & F.col("b").isNotNull()
-    exact = F.when(found, F.col("a") + (F.col("b") - F.col("a")) * part).otherwise(
-        F.raise_error(F.lit("quantile bracket missed its place")).cast("double")
-    )
-    return picked.withColumn("x", exact).groupBy(*keys).pivot("q", names).agg(F.max("x"))
+    place = {q: (F.col("_n") - 1) * F.lit(float(shares[q])) for q in names}
+    sought = [F.struct(F.lit(q).alias("_q"), F.lit(side).alias("_side"), at(place[q]).alias("_k"))
+              for q in names for side, at in (("a", F.floor), ("b", F.ceil))]
+    sizes = materialize(long.groupBy(*keys).agg(
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("value").alias("_n")))
+    ranges = sizes.select(*keys, "_lo", "_hi", F.array(*sought).alias("_at"))
+    found, first = None, True
+    while True:
+        known = ranges.filter(F.col("_lo") == F.col("_hi")).select(*keys, F.col("_lo").alias("_x"), F.inline("_at"))
+        found = known if found is None else found.unionByName(known)
+        wide = ranges.filter(F.col("_lo") < F.col("_hi"))
+        if wide.isEmpty():
+            break
+        ranges = materialize(_narrowed(long, wide, keys, first))
+        first = False
+    ends = found.groupBy(*keys, "_q").agg(*[F.max(F.when(F.col("_side") == s, F.col("_x"))).alias(f"_{s}") for s in "ab"])
+    part = F.element_at(F.create_map(*[c for q in names for c in (F.lit(q), place[q] - F.floor(place[q]))]), F.col("_q"))
+    low, high = F.col("_a"), F.col("_b")
+    between = F.when(low == high, low).otherwise(low + (high - low) * part)
+    return ends.join(sizes, keys).withColumn("_x", between).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_q") == q, F.col("_x"))).alias(q) for q in names])
+
+
+def _octaves(value: Column) -> Column:
+    """Rising with the value: the logarithm of its size above that of the least double, with its sign."""
+    return F.when(value == 0, 0.0).otherwise(F.signum(value) * (F.log2(F.abs(value)) + 1_100))
+
+
+def _narrowed(long: DataFrame, ranges: DataFrame, keys: list[str], first: bool) -> DataFrame:
+    """For each place sought in a range, the slot that holds it as the next range. Ranges of one group do not
+    overlap, so the lower end names a range; places of one slot share it."""
+    value, lo, hi = F.col("value"), F.col("_lo"), F.col("_hi")
+    even = (value / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves: the width of a range may overflow
+    if not first:
+        spread = _octaves(hi) - _octaves(lo)
+        even = F.when(spread > OCTAVES, (_octaves(value) - _octaves(lo)) / spread).otherwise(even)
+    part = F.nanvl(even, F.lit(0.0))
+    slot = F.when(value == lo, -1).when(value == hi, SLOTS).otherwise(
+        F.least(F.floor(part * SLOTS), F.lit(SLOTS - 1)).cast("int"))
+    counted = long.join(ranges.select(*keys, "_lo", "_hi"), keys).filter(value.between(lo, hi)).groupBy(
+        *keys, "_lo", slot.alias("_slot")
+    ).agg(F.count(F.lit(1)).alias("_c"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+    run = Window.partitionBy(*keys, "_lo").orderBy("_slot")
+    placed = counted.withColumn("_before", F.sum("_c").over(run) - F.col("_c"))
+    own = F.transform(
+        F.filter("_at", lambda t: (t["_k"] >= F.col("_before")) & (t["_k"] < F.col("_before") + F.col("_c"))),
+        lambda t: F.struct(t["_q"].alias("_q"), t["_side"].alias("_side"), (t["_k"] - F.col("_before")).alias("_k")))
+    return placed.join(ranges.drop("_hi"), [*keys, "_lo"]).select(
+        *keys, F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), own.alias("_at")).filter(F.size("_at") > 0)
 
 
 def winsorize_bounds(long: DataFrame, keys: list[str]) -> DataFrame:

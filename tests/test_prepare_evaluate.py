@@ -139,21 +139,48 @@ def test_seed_statistics_of_one_run(spark):
     assert (r.mean, r["count"]) == (0.5, 1) and r.std is None and r.sem is None and r.ci_95_lower is None
 
 
-def test_quantiles_with_and_without_bracket(spark, monkeypatch):
+def test_quantiles_in_narrowing_ranges(spark, monkeypatch):
     import numpy as np
 
     rng = random.Random(1)
-    values = {"few": [rng.random() for _ in range(11)], "one": [2.0],
+    values = {"few": [rng.random() for _ in range(11)], "one": [2.0], "same": [3.5] * 50,
               "ties": [float(rng.choice([0, 0, 0, 1, 5, 9])) for _ in range(3000)],
-              "many": [rng.gauss(0, 1) for _ in range(3000)]}
-    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, value double")
+              "many": [rng.gauss(0, 1) for _ in range(3000)],
+              "outliers": [-1.7e308, 1.7e308] + [rng.random() * 1e-12 for _ in range(500)],
+              "powers": [2.0 ** rng.randint(-300, 300) for _ in range(400)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [(None, 1.0)], "k string, value double")
     shares = {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.99}
-    for accuracy in (10_000, 500):
-        monkeypatch.setattr(distributions, "ACCURACY", accuracy)
-        monkeypatch.setattr(distributions, "MARGIN", 10 / accuracy)
-        for r in distributions.quantiles(df, ["k"], shares).collect():
-            want = np.quantile(values[r.k], list(shares.values()))
-            assert [r.a, r.b, r.c, r.d] == pytest.approx(list(want))
+    for slots in (4_096, 64):
+        monkeypatch.setattr(distributions, "SLOTS", slots)
+        got = {r.k: r for r in distributions.quantiles(df, ["k"], shares).collect()}
+        assert set(got) == set(values)
+        for k, r in got.items():
+            want = np.quantile(values[k], list(shares.values()))
+            assert [r.a, r.b, r.c, r.d] == pytest.approx(list(want), rel=1e-9, abs=0)
+
+
+def test_quantiles_of_infinite_values_and_none(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([("a", v) for v in (-inf, -inf, 1.0, 2.0, inf)] + [("b", v) for v in (1.0, 2.0, 3.0, nan)],
+                               "k string, value double")
+    got = {r.k: r for r in distributions.quantiles(df, ["k"], {"lo": 0.0, "mid": 0.5, "hi": 1.0}).collect()}
+    assert (got["a"].lo, got["a"].mid, got["a"].hi) == (-inf, 1.0, inf)
+    assert (got["b"].lo, got["b"].mid) == (1.0, 2.5) and got["b"].hi != got["b"].hi
+    assert distributions.quantiles(df.limit(0), ["k"], {"mid": 0.5}).count() == 0
+
+
+def test_a_round_of_quantiles_groups_by_slot_before_it_orders(spark):
+    df = spark.range(100_000).selectExpr("id % 3 AS k", "CAST(hash(id) AS double) AS value")
+    ends = df.groupBy("k").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")).withColumn(
+        "_at", F.array(F.struct(F.lit("q").alias("_q"), F.lit("a").alias("_side"), F.lit(10_000).cast("bigint").alias("_k"))))
+    out = distributions._narrowed(df, ends, ["k"], True)
+    below = {k: sum(v < lo for (v,) in df.filter(F.col("k") == k).select("value").collect())
+             for k, lo in out.select("k", "_lo").collect()}
+    for r in out.collect():
+        assert r._at[0]._k + below[r.k] == 10_000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window, aggregate = plan.index("Window "), plan.index("Aggregate [")
+    assert window < aggregate  # printed from the top: slots are counted below the window
 
 
 def test_naive_bayes_by_hand(spark):
