@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,19 +133,16 @@ def feature_row(
     terms: dict[str, list[str]] | None = None,
     id_col: str = "file_name",
 ) -> DataFrame:
-    """The wide feature row: every part is laid out on the same document key, so
-    the joins below reuse one exchange of the text."""
+    """The wide feature row. The distances come from the grams of the other codes."""
     orders = sorted({1, order})
     placed = corpus.select(id_col, "text").repartition(text_partitions(corpus), id_col)
-    code = ngrams.document_code(corpus, order, id_col, model, alphabet_size)
+    joint = model if use_ncd else None
+    code = ngrams.document_code(corpus, order, id_col, model, alphabet_size, joint)
     bits = "bits_{}" if model is None else "ref_bits_{}"
     columns = [
         ngrams.nrc_column(F.col(bits.format(k)), F.col("chars"), k, alphabet_size) for k in orders
     ]
-    parts = [
-        lexical_features(placed, language, gap, terms, id_col),
-        code.select(id_col, *ngrams.self_columns(orders), *columns),
-    ]
-    if use_ncd and model is not None:
-        parts += [ngrams.ncd(corpus, model, k, id_col) for k in orders]
-    return reduce(lambda a, b: a.join(b, id_col), parts)
+    if joint is not None:
+        columns += [ngrams.ncd_column(joint, k) for k in orders]
+    return lexical_features(placed, language, gap, terms, id_col).join(
+        code.select(id_col, *ngrams.self_columns(orders), *columns), id_col)

@@ -9,8 +9,10 @@ alphabet.
 
 A gram is a context and its symbol in one string. The text travels once, hashed on
 the document key; counting grams, context totals and document totals then all stay
-inside that partitioning. Each text is cut into overlapping spans before it is taken
-apart, so a long document never becomes one huge array.
+inside that partitioning, for the text's own code, the code under a reference and the
+code of text and reference joined. Each text is cut into overlapping spans before it is
+taken apart, so a long document never becomes one huge array. The spans of a document
+longer than LONG are dealt to tasks of their own, and its counts are summed by gram.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from chronotext.operators.ordering import hash_rank
 from chronotext.session import at_most, materialize, text_partitions
 
 SPAN = 16_384
+LONG = 1 << 20  # characters a task takes of one document
 
 
 def _windows(text: Column, size: int) -> Column:
@@ -32,35 +35,54 @@ def _windows(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
+def by_length(texts: DataFrame) -> list[tuple[DataFrame, bool]]:
+    """The texts that one task takes whole, and the long ones, whose spans are dealt to many."""
+    long = F.length("text") > LONG
+    return [(texts.filter(~long), False), (texts.filter(long), True)]
+
+
 def raw_grams(
-    texts: DataFrame, order: int, id_col: str = "file_name", tail: str = "", head: bool = True
+    texts: DataFrame, order: int, id_col: str = "file_name", tail: str = "", dealt: bool = False
 ) -> DataFrame:
-    """Counts (id, gram, n) of each window of order+1 characters.
+    """Counts (id, gram, joint, n) of each window of order+1 characters, and of the prefixes of
+    1..order characters: they are the symbols at the start of a text, where the context is shorter.
 
-    With `head`, the prefixes of 1..order characters are added: they are the
-    symbols at the start of a text, where the context is shorter. `tail` is a fixed
-    string following every text; windows start in the text only.
+    With a `tail`, the windows of 2..order+1 characters that start in the text and end in the tail
+    following it are added, with `joint` 1, or 2 where one opens the text; others have 0. `dealt`
+    spreads each document's spans over the tasks.
     """
-    size = order + 1
-    spans = (
-        texts.select(id_col, F.concat(F.col("text"), F.lit(tail)).alias("_t"))
-        .filter(F.length("_t") > len(tail))
-        .repartition(text_partitions(texts), id_col)
-        .withColumn(
-            "_from", F.explode(F.sequence(F.lit(0), F.length("_t") - len(tail) - 1, F.lit(SPAN)))
-        )
-        .withColumn("_s", F.expr(f"substring(_t, _from + 1, {SPAN + order})"))
+    size, text = order + 1, F.col("text")
+    rows, n = texts.select(id_col, "text").filter(F.length("text") > 0), text_partitions(texts)
+    if not dealt:
+        rows = rows.repartition(n, id_col)
+    last = F.length("text") - 1
+    spans = rows.select(
+        id_col, F.explode(F.sequence(F.lit(0), last, F.lit(SPAN))).alias("_from"), "text"
+    ).select(
+        id_col, "_from", F.expr(f"substring(text, _from + 1, {SPAN + order})").alias("_s"),
+        # The text's end is carried by the span that holds its last character.
+        F.when(F.col("_from") + SPAN > last, F.right(text, F.lit(size))).alias("_end"),
+    )
+    if dealt:
+        spans = spans.repartition(n, id_col, "_from")
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(order), F.length("_s"))),
+        lambda j: F.left(F.col("_s"), j),
     )
     grams = _windows(F.col("_s"), size)
-    if head:
-        prefixes = F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(order), F.length("_s"))),
-            lambda j: F.left(F.col("_s"), j),
-        )
-        grams = F.when(F.col("_from") == 0, F.concat(prefixes, grams)).otherwise(grams)
+    grams = F.when(F.col("_from") == 0, F.concat(prefixes, grams)).otherwise(grams)
+    grams = F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(0).alias("joint")))
+    crossing = [
+        F.when(F.length("_end") >= k, F.struct(
+            F.concat(F.right(F.col("_end"), F.lit(k)), F.lit(tail[:m - k])).alias("gram"),
+            F.when((F.col("_from") == 0) & (F.length("_end") == k), 2).otherwise(1).alias("joint")))
+        for k in range(1, size) for m in range(k + 1, size + 1) if m - k <= len(tail)
+    ]
+    if crossing:
+        grams = F.concat(grams, F.array_compact(F.array(*crossing)))
     return (
-        spans.select(id_col, F.explode(grams).alias("gram"))
-        .groupBy(id_col, "gram")
+        spans.select(id_col, F.inline(grams))
+        .groupBy(id_col, "gram", "joint")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -76,7 +98,8 @@ def split_gram(grams: DataFrame) -> DataFrame:
 
 
 def char_ngrams(texts: DataFrame, order: int, id_col: str = "file_name") -> DataFrame:
-    return split_gram(raw_grams(texts, order, id_col))
+    short, long = (raw_grams(part, order, id_col, dealt=dealt).drop("joint") for part, dealt in by_length(texts))
+    return split_gram(short.unionByName(long))
 
 
 def gram_levels(grams: DataFrame, order: int, keys: list[str]) -> DataFrame:
@@ -84,17 +107,27 @@ def gram_levels(grams: DataFrame, order: int, keys: list[str]) -> DataFrame:
 
     Every occurrence at length j ends some longest gram or prefix, so the shorter
     counts are sums over suffixes. `head` marks the gram that opens the text at
-    its own level.
+    its own level. Windows that end in a tail count at their own level only, in
+    `joint_n`, which has the text's own count `n` in it.
     """
-    levels = F.sequence(F.lit(0), F.length("gram") - 1)
+    size = F.length("gram")
+    opens = (size <= order) & (F.col("level") + 1 == size)
+    count, levels, counts = F.col("n"), F.sequence(F.lit(0), size - 1), [F.sum("n").alias("n")]
+    columns = []
+    if "joint" in grams.columns:
+        crosses = F.col("joint") > 0
+        levels = F.when(crosses, F.array(size - 1)).otherwise(levels)
+        opens = F.when(crosses, F.col("joint") == 2).otherwise(opens)
+        count = F.when(crosses, 0).otherwise(count)
+        columns, counts = [F.col("n").alias("joint_n")], [*counts, F.sum("joint_n").alias("joint_n")]
     return (
-        grams.select(*keys, "gram", "n", F.explode(levels).alias("level"))
+        grams.withColumn("level", F.explode(levels))
         .select(
-            *keys, "level", F.right(F.col("gram"), F.col("level") + 1).alias("g"), "n",
-            ((F.length("gram") <= order) & (F.col("level") + 1 == F.length("gram"))).alias("head"),
+            *keys, "level", F.right(F.col("gram"), F.col("level") + 1).alias("g"), count.alias("n"),
+            opens.alias("head"), *columns,
         )
         .groupBy(*keys, "level", "g")
-        .agg(F.sum("n").alias("n"), F.max("head").alias("head"))
+        .agg(*counts, F.max("head").alias("head"))
     )
 
 
@@ -102,18 +135,35 @@ def n_log_n(n: Column) -> Column:
     return n * F.log2(n)
 
 
+def _sum_if(condition: Column, value: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
+
+
 def context_totals(levels: DataFrame, keys: list[str]) -> DataFrame:
     """Per context: T occurrences, D distinct symbols, Q = sum of n log2 n, and the
     count of the opening gram where the text starts in this context. With a `cost`
-    per gram also R, the bits of all symbols, and O, those of the opening one."""
+    per gram also R, the bits of all symbols, and O, those of the opening one. With
+    `joint_n` and the reference's `ref_n` also what the context is after text and reference: Tx
+    further occurrences, Dx symbols new to the reference, the rise Qx, the opening gram's count."""
+    own = F.col("n") > 0
+    opens = own & F.col("head")
     columns = [
-        F.sum("n").alias("T"), F.count(F.lit(1)).alias("D"), F.sum(n_log_n(F.col("n"))).alias("Q"),
-        F.max(F.when(F.col("head"), F.col("n"))).alias("opening"),
+        F.sum("n").alias("T"), F.sum(F.when(own, 1).otherwise(0)).alias("D"),
+        F.sum(F.when(own, n_log_n(F.col("n"))).otherwise(0.0)).alias("Q"),
+        F.max(F.when(opens, F.col("n"))).alias("opening"),
     ]
     if "cost" in levels.columns:
         columns += [
-            F.sum(F.col("n") * F.col("cost")).alias("R"),
-            F.sum(F.when(F.col("head"), F.col("cost"))).alias("O"),
+            F.sum(F.when(own, F.col("n") * F.col("cost"))).alias("R"),
+            F.sum(F.when(opens, F.col("cost"))).alias("O"),
+        ]
+    if "ref_n" in levels.columns:
+        before = F.coalesce("ref_n", F.lit(0))
+        after = before + F.col("joint_n")
+        columns += [
+            F.sum("joint_n").alias("Tx"), F.sum(F.when(before > 0, 0).otherwise(1)).alias("Dx"),
+            F.sum(n_log_n(after) - F.when(before > 0, n_log_n(before)).otherwise(0.0)).alias("Qx"),
+            F.max(F.when(F.col("head"), after)).alias("joint_opening"),
         ]
     return levels.groupBy(
         *keys, "level", F.left(F.col("g"), F.col("level")).alias("ctx")
@@ -123,39 +173,70 @@ def context_totals(levels: DataFrame, keys: list[str]) -> DataFrame:
 def document_code(
     texts: DataFrame, order: int, id_col: str = "file_name",
     model: ReferenceModel | None = None, alphabet_size: int | None = None,
+    joint: ReferenceModel | None = None,
 ) -> DataFrame:
     """Code lengths of each text in one pass over its grams.
 
     Columns: chars, entropy (bits per character over single characters),
-    bits_1 .. bits_order under the text's own model and, with a reference model,
-    ref_bits_1 .. ref_bits_order under that one. In its own model a text never meets
-    an unseen symbol, so a context costs T log2(T + D) - Q as a whole.
+    bits_1 .. bits_order under the text's own model, with a reference model
+    ref_bits_1 .. ref_bits_order under that one, and with `joint` joint_bits_1 ..
+    joint_bits_order of the text followed by that reference. In its own model a text never
+    meets an unseen symbol, so a context costs T log2(T + D) - Q as a whole. Of the joint text
+    only contexts that the text touches differ from the reference's totals, so those are
+    patched and the rest of the reference enters as one constant.
     """
-    levels = gram_levels(raw_grams(texts, order, id_col), order, [id_col])
+    short, long = (
+        _code(part, order, id_col, model, alphabet_size, joint, dealt) for part, dealt in by_length(texts)
+    )
+    return short.unionByName(long)
+
+
+def _code(
+    texts: DataFrame, order: int, id_col: str, model: ReferenceModel | None, alphabet_size: int | None,
+    joint: ReferenceModel | None, dealt: bool,
+) -> DataFrame:
+    grams = raw_grams(texts, order, id_col, joint.opening[:order] if joint else "", dealt)
+    levels = gram_levels(grams if joint else grams.drop("joint"), order, [id_col])
     if model is not None:
         levels = priced_levels(levels, model, order, alphabet_size)
+    if joint is not None:
+        known = joint.lookup(joint.grams.withColumnRenamed("n", "ref_n"))
+        levels = levels.join(known, ["level", "g"], "left")
     totals = context_totals(levels, [id_col])
     level, T, D, Q = F.col("level"), F.col("T"), F.col("D"), F.col("Q")
 
     def bits(k: int) -> Column:
-        body = F.sum(F.when(level == k, T * F.log2(T + D) - Q))
+        body = _sum_if((level == k) & (T > 0), T * F.log2(T + D) - Q)
         opening = F.sum(
             F.when((level < k) & F.col("opening").isNotNull(),
                    F.log2(T + D) - F.log2(F.col("opening")))
         )
-        return (F.coalesce(body, F.lit(0.0)) + opening).alias(f"bits_{k}")
+        return (body + opening).alias(f"bits_{k}")
 
     def ref_bits(k: int) -> Column:
         return F.sum(
             F.when(level == k, F.col("R")).when(level < k, F.coalesce("O", F.lit(0.0)))
         ).alias(f"ref_bits_{k}")
 
+    def joint_bits(k: int) -> Column:
+        T0, D0, Q0 = (F.coalesce(F.col(c), F.lit(0)) for c in ("ref_T", "ref_D", "ref_Q"))
+        T1, D1 = T0 + F.col("Tx"), D0 + F.col("Dx")
+        before = F.when(T0 > 0, T0 * F.log2(T0 + D0) - Q0).otherwise(0.0)
+        body = _sum_if(level == k, T1 * F.log2(T1 + D1) - (Q0 + F.col("Qx")) - before)
+        opening = F.sum(F.when((level < k) & F.col("joint_opening").isNotNull(),
+                               F.log2(T1 + D1) - F.log2("joint_opening")))
+        return (F.lit(joint.body[k]) + body + opening).alias(f"joint_bits_{k}")
+
     orders = range(1, order + 1)
+    if joint is not None:
+        known = joint.contexts.select("level", "ctx", *[F.col(c).alias(f"ref_{c}") for c in "TDQ"])
+        totals = totals.join(joint.lookup(known), ["level", "ctx"], "left")
     return totals.groupBy(id_col).agg(
         F.max(F.when(level == 0, T)).alias("chars"),
         F.max(F.when(level == 0, F.log2(T) - Q / T)).alias("entropy"),
         *[bits(k) for k in orders],
         *([ref_bits(k) for k in orders] if model is not None else []),
+        *([joint_bits(k) for k in orders] if joint is not None else []),
     )
 
 
@@ -419,70 +500,23 @@ def nrc(
 def joint_code(
     texts: DataFrame, model: ReferenceModel, order: int, id_col: str = "file_name"
 ) -> DataFrame:
-    """(id, joint_bits): self code length of text followed by the reference.
+    """(id, joint_bits): self code length of text followed by the reference."""
+    code = document_code(texts, order, id_col, joint=model)
+    return code.select(id_col, F.col(f"joint_bits_{order}").alias("joint_bits"))
 
-    Only contexts the text touches differ from the reference totals, so those are
-    patched and the rest of the reference enters as one constant.
-    """
-    opening = model.opening[:order]
-    longest = raw_grams(texts, order, id_col, tail=opening, head=False)
-    firsts = texts.select(
-        id_col, F.left(F.concat("text", F.lit(opening)), F.lit(order)).alias("_first")
-    ).repartition(text_partitions(texts), id_col)
-    keys = [id_col, "_first"]
-    g = F.left(F.col("gram"), F.col("level") + 1)
-    levels = (
-        longest.join(firsts, id_col)
-        .select(*keys, "gram", "n", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("level"))
-        .filter(
-            (F.col("level") == order)
-            | (F.left(F.col("gram"), F.col("level")) == F.left(F.col("_first"), F.col("level")))
-        )
-        .select(*keys, "level", g.alias("g"), "n")
-        .groupBy(*keys, "level", "g")
-        .agg(F.sum("n").alias("nx"))
-    )
-    nr, nx = F.coalesce("nr", F.lit(0)), F.col("nx")
-    touched = (
-        levels.join(
-            model.lookup(model.grams.withColumnRenamed("n", "nr")), ["level", "g"], "left"
-        )
-        .groupBy(*keys, "level", F.left(F.col("g"), F.col("level")).alias("ctx"))
-        .agg(
-            F.sum("nx").alias("Tx"),
-            F.sum(F.when(F.col("nr").isNull(), 1).otherwise(0)).alias("new"),
-            F.sum(n_log_n(nr + nx) - F.when(F.col("nr") > 0, n_log_n(F.col("nr"))).otherwise(0.0))
-            .alias("dQ"),
-            F.max(F.when(F.col("g") == F.left(F.col("_first"), F.col("level") + 1), nr + nx))
-            .alias("opening"),
-        )
-        .join(model.lookup(model.contexts), ["level", "ctx"], "left")
-    )
-    T0, D0, Q0 = (F.coalesce(F.col(c), F.lit(0)) for c in ("T", "D", "Q"))
-    T1, D1 = T0 + F.col("Tx"), D0 + F.col("new")
-    before = F.when(F.col("T") > 0, T0 * F.log2(T0 + D0) - Q0).otherwise(0.0)
-    after = T1 * F.log2(T1 + D1) - (Q0 + F.col("dQ"))
-    body = F.coalesce(F.sum(F.when(F.col("level") == order, after - before)), F.lit(0.0))
-    start = F.sum(
-        F.when((F.col("level") < order) & F.col("opening").isNotNull(),
-               F.log2(T1 + D1) - F.log2("opening"))
-    )
-    return touched.groupBy(id_col).agg(
-        (F.lit(model.body[order]) + body + start).alias("joint_bits")
-    )
+
+def ncd_column(model: ReferenceModel, order: int) -> Column:
+    """The distance from the columns of `document_code` with this model as `joint`, in [0, 1]."""
+    own, ref = F.col(f"bits_{order}"), F.lit(model.bits[order])
+    largest = F.greatest(own, ref)
+    distance = (F.col(f"joint_bits_{order}") - F.least(own, ref)) / largest
+    return F.when(largest == 0, 0.0).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), distance))
+    ).alias(f"NCD_Order_{order}")
 
 
 def ncd(
     texts: DataFrame, model: ReferenceModel, order: int, id_col: str = "file_name"
 ) -> DataFrame:
     """Normalized compression distance of each text to the reference, in [0, 1]."""
-    own = self_code(texts, order, id_col).select(id_col, F.col(f"bits_{order}").alias("own"))
-    ref = F.lit(model.bits[order])
-    largest = F.greatest(F.col("own"), ref)
-    distance = (F.col("joint_bits") - F.least(F.col("own"), ref)) / largest
-    return own.join(joint_code(texts, model, order, id_col), id_col).select(
-        id_col,
-        F.when(largest == 0, 0.0)
-        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), distance)))
-        .alias(f"NCD_Order_{order}"),
-    )
+    return document_code(texts, order, id_col, joint=model).select(id_col, ncd_column(model, order))

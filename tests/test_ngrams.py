@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from math import log2
 
 import pytest
@@ -26,9 +27,12 @@ def texts(spark):
 
 @pytest.fixture(scope="module", params=[16_384, 5])
 def span(request):
-    before, ngrams.SPAN = ngrams.SPAN, request.param
+    before = ngrams.SPAN, ngrams.LONG
+    ngrams.SPAN = request.param
+    if request.param == 5:  # half of the texts are dealt to several tasks
+        ngrams.LONG = 20
     yield request.param
-    ngrams.SPAN = before
+    ngrams.SPAN, ngrams.LONG = before
 
 
 REFERENCE = [("r1", "abcabcaab"), ("r2", "ccb\nba"), ("r3", "d"), ("r4", "😀ab ab")]
@@ -99,6 +103,23 @@ def test_partition_count_changes_nothing(texts):
         tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in b]
 
 
-def test_one_shuffle_of_text(texts):
-    plan = ngrams.self_code(texts, 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_one_shuffle_of_text(spark, texts):
+    model = ngrams.reference_model(spark.createDataFrame(REFERENCE, "file_name string, text string"), 2)
+    for args in ((None, None, None), (model, 12, model)):
+        plan = ngrams._code(texts, 2, "file_name", *args, False)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_spans_of_a_long_document_go_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "SPAN", 100)
+    monkeypatch.setattr(ngrams, "LONG", 1_000)
+    rng = random.Random(3)
+    one = "".join(rng.choice("abcdefgh ") for _ in range(5_000))
+    df = spark.createDataFrame([("one", one), ("none", None), ("empty", "")], "file_name string, text string")
+    (_, _), (long, dealt) = ngrams.by_length(df)
+    assert dealt and [r.file_name for r in long.collect()] == ["one"]
+    plan = ngrams.raw_grams(long, 2, dealt=True)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(([a-z_#0-9, ]+), \d+\)", re.sub(r"#\d+L?", "", plan)) == [
+        "file_name, gram, joint", "file_name, _from"]
+    got = ngrams.self_code(df, 2).collect()
+    assert [r.file_name for r in got] == ["one"] and got[0].bits_2 == pytest.approx(self_bits(one, 2), abs=1e-6)
