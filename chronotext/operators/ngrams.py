@@ -44,11 +44,11 @@ def by_length(texts: DataFrame) -> list[tuple[DataFrame, bool]]:
 def raw_grams(
     texts: DataFrame, order: int, id_col: str = "file_name", tail: str = "", dealt: bool = False
 ) -> DataFrame:
-    """Counts (id, gram, joint, n) of each window of order+1 characters, and of the prefixes of
+    """Counts (id, gram, n) of each window of order+1 characters, and of the prefixes of
     1..order characters: they are the symbols at the start of a text, where the context is shorter.
 
     With a `tail`, the windows of 2..order+1 characters that start in the text and end in the tail
-    following it are added, with `joint` 1, or 2 where one opens the text; others have 0. `dealt`
+    following it are added, in rows with a `joint` of 1, or 2 where one opens the text; others have 0. `dealt`
     spreads each document's spans over the tasks.
     """
     size, text = order + 1, F.col("text")
@@ -71,17 +71,18 @@ def raw_grams(
     )
     grams = _windows(F.col("_s"), size)
     grams = F.when(F.col("_from") == 0, F.concat(prefixes, grams)).otherwise(grams)
-    grams = F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(0).alias("joint")))
+    if not tail:
+        return spans.select(id_col, F.explode(grams).alias("gram")).groupBy(id_col, "gram").agg(
+            F.count(F.lit(1)).alias("n"))
     crossing = [
         F.when(F.length("_end") >= k, F.struct(
             F.concat(F.right(F.col("_end"), F.lit(k)), F.lit(tail[:m - k])).alias("gram"),
             F.when((F.col("_from") == 0) & (F.length("_end") == k), 2).otherwise(1).alias("joint")))
         for k in range(1, size) for m in range(k + 1, size + 1) if m - k <= len(tail)
     ]
-    if crossing:
-        grams = F.concat(grams, F.array_compact(F.array(*crossing)))
+    grams = F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(0).alias("joint")))
     return (
-        spans.select(id_col, F.inline(grams))
+        spans.select(id_col, F.inline(F.concat(grams, F.array_compact(F.array(*crossing)))))
         .groupBy(id_col, "gram", "joint")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -98,7 +99,7 @@ def split_gram(grams: DataFrame) -> DataFrame:
 
 
 def char_ngrams(texts: DataFrame, order: int, id_col: str = "file_name") -> DataFrame:
-    short, long = (raw_grams(part, order, id_col, dealt=dealt).drop("joint") for part, dealt in by_length(texts))
+    short, long = (raw_grams(part, order, id_col, dealt=dealt) for part, dealt in by_length(texts))
     return split_gram(short.unionByName(long))
 
 
@@ -196,10 +197,12 @@ def _code(
     joint: ReferenceModel | None, dealt: bool,
 ) -> DataFrame:
     grams = raw_grams(texts, order, id_col, joint.opening[:order] if joint else "", dealt)
-    levels = gram_levels(grams if joint else grams.drop("joint"), order, [id_col])
+    levels = gram_levels(grams, order, [id_col])
     if model is not None:
         levels = priced_levels(levels, model, order, alphabet_size)
     if joint is not None:
+        if "joint_n" not in levels.columns:  # nothing follows the text
+            levels = levels.withColumn("joint_n", F.col("n"))
         known = joint.lookup(joint.grams.withColumnRenamed("n", "ref_n"))
         levels = levels.join(known, ["level", "g"], "left")
     totals = context_totals(levels, [id_col])

@@ -120,6 +120,6 @@ def test_spans_of_a_long_document_go_to_many_tasks(spark, monkeypatch):
     assert dealt and [r.file_name for r in long.collect()] == ["one"]
     plan = ngrams.raw_grams(long, 2, dealt=True)._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"hashpartitioning\(([a-z_#0-9, ]+), \d+\)", re.sub(r"#\d+L?", "", plan)) == [
-        "file_name, gram, joint", "file_name, _from"]
+        "file_name, gram", "file_name, _from"]
     got = ngrams.self_code(df, 2).collect()
     assert [r.file_name for r in got] == ["one"] and got[0].bits_2 == pytest.approx(self_bits(one, 2), abs=1e-6)
