@@ -4,30 +4,42 @@ Texts are lower-cased letters with single spaces between words. For each languag
 of the training texts are counted; the longest keep their counts, shorter ones count the
 distinct characters before them, and each order is discounted and interpolated with the one below.
 A model is a sorted array of n-gram hashes with log-probabilities and one of context hashes with
-back-off weights. A text gets the language of the lowest cross-entropy per character. A
-language's cross-entropies over its training texts give its limit (mean and `tolerance` standard
-deviations); texts above it are marked rejected.
-
-Hashes have 64 bits, so different n-grams stay apart and a language's model grows with the text
-it saw; models of more languages than fit `MODEL_ROWS` are scored in turns. Null texts and
-texts without letters are `und` with score 0. Rows are judged one by one; repeated rows
-repeat; other columns are not read. Without training texts everything is `und`.
+back-off weights. A text gets the language of the lowest cross-entropy per character.
+
+Limits for rejection come from unseen texts: models of all but one fold of the training texts
+score that fold, and a language's limit is the mean and `tolerance` standard deviations of its
+cross-entropies there; texts above it are marked rejected. A language with fewer than two
+texts in the fold has no limit and rejects nothing. Folds go by the hash of the text, so exact
+copies are in one fold.
+
+Hashes have 64 bits, so different n-grams stay apart and the models grow with the text they
+saw. Models of up to `MODEL_ROWS` rows together are broadcast. Larger ones stay a table: the
+distinct n-grams of slices of the texts are priced order by order by joins, and each slice meets the
+sorted prices of its own n-grams only. Both ways give the same figures.
+
+Null texts and texts without letters are `und` with score 0. Rows are judged one by one;
+repeated rows repeat; other columns are not read. Without training texts everything is `und`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, MapType, StringType, StructField, StructType
 
 from chronotext.llm.common import MIX_2, U64, held, mix, sized
 from chronotext.session import materialize
 
 ORDER = 4
-MODEL_ROWS = 8_000_000
+MODEL_ROWS = 4_000_000  # of all languages; 64 MB as arrays
 SLICE_CHARS = 1 << 18
+SLICE_TEXT = 1 << 24  # characters of the texts that meet their prices together
+FOLDS = 5
 UNKNOWN = np.log(1e-7)  # of a character never seen in any language
+GRAMS = [f"g{k}" for k in range(1, ORDER + 1)] + [f"h{k}" for k in range(2, ORDER + 1)]
 
 
 class Symbols:
@@ -94,50 +106,55 @@ def chunks(texts: list[str], limit: int = SLICE_CHARS):
 
 
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, counts n of the longest n-grams, each with the hashes g1.. of its ends and h1.. of
-    its contexts (h of order k is the k - 1 symbols before its last)."""
-    names = [f"g{k}" for k in range(1, ORDER + 1)] + [f"h{k}" for k in range(2, ORDER + 1)]
-
+    """lang, counts n of the longest n-grams and n_seen of those outside the held-out fold, each with
+    the hashes g1.. of its ends and h2.. of its contexts (h of order k is the k - 1 symbols before its last)."""
     def count(batches):
         split = Symbols()
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("out").to_pylist()))
             for i, j in chunks(texts):
-                for name in set(langs[i:j]):
-                    symbols, offsets = split([t for t, l in zip(texts[i:j], langs[i:j]) if l == name])
+                for key in set(keys[i:j]):
+                    symbols, offsets = split([t for t, k in zip(texts[i:j], keys[i:j]) if k == key])
                     if not len(symbols):
                         continue
                     # The longest end tells the rows apart; all others follow from it.
                     grams, contexts = gram_hashes(symbols, offsets)
                     _, first, n = np.unique(grams[-1], return_index=True, return_counts=True)
                     rows = np.stack([x[first] for x in (*grams, *contexts[1:])]).astype(np.int64)
-                    old = held.get(name)
+                    old = held.get(key)
                     if old is not None:
                         rows, n = np.concatenate([old[0], rows], axis=1), np.concatenate([old[1], n])
                         if len(n) > 1 << 19:
                             rows, n = merge(rows, n)
-                    held[name] = rows, n
+                    held[key] = rows, n
                     if len(n) > 1 << 21:
-                        yield from emit(name, *held.pop(name))
-        for name, (rows, n) in held.items():
-            yield from emit(name, *merge(rows, n))
+                        yield from emit(key, *held.pop(key))
+        for key, (rows, n) in held.items():
+            yield from emit(key, *merge(rows, n))
 
     def merge(rows, n):
         _, first, back = np.unique(rows[ORDER - 1], return_index=True, return_inverse=True)
         return rows[:, first], np.bincount(back, weights=n).astype(np.int64)
 
-    def emit(name, rows, n):
+    def emit(key, rows, n):
         for i in range(0, len(n), 100_000):
-            part = rows[:, i: i + 100_000]
+            part, counts = rows[:, i: i + 100_000], n[i: i + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * part.shape[1], pa.string()), *(pa.array(r) for r in part), pa.array(n[i: i + 100_000])],
-                names=["lang", *names, "n"])
+                [pa.array([key[0]] * len(counts), pa.string()), *(pa.array(r) for r in part), pa.array(counts),
+                 pa.array(counts * (not key[1]))],
+                names=["lang", *GRAMS, "n", "n_seen"])
 
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    fields = ", ".join(f"{c} bigint" for c in names)
-    return rows.mapInArrow(count, f"lang string, {fields}, n bigint").groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), held_fold(text).alias("out"))
+    fields = ", ".join(f"{c} bigint" for c in GRAMS)
+    return rows.mapInArrow(count, f"lang string, {fields}, n bigint, n_seen bigint").groupBy("lang", *GRAMS).agg(
+        F.sum("n").alias("n"), F.sum("n_seen").alias("n_seen"))
+
+
+def held_fold(text: str):
+    """Whether a text is in the fold that gives the limits."""
+    return F.coalesce(F.pmod(F.xxhash64(text), F.lit(FOLDS)) == 0, F.lit(False))
 
 
 def kneser_ney(grams: DataFrame) -> DataFrame:
@@ -235,69 +252,138 @@ def look(arrays: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
 
 
 class Model:
-    """Language names, models in groups of bounded size, and limits for rejection."""
-
-    def __init__(self, names: list[str], groups: list[list[str]], table: DataFrame):
-        self.names, self.groups, self.table = names, groups, table
+    """Language names, the table of all models with its number of rows, and limits for rejection."""
+
+    def __init__(self, table: DataFrame):
+        sizes = table.groupBy("lang").agg(  # a row a language
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("kind") == 1).alias("letters"),
+            F.max(F.when(F.col("kind") == -1, F.col("value"))).alias("share")).orderBy("lang").collect()
+        self.names = [r["lang"] for r in sizes]
+        self.rows = sum(r["rows"] for r in sizes)
+        self.letters = [r["letters"] for r in sizes]
+        self.shares = [r["share"] for r in sizes]
+        self.table = table
         self.limits: dict[str, float] = {}
 
-    def arrays(self, group: list[str]) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
-        rows = self.table.filter(F.col("lang").isin(group)).toArrow()  # at most MODEL_ROWS, or one language
-        langs = np.array(rows.column("lang").to_pylist(), dtype=object)
-        kind, key, value = (rows.column(c).to_numpy() for c in ("kind", "hash", "value"))
-        out = []
-        for name in group:
-            own, model = langs == name, {}
+    def arrays(self) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """Sorted hash arrays of every language; for models of at most MODEL_ROWS rows."""
+        rows, out = self.table.toArrow(), []
+        for name in self.names:
+            own, model = rows.filter(pc.equal(rows.column("lang"), name)), {}
+            kind, key, value = (own.column(c).to_numpy() for c in ("kind", "hash", "value"))
             for k in [*range(1, ORDER + 1), *range(-ORDER, 0)]:
-                pick = own & (kind == k)
+                pick = kind == k
                 order = np.argsort(key[pick])
                 model[k] = key[pick][order], value[pick][order]
             out.append(model)
         return out
 
+    def by_hash(self, kind: int) -> DataFrame:
+        """key and vals: the value under each language, null where it has none."""
+        values = [F.max(F.when(F.col("lang") == n, F.col("value"))) for n in self.names]
+        return self.table.filter(F.col("kind") == kind).groupBy(F.col("hash").alias("key")).agg(F.array(*values).alias("vals"))
+
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", tolerance: float = 6.0) -> Model:
     """Models of every language of the given texts (rows of null language are not learnt)."""
     docs = docs.filter(F.col(lang).isNotNull())
-    table = materialize(kneser_ney(materialize(count_grams(docs, text, lang))))
-    sizes = sorted((r["lang"], r["count"]) for r in table.groupBy("lang").count().collect())
-    groups, size = [], 0
-    for name, n in sizes:
-        if not groups or size + n > MODEL_ROWS:
-            groups, size = [*groups, []], 0
-        groups[-1].append(name)
-        size += n
-    model = Model([name for name, _ in sizes], groups, table)
+    grams = materialize(count_grams(docs, text, lang))
+    model = Model(materialize(kneser_ney(grams.drop("n_seen"))))
     if model.names:
-        scored = entropies(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")), model, "text")
+        seen = grams.filter("n_seen > 0").drop("n").withColumnRenamed("n_seen", "n")
+        unseen = docs.filter(held_fold(text)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+        scored = entropies(unseen, Model(materialize(kneser_ney(seen))), "text")
         own = scored.filter("n_symbols > 0").select("lang", F.col("entropies")[F.col("lang")].alias("e"))
-        for r in own.groupBy("lang").agg(F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).collect():
-            model.limits[r["lang"]] = r["m"] + tolerance * r["s"]
+        for r in own.groupBy("lang").agg(F.count("e").alias("n"), F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).collect():
+            if r["n"] > 1:
+                model.limits[r["lang"]] = r["m"] + tolerance * r["s"]
     return model
 
 
 def entropies(rows: DataFrame, model: Model, text: str) -> DataFrame:
     """The rows without the text, with n_symbols and a map of cross-entropies by language."""
-    kept = [c for c in rows.columns if c != text]
-    spark = rows.sparkSession
-    out = rows.withColumn("entropies", F.expr("map_from_arrays(array(), array())").cast("map<string,double>")) \
-        .withColumn("n_symbols", F.lit(0).cast("bigint"))
-    for group in model.groups:
-        shared = spark.sparkContext.broadcast(model.arrays(group))
-
-        def judge(batches, group=group, shared=shared):
+    kept = [f for f in rows.schema if f.name != text]
+    schema = StructType([*kept, StructField("n_symbols", LongType()), StructField("entropies", MapType(StringType(), DoubleType()))])
+    names = model.names
+
+    def judged(scorer: Scorer, batch):
+        found, sizes = scorer.entropies([t or "" for t in batch.column(text).to_pylist()])
+        maps = pa.array([list(zip(names, row)) for row in found.tolist()], pa.map_(pa.string(), pa.float64()))
+        columns = [batch.column(f.name) for f in kept]
+        return type(batch).from_arrays([*columns, pa.array(sizes.astype(np.int64)), maps], names=schema.names)
+
+    if model.rows <= MODEL_ROWS:
+        shared = rows.sparkSession.sparkContext.broadcast(model.arrays())
+
+        def judge(batches):
             scorer = Scorer(shared.value)
             for batch in batches:
-                found, sizes = scorer.entropies([t or "" for t in batch.column(text).to_pylist()])
-                had = batch.column("entropies").to_pylist()
-                maps = [[*h, *zip(group, row)] for h, row in zip(had, found.tolist())]
-                columns = dict(zip(batch.schema.names, batch.columns))
-                columns["entropies"] = pa.array(maps, pa.map_(pa.string(), pa.float64()))
-                columns["n_symbols"] = pa.array(sizes.astype(np.int64))
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-        out = out.mapInArrow(judge, out.schema)
-    return out.select(*kept, "n_symbols", "entropies")
+                yield judged(scorer, batch)
+
+        return rows.mapInArrow(judge, schema)
+
+    def meet(docs: pa.Table, priced: pa.Table) -> pa.Table:
+        scorer, keys = Scorer([{}] * len(names)), priced.column("g").to_numpy().astype(U64)
+        order = np.argsort(keys)
+        scorer.keys = keys[order]
+        scorer.values = priced.column("price").combine_chunks().flatten().to_numpy().reshape(-1, len(names))[order]
+        return judged(scorer, docs)
+
+    # A slice goes by content, so that a task that runs again deals its rows as before.
+    chars = rows.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0
+    hashed = [f.name for f in rows.schema if not isinstance(f.dataType, MapType)]
+    place = "__slice" + "_" * max(len(c) for c in rows.columns)  # longer than any name here
+    dealt = rows.withColumn(place, F.pmod(F.xxhash64(*hashed), F.lit(chars // SLICE_TEXT + 1)))
+    grams = materialize(slice_grams(dealt.select(F.col(place).alias("slice"), F.col(text).alias("text"))))
+    priced = grams.select("slice", F.col(f"g{ORDER}").alias("g")).join(prices(grams, model), "g")
+    return dealt.groupBy(place).cogroup(priced.groupBy("slice")).applyInArrow(meet, schema)
+
+
+def slice_grams(rows: DataFrame) -> DataFrame:
+    """The distinct longest n-grams of each slice of texts, with the hashes of their ends and contexts."""
+
+    def distinct(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        split, texts = Symbols(), [t or "" for t in table.column("text").to_pylist()]
+        found = np.zeros((len(GRAMS), 0), dtype=np.int64)
+        waiting = [found]
+        for i, j in chunks(texts):
+            symbols, offsets = split(texts[i:j])
+            if len(symbols):
+                grams, contexts = gram_hashes(symbols, offsets)
+                _, first = np.unique(grams[-1], return_index=True)
+                waiting.append(np.stack([x[first] for x in (*grams, *contexts[1:])]).astype(np.int64))
+            if j == len(texts) or sum(w.shape[1] for w in waiting[1:]) > max(1 << 19, waiting[0].shape[1]):
+                found = np.concatenate(waiting, axis=1)
+                found = found[:, np.unique(found[ORDER - 1], return_index=True)[1]]
+                waiting = [found]
+        place = pa.array(np.full(found.shape[1], key[0].as_py(), dtype=np.int64))
+        return pa.Table.from_arrays([place, *map(pa.array, found)], names=["slice", *GRAMS])
+
+    return rows.groupBy("slice").applyInArrow(distinct, "slice bigint, " + ", ".join(f"{c} bigint" for c in GRAMS))
+
+
+def prices(grams: DataFrame, model: Model) -> DataFrame:
+    """g (hash of a longest n-gram) and its log-probability under each language, lowest order first.
+
+    An n-gram has at most as many longer ones as there are characters before it, so no key of a join is hot."""
+    before = [1.0 / max(n, 1) for n in model.letters]
+    last = None
+    for k in range(1, ORDER + 1):
+        links = [f"g{k - 1}", f"h{k}"] if k > 1 else []
+        # All else follows from the hash of order k.
+        level = grams.groupBy(F.col(f"g{k}").alias("g")).agg(*[F.min(c).alias(c) for c in links or ["g1"]])
+        level = level.join(model.by_hash(k).withColumnRenamed("vals", "adds"), F.col("g") == F.col("key"), "left").drop("key")
+        if k == 1:
+            shares, lower = [F.lit(s) for s in model.shares], [F.lit(p) for p in before]
+        else:
+            level = level.join(model.by_hash(-k).withColumnRenamed("vals", "shares"), F.col(f"h{k}") == F.col("key"), "left")
+            level = level.drop("key").join(last.toDF(f"g{k - 1}", "lower"), f"g{k - 1}")
+            shares, lower = ([F.col(c)[i] for i in range(len(before))] for c in ("shares", "lower"))
+        p = [F.when(s.isNull(), q).otherwise(F.coalesce(F.col("adds")[i], F.lit(0.0)) + s * q)
+             for i, (s, q) in enumerate(zip(shares, lower))]
+        last = level.select("g", F.array(*p).alias("p"))
+    logs = F.transform("p", lambda x: F.greatest(F.log(F.greatest(x, F.lit(1e-30))), F.lit(float(UNKNOWN))).cast("float"))
+    return last.select("g", logs.alias("price"))
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -314,5 +400,5 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         *keep, F.when(none, "und").otherwise(best["lang"]).alias("lang_pred"),
         F.when(none, 0.0).otherwise(1.0 / odds).alias("score"),
         F.when(~none, best["h"]).alias("cross_entropy"),
-        (~none & (best["h"] > limits[best["lang"]])).alias("rejected"),
+        (~none & F.coalesce(best["h"] > limits[best["lang"]], F.lit(False))).alias("rejected"),
     )

@@ -4,9 +4,11 @@ and further columns with clashing names; and beside brute force."""
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -364,23 +366,42 @@ def test_language_models_in_turns_give_the_same(sp, monkeypatch):
     docs = docs_of(sp, rows)
     one = collected(language_id.identify(docs, language_id.train(docs)), "doc_id", "lang_pred", "score", "cross_entropy")
     monkeypatch.setattr(language_id, "MODEL_ROWS", 1)
-    model = language_id.train(docs)
-    assert len(model.groups) == 3
-    assert collected(language_id.identify(docs, model), "doc_id", "lang_pred", "score", "cross_entropy") == one
+    assert collected(language_id.identify(docs, language_id.train(docs)), "doc_id", "lang_pred", "score", "cross_entropy") == one
 
 
-def test_kneser_ney_like_plain_code(sp):
-    """Probabilities of the order-2 part beside a direct computation on symbols."""
-    docs = docs_of(sp, [(1, "abab ac", "x", None), (2, "ba", "x", None)])
+def close(got, want):
+    return all(a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=1e-6) for a, b in zip(got, want, strict=True))
+
+
+def test_language_models_as_a_table_give_the_same(sp, monkeypatch):
+    """Odd and long texts in many slices, priced by joins; nothing is collected."""
+    rng = random.Random(9)
+    rows = [(i, " ".join("".join(rng.choices(s, k=4)) for _ in range(rng.randrange(1, 60))), lang, None)
+            for i in range(60) for lang, s in [(("x", "abcde"), ("y", "defgh"), ("z", "ийкл"))[i % 3]]]
+    rows += [(100, None, "x", None), (101, "", "y", None), (102, "12 ..", None, None), (103, "日本", None, None),
+             (104, "abc def " * 30_000, None, None), (105, "abab", "x", None), (105, "abab", "x", None)]
+    docs = docs_of(sp, rows)
+    columns = ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"]
     model = language_id.train(docs)
-    scorer = language_id.Scorer(model.arrays(["x"]))
-    symbols, offsets = scorer.split(["abab ac", "ba"])
-    text = ["   " + "".join(map(chr, symbols[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
-    top = Counter(t[i - 3: i + 1] for t in text for i in range(3, len(t)))
-    counts = {4: top}
+    one = collected(language_id.identify(docs, model).fillna(-1.0, ["cross_entropy"]), *columns)
+    assert model.limits
+    monkeypatch.setattr(language_id, "MODEL_ROWS", 0)
+    monkeypatch.setattr(language_id, "SLICE_TEXT", 5_000)
+    monkeypatch.setattr(language_id.Model, "arrays", None)
+    table = language_id.train(docs)
+    assert close(collected(language_id.identify(docs, table).fillna(-1.0, ["cross_entropy"]), *columns), one)
+    assert table.limits.keys() == model.limits.keys()
+    assert np.allclose([table.limits[n] for n in sorted(table.limits)], [model.limits[n] for n in sorted(model.limits)])
+    assert language_id.identify(docs.limit(0), table).count() == 0
+
+
+def plain_kneser_ney(texts):
+    """Log-probability of the last of four symbols under texts of symbols that begin with three spaces."""
+    counts = {4: Counter(t[i - 3: i + 1] for t in texts for i in range(3, len(t)))}
     for k in (3, 2, 1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
 
+    @cache
     def p(gram):
         k = len(gram)
         if not k:
@@ -394,9 +415,64 @@ def test_kneser_ney_like_plain_code(sp):
         total = sum(same.values())
         return max(own[gram] - d, 0) / total + d * len(same) / total * p(gram[1:])
 
-    want = [-np.mean([np.log(p(t[i - 3: i + 1])) for i in range(3, len(t))]) for t in text]
-    got, _ = scorer.entropies(["abab ac", "ba"])
-    assert np.allclose(got[:, 0], want, atol=1e-5)
+    return lambda gram: max(math.log(max(p(gram), 1e-30)), math.log(1e-7))
+
+
+def plain_symbols(text):
+    """Letters lower-cased, all else a space; spaces before the first symbol, one of them counted."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return "    " + "".join(w + " " for w in letters) if letters else "   "
+
+
+def plain_entropies(texts, model):
+    return [-sum(model(t[i - 3: i + 1]) for i in range(3, len(t))) / max(len(t) - 3, 1) for t in texts]
+
+
+def test_kneser_ney_like_plain_code(sp):
+    """Every order beside a direct computation on symbols."""
+    texts = ["abab ac", "ba"]
+    model = language_id.train(docs_of(sp, [(i, t, "x", None) for i, t in enumerate(texts)]))
+    symbols = [plain_symbols(t) for t in texts]
+    got, _ = language_id.Scorer(model.arrays()).entropies(texts)
+    assert np.allclose(got[:, 0], plain_entropies(symbols, plain_kneser_ney(symbols)), atol=1e-5)
+
+
+def test_language_id_like_plain_code(sp):
+    """Predictions, cross-entropies and limits of whole documents beside brute force."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(48):
+        lang, s = (("x", "abcde"), ("y", "cdefg"), ("z", "efgöé"))[i % 3]
+        rows.append((i, " ".join("".join(rng.choices(s, k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 30))) + ". 7!", lang, None))
+    rows += [(90, None, "x", None), (91, "abé", None, None), (92, "qqq Qq", None, None)]
+    docs = docs_of(sp, rows)
+    model = language_id.train(docs, tolerance=2.0)
+    out = {r["doc_id"] for r in docs.filter(language_id.held_fold("text")).collect()}
+    langs = ["x", "y", "z"]
+    plain = {n: plain_kneser_ney([plain_symbols(t) for _, t, lang, _ in rows if lang == n]) for n in langs}
+    limits = {}
+    for n in langs:
+        seen = plain_kneser_ney([plain_symbols(t) for i, t, lang, _ in rows if lang == n and i not in out])
+        unseen = plain_entropies([plain_symbols(t) for i, t, lang, _ in rows if lang == n and i in out], seen)
+        if len(unseen) > 1:
+            limits[n] = np.mean(unseen) + 2 * np.std(unseen)
+    assert limits and limits.keys() == model.limits.keys()
+    assert all(math.isclose(limits[n], model.limits[n], abs_tol=1e-5) for n in limits)
+    rejected = 0
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    for i, text, *_ in rows:
+        t, r = plain_symbols(text), got[i]
+        if not t.strip():
+            assert r["lang_pred"] == "und" and r["score"] == 0 and not r["rejected"]
+            continue
+        h = {n: plain_entropies([t], plain[n])[0] for n in langs}
+        best = min(langs, key=h.get)
+        assert r["lang_pred"] == best and math.isclose(r["cross_entropy"], h[best], abs_tol=1e-5)
+        odds = sum(math.exp((h[best] - h[n]) * min(len(t) - 3, 50)) for n in langs)
+        assert math.isclose(r["score"], 1 / odds, abs_tol=1e-4)
+        assert r["rejected"] == (h[best] > limits.get(best, math.inf))
+        rejected += r["rejected"]
+    assert 0 < rejected < 40
 
 
 # --- packing ---------------------------------------------------------------------------
