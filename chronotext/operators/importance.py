@@ -197,3 +197,15 @@ def pca_tables(df: DataFrame, features: list[str]) -> dict[str, DataFrame]:
             "mean_abs_loading",
         ),
     }
+
+
+def rebuilt_correlations(tables: dict[str, DataFrame]) -> DataFrame:
+    """feature_1, feature_2 and their correlation as the sum over components of variance times both
+    loadings; `tables` as given by `pca_tables`, of features none of which is constant."""
+    each = tables["loadings"].join(tables["variance"], "component")
+    one, two = (each.select("component", F.col("feature").alias(f"feature_{i}"), F.col("loading").alias(f"l{i}"),
+                            "explained_variance_ratio") for i in (1, 2))
+    n = tables["loadings"].agg(F.count_distinct("feature")).scalar()  # the variances of standardised features add up to it
+    return one.join(two.drop("explained_variance_ratio"), "component").groupBy("feature_1", "feature_2").agg(
+        F.sum(F.col("explained_variance_ratio") * F.col("l1") * F.col("l2")).alias("share")
+    ).select("feature_1", "feature_2", (F.col("share") * n).alias("correlation"))

@@ -283,9 +283,11 @@ def smote(points: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     h = hash_key(seed, F.concat_ws("/", "id", "_i"))
     weight = hash_number(h) / F.lit(2.0**32)
     which = F.pmod(hash_number(F.substring(h, 9, 8)), F.size("_ways")).cast("int")
-    made = each.select(
+    # Drawn before the new `id` is named: inside a lambda, `id` would mean that null.
+    drawn = each.withColumn("_weight", weight).withColumn("_way", F.get("_ways", which))
+    made = drawn.select(
         F.lit(None).cast("bigint").alias("id"),
-        F.zip_with("vec", F.get("_ways", which), lambda a, b: a + weight * (b - a)).alias("vec"),
+        F.zip_with("vec", "_way", lambda a, b: a + F.col("_weight") * (b - a)).alias("vec"),
         "label", F.lit(True).alias("synthetic"),
     )
     return points.select("id", "vec", "label", F.lit(False).alias("synthetic")).unionByName(made)

@@ -312,6 +312,37 @@ def smote(spark, sf_dir):
     return made.select("id", "label", "synthetic", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
 
 
+cte("smote_need", """
+SELECT label, n, most - n AS need FROM (
+  SELECT label, count(*) AS n, max(count(*)) OVER () AS most FROM embeddings GROUP BY label) WHERE most > n AND n > 1""")
+cte("smote_copies", f"""
+SELECT id, label, v, unnest(range(1, need // n + (pos < need % n)::BIGINT + 1)) AS i FROM (
+  SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, n, need,
+    row_number() OVER (PARTITION BY label ORDER BY md5('{V.SEED}:' || vec_id), vec_id) - 1 AS pos
+  FROM embeddings JOIN smote_need USING (label))""", ("smote_need",))
+cte("smote_ways", """
+SELECT q AS id, list(embedding::DOUBLE[] ORDER BY d, dist.id) AS ways FROM (
+  SELECT q, id, d FROM dist WHERE la = lb QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, id) <= 5) dist
+JOIN embeddings e ON e.vec_id = dist.id GROUP BY q""", ("dist",))
+cte("smote_drawn", f"""
+SELECT label, v, ways[('0x' || substr(h, 9, 8))::BIGINT % len(ways) + 1] AS w,
+  ('0x' || substr(h, 1, 8))::BIGINT::DOUBLE / 4294967296 AS share
+FROM (SELECT *, md5('{V.SEED}:' || id || '/' || i) AS h FROM smote_copies JOIN smote_ways USING (id))""",
+    ("smote_copies", "smote_ways"))
+
+
+@query("smote_values", """
+SELECT id, label::BIGINT AS label, synthetic, j AS component, round(x, 6) + 0.0 AS value FROM (
+  SELECT vec_id AS id, label, false AS synthetic, unnest(range(len(embedding))) AS j, unnest(embedding::DOUBLE[]) AS x FROM embeddings
+  UNION ALL SELECT NULL, label, true, unnest(range(len(v))),
+    unnest(list_transform(list_zip(v, w), lambda p: p[1] + share * (p[2] - p[1]))) FROM smote_drawn)""", ("smote_drawn",))
+def smote_values(spark, sf_dir):
+    """The points of `smote`, one row a component."""
+    made = neighbours.smote(points(spark, sf_dir))
+    return rounded(made.select("id", F.col("label").cast("bigint").alias("label"), "synthetic",
+                               F.posexplode("vec").alias("component", "value")))
+
+
 # --- Spark ML ---------------------------------------------------------------------------------
 
 
@@ -410,6 +441,15 @@ for _key, _part in (("pca_loadings", "loadings"), ("pca_variance", "variance"),
     _register_pca(_key, _part)
 
 
+@query("pca_rebuilt_correlations", f"""
+SELECT feature_1, feature_2, round(c, 6) + 0.0 AS correlation FROM (
+  SELECT * FROM pairs UNION ALL SELECT feature_2, feature_1, c FROM pairs
+  UNION ALL SELECT f, f, 1 FROM (VALUES {', '.join(f"('{f}')" for f in FEATURES)}) v(f))""", ("pairs",))
+def pca_rebuilt_correlations(spark, sf_dir):
+    """Correlations from the loadings and the variance ratios alone, which holds only if both are right."""
+    return rounded(I.rebuilt_correlations(I.pca_tables(V.model_table(spark, sf_dir), FEATURES)))
+
+
 @query("importance_by_scale")
 def importance_by_scale(spark, sf_dir):
     """Permutation and tree importance of both time scales in one table."""
