@@ -62,3 +62,12 @@ def test_smote_balances_between_neighbours(points):
                 assert (v >= own.min(0) - 1e-9).all() and (v <= own.max(0) + 1e-9).all()
     again = sorted((r.label, tuple(r.vec)) for r in N.smote(points.repartition(3), k=3).collect())
     assert again == sorted((r.label, tuple(r.vec)) for r in rows)
+
+
+def test_smote_draws_a_weight_for_each_point(spark):
+    """Two points of a class lie on a line, so what is made shows its weight."""
+    rows = [(i, [float(i % 7), 100.0 + i], 0) for i in range(40)] + [(100 + i, [float(i), 0.0], 1) for i in range(2)]
+    points = spark.createDataFrame(rows, "id bigint, vec array<double>, label int")
+    made = [r["vec"] for r in N.smote(points, 1).filter("synthetic").collect()]
+    assert len(made) == 38 and all(0 <= x <= 1 and y == 0 for x, y in made)
+    assert len({round(min(x, 1 - x), 9) for x, _ in made}) == 38
