@@ -71,3 +71,33 @@ def test_smote_draws_a_weight_for_each_point(spark):
     made = [r["vec"] for r in N.smote(points, 1).filter("synthetic").collect()]
     assert len(made) == 38 and all(0 <= x <= 1 and y == 0 for x, y in made)
     assert len({round(min(x, 1 - x), 9) for x, _ in made}) == 38
+
+
+def test_a_block_is_measured_in_slices():
+    """All points of a block are wanted by all queries, and most lie equally far: what is held stays small."""
+    import tracemalloc
+
+    import pandas as pd
+
+    n, m = 4_000, 6_000
+    queries = pd.DataFrame({"grp": 0, "qid": range(n), "vec": [np.zeros(4)] * n, "bound": np.inf, "cells": [np.arange(2)] * n})
+    points = pd.DataFrame({"cell": [i % 2 for i in range(m)], "id": range(m), "vec": [np.eye(4)[i % 4] for i in range(m)]})
+    tracemalloc.start()
+    found = N._nearest_visited(queries, points, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.groupby("qid")["id"].apply(list).tolist() == [[0, 1, 2]] * n
+    assert peak < 150e6  # all distances of this block at once are 192 MB, several times over
+
+
+def test_a_query_travels_once_to_a_zone(monkeypatch):
+    """All cells are wanted: a vector is copied for each zone, not for each cell."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    pivots, rows = rng.normal(size=(200, 4)), rng.normal(size=(50, 4))
+    monkeypatch.setattr(N, "BLOCK", 1_000)
+    cells = N.Cells(pivots, np.arange(200), np.full(200, 10), np.zeros(200), np.full(200, 99.0))
+    asked = pd.DataFrame({"qid": range(50), "vec": list(rows), "bound": 99.0})
+    made = pd.concat(cells.visits(0, asked, 5, False))
+    assert len(made) == 50 * 2 and made["cells"].map(len).sum() == 50 * 199
