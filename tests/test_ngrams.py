@@ -123,3 +123,18 @@ def test_spans_of_a_long_document_go_to_many_tasks(spark, monkeypatch):
         "file_name, gram", "file_name, _from"]
     got = ngrams.self_code(df, 2).collect()
     assert [r.file_name for r in got] == ["one"] and got[0].bits_2 == pytest.approx(self_bits(one, 2), abs=1e-6)
+
+
+def test_partitions_follow_the_characters(spark, monkeypatch):
+    """More text is cut into more tasks than the session's shuffle partitions."""
+    from chronotext import session
+
+    monkeypatch.setattr(session, "TASK_CHARS", 1_000)
+    monkeypatch.setattr(ngrams, "LONG", 1 << 20)
+    df = spark.createDataFrame([(f"f{i}", "some words " * 100) for i in range(40)], "file_name string, text string")
+    chars = session.text_sizes(df)[0]
+    assert chars == 44_000 and session.text_partitions(df) == 44
+    grams = ngrams.raw_grams(df, 2)
+    assert "hashpartitioning(file_name" in (plan := grams._jdf.queryExecution().executedPlan().toString()) and ", 44)" in plan
+    assert len(ngrams.by_length(df)) == 1  # no branch for long texts where there are none
+    assert sorted(r["n"] for r in ngrams.char_ngrams(df, 1).groupBy("file_name").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()) == [1_100] * 40
