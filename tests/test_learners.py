@@ -218,3 +218,12 @@ def test_first_in_order_is_the_head_of_the_ranking(spark):
     got = ordering.first_in_order(rows, 5, "file_name", ["s"], lambda n: F.floor(n * 0.3))
     want = ordering.hash_rank(rows, 5, "file_name", ["s"]).filter("hash_pos < floor(stratum_n * 0.3)").select("file_name", "s")
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_repeated_rows_hide_no_neighbour(spark):
+    """A row given three times is one of the k nearest, not three of them."""
+    rows = [(i, [float(i), 0.0]) for i in range(12)] * 3
+    points = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    asked = spark.createDataFrame([(0, [0.2, 0.0])], "qid bigint, vec array<double>")
+    got = neighbour_index.CellIndex.fit(points, 4).search(asked, 4).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [0, 1, 2, 3]
