@@ -70,21 +70,33 @@ class Symbols:
         return out, offsets
 
 
-def gram_hashes(symbols: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Hashes of the 1, 2, ... ORDER symbols that end at each place, and of the 0, 1, ...
-    ORDER - 1 symbols before it; spaces stand before a row."""
-    begins, sizes = offsets[:-1], np.diff(offsets)
-    total, grams = np.zeros(len(symbols), dtype=U64), []
-    blank, blanks = np.zeros(1, dtype=U64), []
+def windows(symbols: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The symbol at each place and the 1, 2, ... ORDER - 1 before it; spaces stand before a row."""
+    begins, sizes, out = offsets[:-1], np.diff(offsets), []
     for k in range(ORDER):
         before = np.empty_like(symbols)
         before[k:] = symbols[: max(len(symbols) - k, 0)]
         for j in range(k):  # the first places of a row look back beyond it
             before[begins[sizes > j] + j] = 32
-        total, blank = ((x + c + U64(1)) * U64(MIX_2) for x, c in ((total, before), (blank, U64(32))))
-        total, blank = total ^ (total >> U64(29)), blank ^ (blank >> U64(29))
-        for held, x in ((grams, total), (blanks, blank)):
-            held.append(mix(x + U64(k)))
+        out.append(before)
+    return out
+
+
+def hashes(backwards: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the last 1, 2, ... symbols, which are given from the last one on."""
+    total, out = np.zeros(len(backwards[0]), dtype=U64), []
+    for k, before in enumerate(backwards):
+        total = (total + before + U64(1)) * U64(MIX_2)
+        total = total ^ (total >> U64(29))
+        out.append(mix(total + U64(k)))
+    return out
+
+
+def gram_hashes(symbols: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the 1, 2, ... ORDER symbols that end at each place, and of the 0, 1, ...
+    ORDER - 1 symbols before it; spaces stand before a row."""
+    begins, sizes = offsets[:-1], np.diff(offsets)
+    grams, blanks = hashes(windows(symbols, offsets)), hashes([np.full(1, 32, dtype=U64)] * ORDER)
     contexts = [np.zeros(len(symbols), dtype=U64)]
     for k in range(ORDER - 1):
         moved = np.empty_like(grams[k])
@@ -107,7 +119,9 @@ def chunks(texts: list[str], limit: int = SLICE_CHARS):
 
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """lang, counts n of the longest n-grams and n_seen of those outside the held-out fold, each with
-    the hashes g1.. of its ends and h2.. of its contexts (h of order k is the k - 1 symbols before its last)."""
+    the hashes g1.. of its ends and h2.. of its contexts (h of order k is the k - 1 symbols before its last).
+
+    Counts travel beside the symbols, two to a number and in order, so that they compress; hashes come after."""
     def count(batches):
         split = Symbols()
         held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
@@ -119,10 +133,11 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                     symbols, offsets = split([t for t, k in zip(texts[i:j], keys[i:j]) if k == key])
                     if not len(symbols):
                         continue
-                    # The longest end tells the rows apart; all others follow from it.
-                    grams, contexts = gram_hashes(symbols, offsets)
-                    _, first, n = np.unique(grams[-1], return_index=True, return_counts=True)
-                    rows = np.stack([x[first] for x in (*grams, *contexts[1:])]).astype(np.int64)
+                    window = windows(symbols, offsets)
+                    # The longest end tells the rows apart.
+                    whole, first, n = np.unique(hashes(window)[-1], return_index=True, return_counts=True)
+                    s = [w[first] for w in reversed(window)]
+                    rows = np.stack([whole, s[0] << U64(21) | s[1], s[2] << U64(21) | s[3]])
                     old = held.get(key)
                     if old is not None:
                         rows, n = np.concatenate([old[0], rows], axis=1), np.concatenate([old[1], n])
@@ -135,21 +150,34 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
             yield from emit(key, *merge(rows, n))
 
     def merge(rows, n):
-        _, first, back = np.unique(rows[ORDER - 1], return_index=True, return_inverse=True)
+        _, first, back = np.unique(rows[0], return_index=True, return_inverse=True)
         return rows[:, first], np.bincount(back, weights=n).astype(np.int64)
 
     def emit(key, rows, n):
+        order = np.lexsort((rows[2], rows[1]))
+        high, low, n = rows[1][order].astype(np.int64), rows[2][order].astype(np.int64), n[order]
         for i in range(0, len(n), 100_000):
-            part, counts = rows[:, i: i + 100_000], n[i: i + 100_000]
+            counts = n[i: i + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(counts), pa.string()), *(pa.array(r) for r in part), pa.array(counts),
-                 pa.array(counts * (not key[1]))],
+                [pa.array([key[0]] * len(counts), pa.string()), pa.array(high[i: i + 100_000]), pa.array(low[i: i + 100_000]),
+                 pa.array(counts), pa.array(counts * (not key[1]))],
+                names=["lang", "high", "low", "n", "n_seen"])
+
+    def named(batches):
+        for batch in batches:
+            high, low = (batch.column(c).to_numpy().astype(U64) for c in ("high", "low"))
+            mask = U64((1 << 21) - 1)
+            backwards = [low & mask, low >> U64(21), high & mask, high >> U64(21)]
+            found = [*hashes(backwards), *hashes(backwards[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), *(pa.array(x.astype(np.int64)) for x in found), batch.column("n"), batch.column("n_seen")],
                 names=["lang", *GRAMS, "n", "n_seen"])
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), held_fold(text).alias("out"))
-    fields = ", ".join(f"{c} bigint" for c in GRAMS)
-    return rows.mapInArrow(count, f"lang string, {fields}, n bigint, n_seen bigint").groupBy("lang", *GRAMS).agg(
+    counted = rows.mapInArrow(count, "lang string, high bigint, low bigint, n bigint, n_seen bigint").groupBy("lang", "high", "low").agg(
         F.sum("n").alias("n"), F.sum("n_seen").alias("n_seen"))
+    fields = ", ".join(f"{c} bigint" for c in GRAMS)
+    return counted.mapInArrow(named, f"lang string, {fields}, n bigint, n_seen bigint")
 
 
 def held_fold(text: str):

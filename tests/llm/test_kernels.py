@@ -246,3 +246,20 @@ def test_warc_records_round_trip():
     assert [a[0]["warc-refers-to"] for a in again] == ["<urn:x>"] * 2
     assert [warc.digest(a[2]) for a in again] == [a[0]["warc-block-digest"] for a in again]
     assert warc.http_parts(b"no head")[2] == b"no head" and warc.plain_text("") == ""
+
+
+def test_counts_of_grams_travel_as_symbols(spark):
+    """Hashes are made from the summed symbols, and are those of the texts themselves."""
+    from chronotext.llm import language_id as L
+
+    texts = ["Ab ba 12 abba", "\U00010400x", "", None, "ab ba abba"]
+    rows = spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string")
+    made = L.count_grams(rows, "text", "lang")
+    shuffled = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+    assert len(shuffled) == 1 and "high" in shuffled[0] and "g1" not in shuffled[0]
+    symbols, offsets = L.Symbols()([t or "" for t in texts])
+    grams, contexts = L.gram_hashes(symbols, offsets)
+    want = {}
+    for row in zip(*(x.astype(np.int64).tolist() for x in (*grams, *contexts[1:]))):
+        want[row] = want.get(row, 0) + 1
+    assert {tuple(r[c] for c in L.GRAMS): r["n"] for r in made.collect()} == want
