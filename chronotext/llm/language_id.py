@@ -26,11 +26,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, MapType, StringType, StructField, StructType
 
-from chronotext.llm.common import MIX_2, U64, held, mix, sized
+from chronotext.llm.common import MIX_2, U64, held, mix
 from chronotext.session import materialize
 
 ORDER = 4
@@ -185,33 +185,49 @@ def held_fold(text: str):
     return F.coalesce(F.pmod(F.xxhash64(text), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def kneser_ney(grams: DataFrame) -> DataFrame:
+def gram_levels(grams: DataFrame) -> DataFrame:
+    """A row for each n-gram of order k (kind k) and each context (-k) of a language, with its hash, its count n (of a context:
+    the kinds of n-grams in it), the total of its context, and both without the held-out fold (n_seen, total_seen).
+
+    An order needs a shuffle by n-gram and one by context. A context has at most as many rows as there are characters."""
+    out, level = None, materialize(grams)
+    for k in range(ORDER, 0, -1):
+        if k < ORDER:  # each distinct n-gram is one more character before its end
+            ends = [f"g{i}" for i in range(1, k + 1)] + [f"h{i}" for i in range(2, k + 1)]
+            level = materialize(level.groupBy("lang", *ends).agg(
+                F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_seen") > 0).alias("n_seen")))
+        context = F.col(f"h{k}") if k > 1 else F.lit(0).cast("bigint")
+        own = Window.partitionBy("lang", context).orderBy(f"g{k}")
+        same = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        counts = level.select(
+            "lang", F.col(f"g{k}").alias("g"), context.alias("h"), "n", "n_seen",
+            F.sum("n").over(same).alias("total"), F.sum("n_seen").over(same).alias("total_seen"),
+            F.count(F.lit(1)).over(same).alias("kinds"), F.count_if(F.col("n_seen") > 0).over(same).alias("kinds_seen"),
+            F.row_number().over(own).alias("place"))
+        gram, start = (
+            F.struct(F.lit(kind).alias("kind"), F.col(key).alias("hash"), F.col(n).alias("n"), "total",
+                     F.col(f"{n}_seen").alias("n_seen"), "total_seen")
+            for kind, key, n in ((k, "g", "n"), (-k, "h", "kinds")))
+        rows = counts.select("lang", F.inline(F.when(F.col("place") == 1, F.array(gram, start)).otherwise(F.array(gram))))
+        out = rows if out is None else out.unionByName(rows)
+    return materialize(out)
+
+
+def kneser_ney(levels: DataFrame, part: str = "") -> DataFrame:
     """lang, kind (order k for an n-gram, -k for the context of order k), hash and value: what an
-    n-gram adds before interpolation, and the weight a context gives to the order below.
+    n-gram adds before interpolation, and the weight a context gives to the order below; of all
+    texts, or of those outside the held-out fold (`part` is _seen).
 
     Order 1 is interpolated with the same share for each character of the language."""
-    out, level = None, grams
-    for k in range(ORDER, 0, -1):
-        context = F.col(f"h{k}") if k > 1 else F.lit(0)
-        own = level.groupBy("lang", context.alias("h"), F.col(f"g{k}").alias("g")).agg(F.sum("n").alias("n"))
-        own = materialize(own)
-        few = own.groupBy("lang").agg(
-            F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
-        cut = few.select("lang", F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
-                         .otherwise(0.5).alias("d"))
-        sums = own.groupBy("lang", "h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        own = own.join(sums, ["lang", "h"]).join(sized(cut), "lang")  # a row for each language
-        grams_k = own.groupBy("lang", F.lit(k).alias("kind"), F.col("g").alias("hash")).agg(
-            F.max((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
-        contexts = own.groupBy("lang", F.lit(-k).alias("kind"), F.col("h").alias("hash")).agg(
-            F.max(F.col("d") * F.col("kinds") / F.col("total")).alias("value"))
-        both = grams_k.unionByName(contexts)
-        out = both if out is None else out.unionByName(both)
-        if k > 1:  # each distinct n-gram is one more character before its end
-            ends = [f"g{i}" for i in range(1, k)] + [f"h{i}" for i in range(2, k)]
-            level = level.groupBy("lang", *ends, F.col(f"g{k}"), F.col(f"h{k}")).agg(F.lit(1).alias("one"))
-            level = level.groupBy("lang", *ends).agg(F.count(F.lit(1)).alias("n"))
-    return out
+    own = levels.select("lang", "kind", "hash", F.col(f"n{part}").alias("n"), F.col(f"total{part}").alias("total")).filter("n > 0")
+    few = own.filter("kind > 0").groupBy("lang", "kind").agg(
+        F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
+    cut = few.select("lang", F.col("kind").alias("order"), F.when(
+        (F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5).alias("d"))
+    rows = cut.collect()  # a row for each order of a language
+    cut = levels.sparkSession.createDataFrame(rows, cut.schema)
+    value = F.when(F.col("kind") > 0, (F.col("n") - F.col("d")) / F.col("total")).otherwise(F.col("d") * F.col("n") / F.col("total"))
+    return own.withColumn("order", F.abs("kind")).join(F.broadcast(cut), ["lang", "order"]).select("lang", "kind", "hash", value.alias("value"))
 
 
 class Scorer:
@@ -285,7 +301,8 @@ class Model:
     def __init__(self, table: DataFrame):
         sizes = table.groupBy("lang").agg(  # a row a language
             F.count(F.lit(1)).alias("rows"), F.count_if(F.col("kind") == 1).alias("letters"),
-            F.max(F.when(F.col("kind") == -1, F.col("value"))).alias("share")).orderBy("lang").collect()
+            F.max(F.when(F.col("kind") == -1, F.col("value"))).alias("share")).collect()
+        sizes.sort(key=lambda r: r["lang"])
         self.names = [r["lang"] for r in sizes]
         self.rows = sum(r["rows"] for r in sizes)
         self.letters = [r["letters"] for r in sizes]
@@ -315,12 +332,11 @@ class Model:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", tolerance: float = 6.0) -> Model:
     """Models of every language of the given texts (rows of null language are not learnt)."""
     docs = docs.filter(F.col(lang).isNotNull())
-    grams = materialize(count_grams(docs, text, lang))
-    model = Model(materialize(kneser_ney(grams.drop("n_seen"))))
+    levels = gram_levels(count_grams(docs, text, lang))
+    model = Model(kneser_ney(levels))
     if model.names:
-        seen = grams.filter("n_seen > 0").drop("n").withColumnRenamed("n_seen", "n")
         unseen = docs.filter(held_fold(text)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-        scored = entropies(unseen, Model(materialize(kneser_ney(seen))), "text")
+        scored = entropies(unseen, Model(kneser_ney(levels, "_seen")), "text")
         own = scored.filter("n_symbols > 0").select("lang", F.col("entropies")[F.col("lang")].alias("e"))
         for r in own.groupBy("lang").agg(F.count("e").alias("n"), F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).collect():
             if r["n"] > 1:

@@ -437,6 +437,20 @@ def test_kneser_ney_like_plain_code(sp):
     assert np.allclose(got[:, 0], plain_entropies(symbols, plain_kneser_ney(symbols)), atol=1e-5)
 
 
+def test_language_models_need_few_shuffles(sp, monkeypatch):
+    """Both models come from one table of counts: many shuffles of small tables cost disk and tasks by partitions squared."""
+    plans, cut = [], language_id.materialize
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(language_id, "materialize", seen)
+    model = language_id.train(docs_of(sp, [(i, t, "x", None) for i, t in enumerate(["abab ac", "ba", "cab", "abc", "bca acb"])]))
+    plans.append(model.table._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 8
+
+
 def test_language_id_like_plain_code(sp):
     """Predictions, cross-entropies and limits of whole documents beside brute force."""
     rng = random.Random(12)
