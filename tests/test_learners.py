@@ -227,3 +227,11 @@ def test_repeated_rows_hide_no_neighbour(spark):
     asked = spark.createDataFrame([(0, [0.2, 0.0])], "qid bigint, vec array<double>")
     got = neighbour_index.CellIndex.fit(points, 4).search(asked, 4).orderBy("rank").collect()
     assert [r["id"] for r in got] == [0, 1, 2, 3]
+
+
+def test_cells_read_the_class_numbers_as_stored(spark, rows):
+    fit_cell = grid.fit_on(rows.drop("y"), {"all": FEATURES}, {"years": "year"})
+    found = fit_cell(grid.Cell("gnb", "all", "years", 1))
+    assert "Window" not in found._jdf.queryExecution().toString()  # the classes are not numbered again
+    coded = rows.select("file_name", "y").toDF("file_name", "own")
+    assert found.join(coded, "file_name").filter("y <> own").count() == 0
