@@ -138,3 +138,62 @@ def test_partitions_follow_the_characters(spark, monkeypatch):
     assert "hashpartitioning(file_name" in (plan := grams._jdf.queryExecution().executedPlan().toString()) and ", 44)" in plan
     assert len(ngrams.by_length(df)) == 1  # no branch for long texts where there are none
     assert sorted(r["n"] for r in ngrams.char_ngrams(df, 1).groupBy("file_name").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()) == [1_100] * 40
+
+
+def awkward_texts():
+    """Random texts, with repeated rows, an id of two texts, null ids, null and empty texts, a wide alphabet."""
+    rng = random.Random(11)
+    rows = strings(30) + [("t003", "ab"), ("t003", "ab"), ("two", "abc cba"), ("two", "cab"), (None, "ab\nab"), (None, "q"),
+                          ("none", None), ("empty", "")]
+    return rows + [(f"wide{i}", "".join(chr(rng.randint(0x4E00, 0x4E00 + 900)) for _ in range(300))) for i in range(4)]
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_codes_on_arrays_equal_the_dataframe_sums(spark, monkeypatch, order):
+    df = spark.createDataFrame(awkward_texts(), "file_name string, text string")
+    model = ngrams.reference_model(spark.createDataFrame(REFERENCE, "file_name string, text string"), order)
+    code = ngrams.document_code(df, order, model=model, alphabet_size=950, joint=model)
+    plan = code._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan and "Generate" not in plan
+    got = {r.file_name: r for r in code.collect()}
+    monkeypatch.setattr(ngrams.gram_arrays, "MOST_ORDER", 0)
+    sums = ngrams.document_code(df, order, model=model, alphabet_size=950, joint=model)
+    assert "regexp_extract_all" in sums._jdf.queryExecution().executedPlan().toString()
+    want = {r.file_name: r for r in sums.collect()}
+    assert code.schema == sums.schema and got.keys() == want.keys() and {"two", None} <= got.keys()
+    for key, row in want.items():
+        assert tuple(got[key]) == pytest.approx(tuple(row), abs=1e-8), key
+    other = ngrams.reference_model(spark.createDataFrame(REFERENCE, "file_name string, text string"), order)
+    assert sorted(map(tuple, other.grams.collect())) == sorted(map(tuple, model.grams.collect()))
+
+
+def test_grams_without_room_are_coded_in_parts(monkeypatch):
+    from chronotext.operators import gram_arrays as G
+
+    rows = sorted((k, t) for k, t in awkward_texts() if k and t)
+    ids, texts = zip(*rows)
+
+    def coded():
+        parts = G.code_texts(ids, texts, 2, "", None, None, None, {})
+        return len(parts), {k: tuple(c[i] for c in columns) for keys, columns in parts for i, k in enumerate(keys)}
+
+    whole, want = coded()
+    monkeypatch.setattr(G, "WIDTH", 31)
+    monkeypatch.setattr(G, "TABLE_BITS", 4)
+    parts, got = coded()
+    assert whole == 1 and parts > 1 and got.keys() == want.keys()
+    for key, row in want.items():
+        assert got[key] == pytest.approx(row, abs=1e-9)
+
+
+def test_rows_of_one_long_id_are_dealt(spark, monkeypatch):
+    """Rows of one id are one document: together beyond LONG, their spans go to many tasks."""
+    monkeypatch.setattr(ngrams, "LONG", 100)
+    rows = [("many", "abcab " * 9)] * 5 + [("few", "abcab " * 9), (None, "xy " * 20), (None, "xy " * 20)]
+    df = spark.createDataFrame(rows, "file_name string, text string")
+    (short, _), (long, dealt) = ngrams.by_document(df, ngrams.document_sizes(df)[1])
+    assert dealt and {r[0] for r in short.collect()} == {"few"} and {r[0] for r in long.collect()} == {"many", None}
+    got = {r.file_name: tuple(r)[1:] for r in ngrams.self_code(df, 2).collect()}
+    monkeypatch.setattr(ngrams, "LONG", 1 << 20)
+    for r in ngrams.self_code(df, 2).collect():
+        assert got[r.file_name] == pytest.approx(tuple(r)[1:])
