@@ -197,3 +197,10 @@ def test_rows_of_one_long_id_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "LONG", 1 << 20)
     for r in ngrams.self_code(df, 2).collect():
         assert got[r.file_name] == pytest.approx(tuple(r)[1:])
+
+
+def test_alphabet_takes_no_array_of_characters(spark):
+    df = spark.createDataFrame([("x", "abé" * 9), ("y", None), ("z", "Ab😀\n")], "file_name string, text string")
+    found = ngrams.alphabet(df.repartition(4))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.char for r in found.collect()) == sorted("abé😀\n")
