@@ -2,29 +2,59 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.functions.vocabulary import METADATA_COLUMNS
+from chronotext.session import find_package, materialize
+from chronotext.sources import folders
 
 METADATA_SCHEMA = "file_name STRING, year INT, decade INT, century INT"
 NULL_TOKENS = ("", "None")
+TASK_FILES = 4_096  # files that a task reads
 
 
 def read_text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """One row per text file below a folder; the base name is the key. Undecodable
     bytes are dropped and empty files give no row."""
-    files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .text(path, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
-    )
+    root = folders.place(spark, path)
+    files = spark_files(spark, path, pattern) if root is None else listed_files(spark, root, pattern)
     repaired = F.replace(F.make_valid_utf8("text"), F.lit("\ufffd"), F.lit(""))
     return drop_empty(
         files.withColumn("text", F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(repaired))
     )
 
 
+def spark_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(file_name, text) by Spark's reader, which keeps a record of each file in the driver."""
+    return (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .text(path, wholetext=True)
+        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    )
+
+
+def listed_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """The same from a listing that tasks make: the names are a table, the driver gets their number."""
+    find_package(spark)
+    wanted, tasks = folders.regex(spark, pattern), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def top(batches):
+        return folders.listing(batches, wanted, deep=False)
+
+    def below(batches):
+        return folders.listing(batches, wanted, deep=True)
+
+    first = materialize(spark.createDataFrame([(root,)], "path string").mapInArrow(top, folders.LISTED))
+    deeper = first.filter("folder").select("path").repartition(tasks, "path").mapInArrow(below, folders.LISTED)
+    found = materialize(first.filter("not folder").unionByName(deeper))
+    tasks = max(tasks, ceil(found.count() / TASK_FILES))
+    read = found.select("path").repartition(tasks, "path").mapInArrow(folders.contents, "file_name string, value binary")
+    return read.select("file_name", F.col("value").cast("string").alias("text"))
+
+
 def read_corpus(spark: SparkSession, path: str, id_col: str, text_col: str = "text") -> DataFrame:
     """A corpus already stored as a Parquet table."""
     return drop_empty(

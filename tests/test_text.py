@@ -128,3 +128,36 @@ def test_sink_replaces_its_split(spark, tmp_path):
     sinks.write_features(df, path)
     sinks.write_features(df.filter("split = 'test'"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_text_files_are_listed_by_tasks(spark, tmp_path):
+    """No file index in the plan, and the files that Spark's reader takes."""
+    for n in ("a.txt", "b c%2F.txt", "ü.txt", ".hidden.txt", "_left.txt", "_k=1.txt", "x.md", "deep/er/d.txt", "_off/e.txt",
+              "p=1/a.txt", "two\nlines.txt", "[x]\u00a0é😀~!.txt"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(f"text of {n}")
+    got = S.read_text_files(spark, str(tmp_path))
+    assert got.inputFiles() == [] and "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+    for pattern in ("*.txt", "{a,d}.txt", "?.md", "[!a].*"):
+        got = sorted(map(tuple, S.read_text_files(spark, str(tmp_path), pattern).collect()))
+        assert got == sorted(map(tuple, S.spark_files(spark, str(tmp_path), pattern).collect())) and got
+    # Patterns, single files and missing folders go to Spark's reader.
+    assert {r.file_name for r in S.read_text_files(spark, f"{tmp_path}/*/er").collect()} == {"d.txt"}
+    assert {r.file_name for r in S.read_text_files(spark, f"{tmp_path}/a.txt").collect()} == {"a.txt"}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.read_text_files(spark, f"{tmp_path}/none").collect()
+
+
+def test_contents_come_in_bounded_batches(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from chronotext.sources import folders
+
+    for i in range(7):
+        (tmp_path / f"{i}.txt").write_text("x" * 60)
+    monkeypatch.setattr(folders, "BYTES", 100)
+    monkeypatch.setattr(folders, "NAMES", 3)
+    listed = list(folders.listing([pa.record_batch({"path": [f"file://{tmp_path}"]})], ".*", deep=False))
+    assert [b.num_rows for b in listed] == [3, 3, 1]
+    read = list(folders.contents(listed))
+    assert [b.num_rows for b in read] == [2, 2, 2, 1] and sorted(n for b in read for n in b.column(0).to_pylist()) == [f"{i}.txt" for i in range(7)]
