@@ -75,3 +75,10 @@ def test_code_needs_one_shuffle_of_the_text(spark):
     docs = V.corpus(spark, SF).select("file_name", "text")
     code = ngrams.document_code(docs, 2, model=V.reference(spark, SF), alphabet_size=65)
     assert plan_of(code).count("Exchange hashpartitioning(file_name") == 1
+
+
+def test_samples_are_kept_out_without_a_shuffle_of_text(spark):
+    for texts in (V.processed(spark, SF), V.corpus(spark, SF).join(V.sampled(spark, SF, "validation_ids", V.validation_ids), "file_name", "left_semi")):
+        plan = texts.select("file_name", "text")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning(file_name" not in plan
+        assert "Window" not in plan  # the sample is drawn once, not in every query
