@@ -235,3 +235,20 @@ def test_cells_read_the_class_numbers_as_stored(spark, rows):
     assert "Window" not in found._jdf.queryExecution().toString()  # the classes are not numbered again
     coded = rows.select("file_name", "y").toDF("file_name", "own")
     assert found.join(coded, "file_name").filter("y <> own").count() == 0
+
+
+def test_targets_of_a_grid_share_one_neighbour_search(spark, rows, monkeypatch):
+    table = rows.drop("y").withColumn("half", (F.col("year") / 2).cast("int"))
+    targets, searches, search = {"years": "year", "halves": "half"}, [], neighbour_index.CellIndex.search
+    monkeypatch.setattr(neighbour_index.CellIndex, "search", lambda self, *a: searches.append(1) or search(self, *a))
+    shared = grid.fit_on(table, {"all": FEATURES, "two": FEATURES[:2]}, targets)
+    columns = ["dataset", "file_name", "y", "y_hat", F.transform("probs", lambda p: F.round(p, 9))]
+    for scale in targets:
+        got = shared(grid.Cell("knn", "all", scale, 1, (("k", 4),))).select(*columns).collect()
+        alone = grid.fit_on(table, {"all": FEATURES}, {scale: targets[scale]})
+        want = alone(grid.Cell("knn", "all", scale, 1, (("k", 4),))).select(*columns).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 100
+    assert len(searches) == 3  # one for both targets, and one for each grid of a single target
+    shared(grid.Cell("knn", "two", "years", 1, (("k", 4),)))
+    shared(grid.Cell("knn", "all", "years", 1, (("k", 3),)))
+    assert len(searches) == 5  # other features and other options are searched on their own
